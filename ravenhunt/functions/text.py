@@ -18,20 +18,38 @@ IOC_FIELD_LENGTH = 1_000
 CLEAN_ENTRY_LENGTH = 1_000
 REMOVED_TOKEN = "[REMOVED]"
 
-# Dangerous patterns, in the order they are applied, case-insensitive.
-# Pattern 1 in the reference is
+# Python's str-regex classes spelled out, so that Java (Spark) and RE2 (the
+# SQL oracle) read them the same way: word = letter/number/underscore,
+# space = Python's Unicode whitespace set.
+WORD = r"[\p{L}\p{N}_]"
+NOT_WORD = r"[^\p{L}\p{N}_]"
+SPACE = r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_SPACE = r"[^\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+# Dangerous patterns, in the order they are applied, case-insensitive:
 #   <script\b[^<]*(?:(?!<\/script>)<[^<]*)*<\/script>
-# which overflows the JVM regex stack on long inputs; the lazy form below
-# stops at the same first closing tag and is used instead.
+#   javascript:
+#   data:(?!image/)
+#   vbscript:
+#   on\w+\s*=
+#   expression\s*\(
+#   import\s+os|import\s+subprocess|import\s+sys
+#   eval\s*\(|exec\s*\(
+#   __import__|getattr|setattr|delattr
+# The first overflows the JVM regex stack on long inputs; the lazy form below
+# stops at the same first closing tag. \w and \s are spelled out as above.
 DANGEROUS_PATTERNS = [
-    ("script_tag", r"<script\b.*?</script>"),
+    ("script_tag", r"<script(?:" + NOT_WORD + r".*?)?</script>"),
     ("javascript_url", r"javascript:"),
     ("data_url", r"data:(?!image/)"),
     ("vbscript_url", r"vbscript:"),
-    ("event_handler", r"on\w+\s*="),
-    ("css_expression", r"expression\s*\("),
-    ("python_import", r"import\s+os|import\s+subprocess|import\s+sys"),
-    ("python_eval", r"eval\s*\(|exec\s*\("),
+    ("event_handler", r"on" + WORD + r"+" + SPACE + r"*="),
+    ("css_expression", r"expression" + SPACE + r"*\("),
+    (
+        "python_import",
+        r"import" + SPACE + r"+os|import" + SPACE + r"+subprocess|import" + SPACE + r"+sys",
+    ),
+    ("python_eval", r"eval" + SPACE + r"*\(|exec" + SPACE + r"*\("),
     ("python_introspection", r"__import__|getattr|setattr|delattr"),
 ]
 
@@ -41,25 +59,27 @@ CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 # HTML escapes, '&' first.
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
 
-# Secret redaction, applied in this order, case-insensitive.
-SECRET_PATTERN = r"(password|key|token|secret|auth)[=:]\s*\S+"
+# Secret redaction, applied in this order, case-insensitive:
+#   (password|key|token|secret|auth)[=:]\s*\S+  ->  \1=***REDACTED***
+#   api[_-]?key[=:]\s*\S+                       ->  api_key=***REDACTED***
+SECRET_PATTERN = r"(password|key|token|secret|auth)[=:]" + SPACE + r"*" + NOT_SPACE + r"+"
 SECRET_REPLACEMENT = "$1=***REDACTED***"
-API_KEY_PATTERN = r"api[_-]?key[=:]\s*\S+"
+API_KEY_PATTERN = r"api[_-]?key[=:]" + SPACE + r"*" + NOT_SPACE + r"+"
 API_KEY_REPLACEMENT = "api_key=***REDACTED***"
 
 # Characters deleted by the simple cleaner.
 CLEAN_ENTRY_CHARS = "[<>\"']"
 # ----------------------------------------------------------------------------
 
-# Java regex flags: i = ignore case, U = Unicode classes and case folding
-# (Python's str regexes are Unicode), s = dot matches newline (only for the
-# script pattern, whose character classes cross lines in the reference).
-_FLAGS = "(?iU)"
+# Java regex flags: i + u = case-insensitive with Unicode folding (Python's
+# str regexes fold Unicode), s = dot matches newline (only for the script
+# pattern, whose character classes cross lines in the reference).
+_FLAGS = "(?iu)"
 
 
 def _java_pattern(name: str, pattern: str) -> str:
     if name == "script_tag":
-        return "(?isU)" + pattern
+        return "(?isu)" + pattern
     return _FLAGS + pattern
 
 

@@ -430,4 +430,54 @@ def q_scenario_summary(spark, sf_dir):
     return report.scenario_summary(_h(spark, sf_dir))
 
 
+# -------------------------------------------------------------- text group
+from ravenhunt.functions import text as tx  # noqa: E402
+from ravenhunt.plans import text_views as tv  # noqa: E402
+
+_TV = f"WITH tv AS ({tv.TEXT_VIEW_SQL}) "
+
+
+@register("sanitize_text", _TV + f"SELECT src, id, {tv.sql_sanitize('text')} AS clean_text FROM tv")
+def q_sanitize_text(spark, sf_dir):
+    """Sanitise every whole text (cut, patterns, control chars, escapes)."""
+    v = tv.text_view(spark, sf_dir)
+    return v.select("src", "id", tx.sanitize(F.col("text")).alias("clean_text"))
+
+
+@register(
+    "clean_log_entry",
+    _TV + "SELECT src, id, left(regexp_replace(text, '[<>\"'']', '', 'g'), 1000) AS clean_text FROM tv",
+)
+def q_clean_log_entry(spark, sf_dir):
+    """Delete < > " ' and keep 1,000 characters, for every text."""
+    v = tv.text_view(spark, sf_dir)
+    return v.select("src", "id", tx.clean_log_entry(F.col("text")).alias("clean_text"))
+
+
+@register(
+    "redact_secrets",
+    _TV
+    + f"SELECT src, id, redacted FROM (SELECT src, id, text, {tv.sql_redact('text')} AS redacted FROM tv) "
+    "WHERE redacted <> text",
+)
+def q_redact_secrets(spark, sf_dir):
+    """Redact secrets in every whole text; returns the texts that changed."""
+    v = tv.text_view(spark, sf_dir).select("src", "id", "text", tx.redact_secrets(F.col("text")).alias("redacted"))
+    return v.where(F.col("redacted") != F.col("text")).select("src", "id", "redacted")
+
+
+@register(
+    "dangerous_content",
+    _TV
+    + "\nUNION ALL\n".join(
+        f"SELECT src, id, '{name}' AS pattern_class FROM tv WHERE {cond}"
+        for name, cond in tv.sql_dangerous_hits("text")
+    ),
+)
+def q_dangerous_content(spark, sf_dir):
+    """(text, pattern class) for every class a whole text hits."""
+    v = tv.text_view(spark, sf_dir)
+    return v.select("src", "id", F.explode(tx.dangerous_classes(F.col("text"))).alias("pattern_class"))
+
+
 __all__ = ["QUERIES", "ORACLE_SQL", "register", "findings", "enrich_technique"]
