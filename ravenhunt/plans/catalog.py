@@ -480,4 +480,284 @@ def q_dangerous_content(spark, sf_dir):
     return v.select("src", "id", F.explode(tx.dangerous_classes(F.col("text"))).alias("pattern_class"))
 
 
+# --------------------------------------------------------------- IOC group
+from ravenhunt.functions import validate as va  # noqa: E402
+from ravenhunt.operators import intel  # noqa: E402
+from ravenhunt.operators.hunt import first_technique  # noqa: E402
+from ravenhunt.plans import ioc_views as iv  # noqa: E402
+from ravenhunt.session import read_table  # noqa: E402
+
+# Literal candidates (ours, after the reference's test values) that the
+# tables do not contain.
+EDGE_VALUES = [
+    "192.168.1.1", "example.com", "999.999.999.999", "", "001.002.003.255", "abc",
+    "http://x.example.com/a", "1.2.3", "1.2.3.4.5", "256.1.1.1", "ab", "-bad.example", "a..b",
+    "https://ok.example", "0.0.0.0", "d41d8cd98f00b204e9800998ecf8427e",
+]
+_EDGE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{v}')" for v in EDGE_VALUES) + ") e(value)"
+_IV = f"WITH iv AS ({iv.IOC_VIEW_SQL}) "
+
+
+def _edges(spark):
+    return spark.createDataFrame([(v,) for v in EDGE_VALUES], "value string")
+
+
+def _ip_texts(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(iv.IPV4_TEXT), 0)).alias("value"))
+
+
+def _hosts_and_urls(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select(F.regexp_extract("url", iv.HOST_OF_URL, 1).alias("value")).unionByName(
+        pages.select(F.col("url").alias("value"))
+    )
+
+
+_IP_TEXTS_SQL = f"SELECT unnest(regexp_extract_all(text, '{iv.IPV4_TEXT}')) AS value FROM documents"
+_HOSTS_URLS_SQL = (
+    f"SELECT regexp_extract(url, '{iv.HOST_OF_URL}', 1) AS value FROM pages UNION ALL SELECT url FROM pages"
+)
+
+
+@register(
+    "ioc_extract",
+    _IV + "SELECT * FROM iv",
+)
+def q_ioc_extract(spark, sf_dir):
+    """P10: IOC records from JSON feed objects (first present key, defaults, validity)."""
+    return iv.ioc_view(spark, sf_dir).drop("tags")
+
+
+@register(
+    "ioc_sanitize",
+    _IV
+    + "SELECT "
+    + ", ".join(f"{tv.sql_sanitize(c, 1000)} AS {c}" for c in intel.IOC_STRING_FIELDS)
+    + ", feed, value AS lookup_value FROM iv WHERE coalesce(" + tv.sql_sanitize("value", 1000) + " <> '', false)",
+)
+def q_ioc_sanitize(spark, sf_dir):
+    """Every IOC string field sanitised (1,000 chars); raw value kept for lookups."""
+    return intel.sanitize_iocs(iv.ioc_view(spark, sf_dir).drop("tags"))
+
+
+@register(
+    "ioc_valid_ip",
+    f"SELECT DISTINCT value, {iv.valid_ioc_sql('value', chr(39) + 'ip' + chr(39))} AS valid "
+    f"FROM ({_IP_TEXTS_SQL} UNION ALL {_EDGE_SQL})",
+)
+def q_ioc_valid_ip(spark, sf_dir):
+    """IPv4 validity of every IPv4-like text in the documents (+ edge values)."""
+    c = _ip_texts(spark, sf_dir).unionByName(_edges(spark)).distinct()
+    return c.select("value", va.valid_ioc(F.col("value"), F.lit("ip")).alias("valid"))
+
+
+@register(
+    "ioc_valid_domain",
+    f"SELECT DISTINCT value, {iv.valid_ioc_sql('value', chr(39) + 'domain' + chr(39))} AS valid "
+    f"FROM ({_HOSTS_URLS_SQL} UNION ALL {_EDGE_SQL})",
+)
+def q_ioc_valid_domain(spark, sf_dir):
+    """domain validity of every page host and URL (+ edge values)."""
+    c = _hosts_and_urls(spark, sf_dir).unionByName(_edges(spark)).distinct()
+    return c.select("value", va.valid_ioc(F.col("value"), F.lit("domain")).alias("valid"))
+
+
+@register(
+    "ioc_valid_url",
+    f"SELECT DISTINCT value, {iv.valid_ioc_sql('value', chr(39) + 'url' + chr(39))} AS valid "
+    f"FROM ({_HOSTS_URLS_SQL} UNION ALL {_EDGE_SQL})",
+)
+def q_ioc_valid_url(spark, sf_dir):
+    """URL validity of every page host and URL (+ edge values)."""
+    c = _hosts_and_urls(spark, sf_dir).unionByName(_edges(spark)).distinct()
+    return c.select("value", va.valid_ioc(F.col("value"), F.lit("url")).alias("valid"))
+
+
+_HASH_CANDIDATES_SQL = (
+    f"SELECT h AS value FROM (SELECT unnest(regexp_extract_all(text, '{iv.HEX40_TEXT}')) AS h FROM documents) "
+    f"UNION ALL SELECT left(h, 32) FROM (SELECT unnest(regexp_extract_all(text, '{iv.HEX40_TEXT}')) AS h FROM documents) "
+    f"UNION ALL SELECT h || left(h, 24) FROM (SELECT unnest(regexp_extract_all(text, '{iv.HEX40_TEXT}')) AS h FROM documents) "
+    f"UNION ALL {_EDGE_SQL}"
+)
+
+
+@register(
+    "ioc_valid_hash",
+    "SELECT DISTINCT value, kind, "
+    + iv.valid_ioc_sql("value", "kind")
+    + f" AS valid FROM ({_HASH_CANDIDATES_SQL}) CROSS JOIN (VALUES ('md5'), ('sha1'), ('sha256')) k(kind)",
+)
+def q_ioc_valid_hash(spark, sf_dir):
+    """md5/sha1/sha256 validity of every hex text in the documents (cut/extended)."""
+    docs = read_table(spark, sf_dir, "documents")
+    h = docs.select(F.explode(F.regexp_extract_all("text", F.lit(iv.HEX40_TEXT), 0)).alias("h"))
+    c = (
+        h.select(F.col("h").alias("value"))
+        .unionByName(h.select(F.left("h", F.lit(32)).alias("value")))
+        .unionByName(h.select(F.concat("h", F.left("h", F.lit(24))).alias("value")))
+        .unionByName(_edges(spark))
+        .distinct()
+    )
+    kinds = F.array(*[F.lit(k) for k in ("md5", "sha1", "sha256")])
+    c = c.select("value", F.explode(kinds).alias("kind"))
+    return c.select("value", "kind", va.valid_ioc(F.col("value"), F.col("kind")).alias("valid"))
+
+
+@register(
+    "ioc_validate",
+    f"""SELECT type, CAST(count_if({iv.valid_ioc_sql('value', 'type')}) AS BIGINT) AS valid, count(*) AS total
+FROM (SELECT {iv._first_present_sql('obj', intel.VALUE_KEYS)} AS value,
+             CASE WHEN {iv._any_present_sql('obj', intel.TYPE_KEYS)}
+                  THEN {iv._first_present_sql('obj', intel.TYPE_KEYS)} ELSE {iv._FEED_TYPE_CASE} END AS type
+      FROM ({iv.FEED_OBJECTS_SQL})) GROUP BY type""",
+)
+def q_ioc_validate(spark, sf_dir):
+    """Valid out of total candidate IOCs per type, over all feed objects."""
+    objs = iv.feed_objects(spark, sf_dir)
+    m = F.from_json(F.col("obj"), "map<string,string>")
+    _, value = intel.first_present(m, intel.VALUE_KEYS)
+    tfound, tvalue = intel.first_present(m, intel.TYPE_KEYS)
+    cands = objs.select(value.alias("value"), F.when(tfound, tvalue).otherwise(F.col("feed_type")).alias("type"))
+    return intel.validation_counts(cands)
+
+
+@register("iocs_by_type", _IV + "SELECT * FROM iv WHERE type = 'ip'")
+def q_iocs_by_type(spark, sf_dir):
+    """F16: IOCs of type ip."""
+    return intel.iocs_by_type(iv.ioc_view(spark, sf_dir).drop("tags"), "ip")
+
+
+_SAFE_SQL = """(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) = 'https' AND NOT (
+  contains(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), 'localhost')
+  OR contains(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '127.0.0.1')
+  OR contains(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '0.0.0.0')
+  OR contains(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '10.')
+  OR contains(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '192.168.')
+  OR contains(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '172.16.')))"""
+
+
+@register(
+    "url_safety",
+    f"SELECT DISTINCT u AS url, coalesce({_SAFE_SQL}, false) AS safe FROM ("
+    f"SELECT url AS u FROM pages UNION ALL SELECT url FROM ({iv.FEEDS_SQL}) UNION ALL "
+    "SELECT * FROM (VALUES ('https://host10.example/x'), ('https://LOCALHOST/'), ('HTTPS://ok.example'), "
+    "('https://user@192.168.0.1:8443/f'), ('ftp://x.example'))) ",
+)
+def q_url_safety(spark, sf_dir):
+    """https-only, no private/loopback authority; every page URL and feed URL."""
+    pages = read_table(spark, sf_dir, "pages").select(F.col("url"))
+    extra = spark.createDataFrame(
+        [("https://host10.example/x",), ("https://LOCALHOST/",), ("HTTPS://ok.example",),
+         ("https://user@192.168.0.1:8443/f",), ("ftp://x.example",)],
+        "url string",
+    )
+    feeds = iv.feed_table(spark).select("url")
+    c = pages.unionByName(feeds).unionByName(extra).distinct()
+    return c.select("url", va.url_is_safe(F.col("url")).alias("safe"))
+
+
+@register("all_iocs", _IV + f"SELECT iv.* FROM iv WHERE feed IN (SELECT name FROM ({iv.FEEDS_SQL}) WHERE enabled)")
+def q_all_iocs(spark, sf_dir):
+    """IOCs of all enabled feeds, no de-duplication."""
+    return intel.all_iocs(iv.ioc_view(spark, sf_dir).drop("tags"), iv.feed_table(spark))
+
+
+def _lookup_values(spark, sf_dir):
+    pages = read_table(spark, sf_dir, "pages").select(F.upper("url").alias("value"))
+    return pages.unionByName(_ip_texts(spark, sf_dir)).unionByName(
+        log_view(spark, sf_dir).select(F.col("source_ip").alias("value"))
+    ).where(F.col("value").isNotNull())
+
+
+_LOOKUP_VALUES_SQL = (
+    f"SELECT upper(url) AS value FROM pages UNION ALL {_IP_TEXTS_SQL} UNION ALL "
+    f"SELECT source_ip FROM ({LOG_VIEW_SQL}) WHERE source_ip IS NOT NULL"
+)
+
+
+@register(
+    "ioc_lookup",
+    _IV + f"""SELECT l.value AS indicator, iv.value, iv.type, iv.source, iv.feed
+FROM (SELECT DISTINCT value FROM ({_LOOKUP_VALUES_SQL})) l JOIN iv ON lower(l.value) = lower(iv.value)""",
+)
+def q_ioc_lookup(spark, sf_dir):
+    """Each distinct value to check against all IOCs, ignoring case."""
+    pairs = intel.ioc_lookup(_lookup_values(spark, sf_dir).distinct(), iv.ioc_view(spark, sf_dir))
+    return pairs.select("indicator", "value", "type", "source", "feed")
+
+
+@register(
+    "ioc_bulk_lookup",
+    _IV + f"""SELECT l.value AS indicator, count(*) AS match_count, string_agg(DISTINCT iv.feed, ',' ORDER BY iv.feed) AS feeds
+FROM (SELECT DISTINCT value FROM ({_LOOKUP_VALUES_SQL})) l JOIN iv ON lower(l.value) = lower(iv.value)
+GROUP BY 1""",
+)
+def q_ioc_bulk_lookup(spark, sf_dir):
+    """Indicators with matches, their match count and feeds."""
+    return intel.ioc_bulk_lookup(_lookup_values(spark, sf_dir), iv.ioc_view(spark, sf_dir))
+
+
+@register(
+    "ioc_store_lookup",
+    _IV + f"""SELECT l.value AS indicator, iv.type, iv.feed
+FROM (SELECT DISTINCT value FROM ({_LOOKUP_VALUES_SQL})) l JOIN iv ON l.value = iv.value""",
+)
+def q_ioc_store_lookup(spark, sf_dir):
+    """Case-sensitive lookup against the IOC store."""
+    pairs = intel.ioc_lookup(
+        _lookup_values(spark, sf_dir).distinct(), iv.ioc_view(spark, sf_dir), case_sensitive=True
+    )
+    return pairs.select("indicator", "type", "feed")
+
+
+@register(
+    "log_ioc_match",
+    _IV + f""", lv AS ({LOG_VIEW_SQL}), ips AS (SELECT value AS ioc_value, feed FROM iv WHERE type = 'ip')
+SELECT event_id, timestamp, hostname, 'source_ip' AS matched_field, ioc_value, feed FROM lv JOIN ips ON lv.source_ip = ips.ioc_value
+UNION ALL
+SELECT event_id, timestamp, hostname, 'destination_ip', ioc_value, feed FROM lv JOIN ips ON lv.destination_ip = ips.ioc_value""",
+)
+def q_log_ioc_match(spark, sf_dir):
+    """Log rows whose source or destination IP is a known IOC."""
+    return intel.log_ioc_match(log_view(spark, sf_dir), iv.ioc_view(spark, sf_dir))
+
+
+@register(
+    "technique_lookup",
+    HUNT_WITH
+    + """SELECT DISTINCT r.mitre_technique_id AS technique_id, t.name,
+       'https://attack.mitre.org/techniques/' || t.technique_id AS url
+FROM raw r JOIN tech t ON r.mitre_technique_id = t.technique_id""",
+)
+def q_technique_lookup(spark, sf_dir):
+    """Technique ids the rules hit, looked up (unknown ids left out)."""
+    raw = findings(spark, sf_dir, dedupe=False)
+    return intel.technique_lookup(raw.select(F.col("mitre_technique_id").alias("technique_id")),
+                                  technique_table(spark)).select("technique_id", "name", "url")
+
+
+def part_techniques(spark, sf_dir):
+    """Technique rows in bundle order built from ``part`` (ids repeat)."""
+    part = read_table(spark, sf_dir, "part")
+    return part.select(
+        F.concat(F.lit("T"), (F.lit(1000) + F.col("p_partkey") % 150).cast("string")).alias("technique_id"),
+        F.col("p_name").alias("name"),
+        F.col("p_type").alias("description"),
+        F.col("p_partkey").alias("pos"),
+    ).withColumn("url", F.concat(F.lit("https://attack.mitre.org/techniques/"), F.col("technique_id")))
+
+
+@register(
+    "first_technique",
+    """SELECT technique_id, name, description, url FROM (
+  SELECT 'T' || CAST(1000 + p_partkey % 150 AS VARCHAR) AS technique_id, p_name AS name, p_type AS description,
+         'https://attack.mitre.org/techniques/T' || CAST(1000 + p_partkey % 150 AS VARCHAR) AS url,
+         row_number() OVER (PARTITION BY 1000 + p_partkey % 150 ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1""",
+)
+def q_first_technique(spark, sf_dir):
+    """First technique row per id in bundle order."""
+    return first_technique(part_techniques(spark, sf_dir))
+
+
 __all__ = ["QUERIES", "ORACLE_SQL", "register", "findings", "enrich_technique"]
