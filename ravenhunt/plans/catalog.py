@@ -761,3 +761,7 @@ def q_first_technique(spark, sf_dir):
 
 
 __all__ = ["QUERIES", "ORACLE_SQL", "register", "findings", "enrich_technique"]
+
+
+# Register the I/O, feed, export, profile, burst and stream queries.
+from ravenhunt.plans import catalog_io  # noqa: E402,F401

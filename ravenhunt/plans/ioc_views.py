@@ -152,22 +152,34 @@ def valid_ioc_sql(v: str, t: str) -> str:
     return VALID_IOC_SQL.format(v=v, t=t)
 
 
-_O = "obj"
-IOC_VIEW_SQL = f"""
-SELECT value, type, source, confidence, timestamp, description, feed FROM (
+def ioc_sql(objects_sql: str, feed_type_sql: str = _FEED_TYPE_CASE, with_tags: bool = False) -> str:
+    """IOC rows from a (feed, obj) relation: first present key, defaults,
+    validity - the SQL twin of ``operators.intel.iocs_from_objects``."""
+    o = "obj"
+    tags = (
+        f", CASE WHEN json_exists({o}, '$.tags') THEN CAST(json_extract({o}, '$.tags') AS VARCHAR) "
+        "ELSE '[]' END AS tags"
+        if with_tags
+        else ""
+    )
+    return f"""
+SELECT value, type, source, confidence, timestamp, description{', tags' if with_tags else ''}, feed FROM (
   SELECT feed,
-         {_first_present_sql(_O, ['value', 'indicator', 'ioc', 'ip', 'domain', 'hash', 'url'])} AS value,
-         CASE WHEN {_any_present_sql(_O, ['type', 'ioc_type', 'indicator_type'])}
-              THEN {_first_present_sql(_O, ['type', 'ioc_type', 'indicator_type'])}
-              ELSE {_FEED_TYPE_CASE} END AS type,
-         {_get_sql(_O, 'source', 'unknown')} AS source,
-         {_get_sql(_O, 'confidence', 'medium')} AS confidence,
-         {_get_sql(_O, 'timestamp', NOW)} AS timestamp,
-         {_get_sql(_O, 'description', '')} AS description
-  FROM ({FEED_OBJECTS_SQL})
+         {_first_present_sql(o, ['value', 'indicator', 'ioc', 'ip', 'domain', 'hash', 'url'])} AS value,
+         CASE WHEN {_any_present_sql(o, ['type', 'ioc_type', 'indicator_type'])}
+              THEN {_first_present_sql(o, ['type', 'ioc_type', 'indicator_type'])}
+              ELSE {feed_type_sql} END AS type,
+         {_get_sql(o, 'source', 'unknown')} AS source,
+         {_get_sql(o, 'confidence', 'medium')} AS confidence,
+         {_get_sql(o, 'timestamp', NOW)} AS timestamp,
+         {_get_sql(o, 'description', '')} AS description{tags}
+  FROM ({objects_sql})
 ) WHERE coalesce(value <> '', false) AND {valid_ioc_sql('value', 'type')}
 """
 
+
+IOC_VIEW_SQL = ioc_sql(FEED_OBJECTS_SQL)
+
 FEEDS_SQL = "SELECT * FROM (VALUES " + ", ".join(
     f"('{n}', '{u}', '{t}', {i}, {str(e).lower()})" for n, u, t, i, e, _ in FEEDS
 ) + ") f(name, url, feed_type, update_interval, enabled)"

@@ -98,10 +98,11 @@ def read_csv_logs(
 ) -> DataFrame:
     """Header CSV; lines with too many fields are skipped, short lines
     are padded with nulls; quoted fields may hold commas."""
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(CORRUPT, T.StringType())])
     raw = (
         spark.read.schema(schema)
+        .option("recursiveFileLookup", True)
         .option("header", True)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -122,7 +123,7 @@ def read_jsonl_logs(
 ) -> DataFrame:
     """One JSON object per line; malformed lines dropped, blank lines skipped."""
     cmap = JSON_COLUMN_MAP if column_map is None else column_map
-    raw = spark.read.schema(_json_source_schema(cmap)).option("mode", "DROPMALFORMED").json(path)
+    raw = spark.read.schema(_json_source_schema(cmap)).option("recursiveFileLookup", True).option("mode", "DROPMALFORMED").json(path)
     out = normalize(raw, cmap)
     return out.limit(max_rows) if max_rows else out
 
@@ -136,7 +137,7 @@ def read_json_logs(
     one task; prefer JSON Lines for large logs.
     """
     cmap = JSON_COLUMN_MAP if column_map is None else column_map
-    raw = spark.read.schema(_json_source_schema(cmap)).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    raw = spark.read.schema(_json_source_schema(cmap)).option("recursiveFileLookup", True).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     out = normalize(raw, cmap)
     return out.limit(max_rows) if max_rows else out
 
@@ -149,8 +150,9 @@ def log_format(path: str) -> str:
 
 
 def read_logs(spark: SparkSession, path: str, fmt: str | None = None, **kwargs) -> DataFrame:
-    """Dispatch by extension (or ``fmt``). For a directory without a
-    format, every supported extension is read and the parts are unioned."""
+    """Dispatch by extension (or ``fmt``); other extensions are an error.
+    For a directory without a format, every supported extension below it is
+    read (``.json``/``.jsonl`` line by line) and the parts are unioned."""
     readers = {"csv": read_csv_logs, "jsonl": read_jsonl_logs, "json": read_json_logs}
     if fmt is not None:
         return readers[fmt](spark, path, **kwargs)
@@ -203,9 +205,11 @@ def _read_glob(spark, path, ext, kind, column_map=None, na_values=PANDAS_NA_VALU
         out = normalize(raw, CSV_COLUMN_MAP if column_map is None else column_map, na_values)
     else:
         cmap = JSON_COLUMN_MAP if column_map is None else column_map
+        # Below a directory, .json parts are read line by line: that covers
+        # JSON Lines and one-line documents (a top-level array yields one row
+        # per element) and lets every file split across tasks. A single
+        # pretty-printed document is read with fmt="json".
         r = _reader(spark, ext).schema(_json_source_schema(cmap)).option("mode", "DROPMALFORMED")
-        if kind == "json":
-            r = r.option("multiLine", True)
         out = normalize(r.json(path), cmap)
     return out.limit(max_rows) if max_rows else out
 

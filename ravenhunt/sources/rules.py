@@ -90,29 +90,35 @@ def decode_rule(doc, path: str | None = None) -> dict:
     return row
 
 
-def decode_rule_text(text: str, path: str | None = None) -> dict:
+def decode_rule_texts(text: str, path: str | None = None) -> list[dict]:
+    """All rule documents of one file ('---'-separated YAML documents)."""
     if yaml is None:  # pragma: no cover
-        return decode_rule(None, path) | {"error": "PyYAML is not installed"}
+        return [decode_rule(None, path) | {"error": "PyYAML is not installed"}]
     try:
-        doc = yaml.safe_load(text)
-    except Exception as exc:  # noqa: BLE001 - any parse failure marks the rule
-        return decode_rule(None, path) | {"error": f"yaml: {type(exc).__name__}"}
-    return decode_rule(doc, path)
+        docs = [d for d in yaml.safe_load_all(text) if d is not None]
+    except Exception as exc:  # noqa: BLE001 - any parse failure marks the file
+        return [decode_rule(None, path) | {"error": f"yaml: {type(exc).__name__}"}]
+    return [decode_rule(d, path) for d in docs]
+
+
+def decode_rule_text(text: str, path: str | None = None) -> dict:
+    rows = decode_rule_texts(text, path)
+    return rows[0] if rows else decode_rule(None, path) | {"error": "empty rule file"}
 
 
 def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [decode_rule_text(t, p) for t, p in zip(pdf["value"], pdf["path"])]
+        rows = [r for t, p in zip(pdf["value"], pdf["path"]) for r in decode_rule_texts(t, p)]
         yield pd.DataFrame(rows, columns=RULE_SCHEMA.names)
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``.yml``/``.yaml`` below ``path`` -> one rule row per file."""
+def read_rules(spark: SparkSession, path: str, glob: str | None = "*.{yml,yaml}") -> DataFrame:
+    """Every ``.yml``/``.yaml`` below ``path`` -> one rule row per YAML
+    document (files are read whole; one file may hold several documents)."""
     texts = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{yml,yaml}")
-        .text(path)
+        spark.read.option("recursiveFileLookup", True)
+        .options(**({"pathGlobFilter": glob} if glob else {}))
+        .text(path, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
     return texts.mapInPandas(_decode_batches, RULE_SCHEMA)
