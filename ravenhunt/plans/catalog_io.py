@@ -374,6 +374,36 @@ def q_rule_table(spark, sf_dir):
     )
 
 
+_FEED_TYPE_BY_NATION = "CASE s_nationkey % 3 WHEN 0 THEN 'ip' WHEN 1 THEN 'domain' ELSE 'mixed' END"
+
+
+@register(
+    "feed_config",
+    f"""SELECT s_name AS name, 'https://feeds.example/' || CAST(s_suppkey AS VARCHAR) AS url,
+       {_FEED_TYPE_BY_NATION} AS feed_type, CAST(s_suppkey % 24 + 1 AS BIGINT) AS update_interval,
+       CASE WHEN s_suppkey % 5 = 0 THEN false ELSE true END AS enabled
+FROM supplier""",
+)
+def q_feed_config(spark, sf_dir):
+    """Feed configuration documents read and exploded; a feed without
+    an ``enabled`` key is enabled."""
+    sup = read_table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    ftype = F.element_at(F.array(F.lit("ip"), F.lit("domain"), F.lit("mixed")), (F.col("s_nationkey") % 3 + 1).cast("int"))
+    feed = F.struct(
+        F.col("s_name").alias("name"),
+        F.concat(F.lit("https://feeds.example/"), k.cast("string")).alias("url"),
+        ftype.alias("feed_type"),
+        (k % 24 + 1).alias("update_interval"),
+        F.when(k % 5 == 0, F.lit(False)).alias("enabled"),
+    )
+    objs = sup.select(F.to_json(feed).alias("o"))
+    path = scratch_path(spark, "feed-config")
+    _documents(objs, "o", '{"mitre_update_interval": 24, "cache_directory": "data/cti/", "ioc_feeds": [', "]}") \
+        .write.partitionBy("g").text(path)
+    return src_intel.read_feed_config(spark, path).drop("headers")
+
+
 @register("file_manifest")
 def q_file_manifest(spark, sf_dir):
     """Size, type flags and SHA-256 of every input table file."""

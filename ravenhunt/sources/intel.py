@@ -220,7 +220,7 @@ def read_feed_config(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return default
     try:
-        cfg = spark.read.schema(_CONFIG).option("multiLine", True).json(path)
+        cfg = spark.read.schema(_CONFIG).option("multiLine", True).option("recursiveFileLookup", True).json(path)
         feeds = cfg.select(F.explode("ioc_feeds").alias("f")).select("f.*")
         feeds.schema  # noqa: B018
     except Exception as exc:  # noqa: BLE001
