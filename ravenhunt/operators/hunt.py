@@ -2,15 +2,18 @@
 
 Two physical forms with equal results:
 
-* ``compiled`` - each rule becomes one boolean Column; a single scan builds
-  ``array(when(rule_i, meta_i))``, drops the nulls and explodes. No join.
+* ``compiled`` - each rule becomes one boolean Column; in a single scan a
+  ``stack`` generator emits (matched, rule number) per rule and row, and the
+  matched pairs pick their rule metadata from a literal array. No join.
 * ``anchor`` - each rule contributes rows (one per value of one item its
   condition requires) to a small anchor table that is broadcast; a
   BroadcastNestedLoopJoin on ``contains/startswith/endswith/=`` finds the
   candidate (row, rule) pairs and the full rule Column confirms them.
 
-Both end in a size-checked broadcast join with the technique table, the risk
-score, the 16-column projection and ``distinct``. The rule table is small
+Both end in ``distinct`` (on the log columns + rule columns, before the
+enrichment, since the technique columns are functions of the rule), a
+size-checked broadcast join with the technique table, the risk score and the
+16-column projection. The rule table is small
 (one row per rule file) and is collected on the driver to build Columns;
 log data never leaves the executors.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 from ravenhunt.functions.matching import KNOWN_OPS, item_predicate
 from ravenhunt.operators.conditions import UnsupportedCondition, condition_column, parse_condition
-from ravenhunt.operators.joins import sized_broadcast
+from ravenhunt.operators.joins import DEFAULT_BROADCAST_ROWS
 from ravenhunt.schemas import FINDING_COLUMNS, LOG_COLUMNS, RULE_VISIBLE_COLUMNS
 
 # --- fixed values (must equal the reference's behaviour) -------------------
@@ -178,7 +181,11 @@ def enrich_technique(raw: DataFrame, techniques: DataFrame | None) -> DataFrame:
         tech = raw.sparkSession.createDataFrame(
             [], "technique_id string, name string, url string"
         )
+        bound = 0
     else:
+        # The de-duplicated table has at most as many rows as the input, so
+        # counting the input (a plain scan) bounds the broadcast side.
+        bound = techniques.count()
         tech = first_technique(techniques).select("technique_id", "name", "url")
     tech = tech.select(
         F.col("technique_id").alias("__tid"),
@@ -186,7 +193,8 @@ def enrich_technique(raw: DataFrame, techniques: DataFrame | None) -> DataFrame:
         F.col("url").alias("mitre_technique_url"),
         F.lit(True).alias("__tech_found"),
     )
-    joined = raw.join(sized_broadcast(tech), raw["mitre_technique_id"] == F.col("__tid"), "left")
+    side = F.broadcast(tech) if bound <= DEFAULT_BROADCAST_ROWS else tech
+    joined = raw.join(side, raw["mitre_technique_id"] == F.col("__tid"), "left")
     return joined.withColumn("risk_score", risk_score(F.col("rule_level"), F.col("__tech_found")))
 
 
@@ -200,21 +208,26 @@ def _meta_struct(cr: CompiledRule) -> Column:
 
 
 def _raw_compiled(prepared: DataFrame, rules: list[CompiledRule]) -> DataFrame:
+    """One pass: a ``stack`` generator yields (matched, rule number) for every
+    rule of every row, the matched pairs are kept and the rule's metadata is
+    looked up in a literal array. ``stack`` stays in whole-stage codegen and,
+    unlike ``explode``, gets no inferred pre-filter that Catalyst would push
+    below the projection (which would evaluate every rule twice)."""
     active = [r for r in rules if r.predicate is not None]
+    meta_cols = ["hunting_rule_id", "hunting_rule_title", "rule_level", "mitre_technique_id"]
     if not active:
-        hits = F.array().cast("array<struct<hunting_rule_id:string,hunting_rule_title:string,"
-                              "rule_level:string,mitre_technique_id:string>>")
-    else:
-        hits = F.filter(
-            F.array(*[F.when(r.predicate, _meta_struct(r)) for r in active]),
-            lambda x: x.isNotNull(),
+        return prepared.where(F.lit(False)).select(
+            *LOG_COLUMNS, *[F.lit(None).cast("string").alias(c) for c in meta_cols]
         )
+    args = []
+    for k, r in enumerate(active):
+        args += [r.predicate, F.lit(k + 1)]
+    meta = F.array(*[_meta_struct(r) for r in active])
     return (
-        # explode (not explode_outer) drops rows with no hit; a separate
-        # filter would make Catalyst evaluate every rule twice.
-        prepared.withColumn("__hits", hits)
-        .select(*LOG_COLUMNS, F.explode("__hits").alias("__hit"))
-        .select(*LOG_COLUMNS, "__hit.*")
+        prepared.select(*LOG_COLUMNS, F.stack(F.lit(len(active)), *args).alias("__hit", "__k"))
+        .where(F.col("__hit"))
+        .select(*LOG_COLUMNS, F.element_at(meta, F.col("__k")).alias("__meta"))
+        .select(*LOG_COLUMNS, *[F.col(f"__meta.{c}").alias(c) for c in meta_cols])
     )
 
 
@@ -329,6 +342,11 @@ def hunt(
         raw = _raw_anchor(prepared, compiled, field_map)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
+    if dedupe:
+        # Technique name/url/score are functions of the rule columns, so
+        # de-duplicating before the join gives the same rows with a
+        # narrower shuffle.
+        raw = raw.distinct()
     enriched = enrich_technique(raw, techniques)
     findings = enriched.select(
         *[
@@ -336,7 +354,7 @@ def hunt(
             for c in FINDING_COLUMNS
         ]
     )
-    return findings.distinct() if dedupe else findings
+    return findings
 
 
 def rule_report(rules: DataFrame | list, field_map=None) -> list[dict]:
