@@ -1,10 +1,9 @@
 """P15, P16, A19, A20 and run metrics: table profiles and type narrowing.
 
-Each profile is one pass: a single global ``agg`` with partial aggregation on
-every partition. ``column_profile(exact=False)`` uses HyperLogLog sketches
-(``approx_count_distinct``), which keeps the per-partition state fixed-size;
-``exact=True`` counts distinct values exactly (Spark expands the rows once
-per column and pre-aggregates them before the shuffle).
+Each profile is a global ``agg`` with partial aggregation on every
+partition. ``column_profile(exact=False)`` uses HyperLogLog sketches
+(``approx_count_distinct``), fixed-size state per partition; ``exact=True``
+adds one column-pruned distinct aggregate per column.
 """
 
 from __future__ import annotations
@@ -36,30 +35,49 @@ def _kind(dt: T.DataType) -> str:
 
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column rows, distinct values, unique ratio, min, max (as text)
-    and the narrowed type P15 would pick. Long form, one row per column."""
+    and the narrowed type P15 would pick. Long form, one row per column.
+
+    Counts, minima and maxima come from one global aggregate. Distinct counts
+    are exact per column (``exact=True``): one aggregate per column that reads
+    only that column and pre-aggregates on every partition, so no row is
+    copied once per column; ``exact=False`` uses HyperLogLog in the same pass.
+    """
+    fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, f in enumerate(df.schema.fields):
+    for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        nd = F.count_distinct(c) if exact else F.approx_count_distinct(c)
-        aggs += [nd.alias(f"d{i}")]
-        if _kind(f.dataType) in ("int", "float", "text") or isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        if not exact:
+            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
+        if _kind(f.dataType) in ("int", "float", "text") or isinstance(
+            f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)
+        ):
             aggs += [F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
         else:
             aggs += [F.lit(None).cast("string").alias(f"lo{i}"), F.lit(None).cast("string").alias(f"hi{i}")]
     wide = df.agg(*aggs)
     rows = []
-    for i, f in enumerate(df.schema.fields):
+    for i, f in enumerate(fields):
         rows.append(
             F.struct(
                 F.lit(f.name).alias("column_name"),
                 F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.col(f"d{i}").alias("distinct_count"),
+                (F.col(f"d{i}") if not exact else F.lit(None).cast("long")).alias("distinct_count"),
                 F.col(f"lo{i}").alias("min_value"),
                 F.col(f"hi{i}").alias("max_value"),
                 F.lit(_kind(f.dataType)).alias("kind"),
             )
         )
     long = wide.select(F.col("__rows").alias("row_count"), F.inline(F.array(*rows)))
+    if exact:
+        parts = [
+            df.select(F.col(f"`{f.name}`").alias("v")).distinct()
+            .agg(F.count("v").alias("distinct_count")).select(F.lit(f.name).alias("column_name"), "distinct_count")
+            for f in fields
+        ]
+        distinct = parts[0]
+        for p in parts[1:]:
+            distinct = distinct.unionByName(p)
+        long = long.drop("distinct_count").join(distinct, "column_name")
     ratio = F.when(F.col("row_count") > 0, F.col("distinct_count") / F.col("row_count"))
     return long.withColumn("unique_ratio", F.round(ratio, 6)).withColumn(
         "suggested_type", suggested_type(F.col("kind"), F.col("min_value"), F.col("max_value"), F.col("unique_ratio"),

@@ -441,7 +441,7 @@ _TV = f"WITH tv AS ({tv.TEXT_VIEW_SQL}) "
 def q_sanitize_text(spark, sf_dir):
     """Sanitise every whole text (cut, patterns, control chars, escapes)."""
     v = tv.text_view(spark, sf_dir)
-    return v.select("src", "id", tx.sanitize(F.col("text")).alias("clean_text"))
+    return tx.sanitize_frame(v, "text", "clean_text").select("src", "id", "clean_text")
 
 
 @register(
@@ -462,7 +462,7 @@ def q_clean_log_entry(spark, sf_dir):
 )
 def q_redact_secrets(spark, sf_dir):
     """Redact secrets in every whole text; returns the texts that changed."""
-    v = tv.text_view(spark, sf_dir).select("src", "id", "text", tx.redact_secrets(F.col("text")).alias("redacted"))
+    v = tx.redact_frame(tv.text_view(spark, sf_dir), "text", "redacted")
     return v.where(F.col("redacted") != F.col("text")).select("src", "id", "redacted")
 
 
@@ -477,7 +477,7 @@ def q_redact_secrets(spark, sf_dir):
 def q_dangerous_content(spark, sf_dir):
     """(text, pattern class) for every class a whole text hits."""
     v = tv.text_view(spark, sf_dir)
-    return v.select("src", "id", F.explode(tx.dangerous_classes(F.col("text"))).alias("pattern_class"))
+    return tx.dangerous_frame(v, "text").select("src", "id", "pattern_class")
 
 
 # --------------------------------------------------------------- IOC group
