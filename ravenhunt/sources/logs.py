@@ -89,6 +89,19 @@ def _field_count(line: Column) -> Column:
     return F.size(F.split(unquoted, ","))
 
 
+def _keep_lines(raw: DataFrame, header: list[str]) -> DataFrame:
+    """Drop lines with more fields than the header; keep short ones.
+
+    The condition references every header column: with CSV column pruning
+    the parser only tokenises the columns a query needs and would not see
+    that a line is too long."""
+    width = len(header)
+    # (size(array(...)) would be folded to a constant and pruned.)
+    all_cols = F.length(F.concat_ws(",", *[F.col(f"`{c}`") for c in header])) >= 0
+    ok = F.col(CORRUPT).isNull() | (_field_count(F.col(CORRUPT)) <= width)
+    return raw.where(ok & all_cols).drop(CORRUPT)
+
+
 def read_csv_logs(
     spark: SparkSession,
     path: str,
@@ -109,7 +122,7 @@ def read_csv_logs(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    kept = raw.where(F.col(CORRUPT).isNull() | (_field_count(F.col(CORRUPT)) <= len(header))).drop(CORRUPT)
+    kept = _keep_lines(raw, header)
     out = normalize(kept, CSV_COLUMN_MAP if column_map is None else column_map, na_values)
     return out.limit(max_rows) if max_rows else out
 
@@ -201,7 +214,7 @@ def _read_glob(spark, path, ext, kind, column_map=None, na_values=PANDAS_NA_VALU
             _reader(spark, ext).schema(schema).option("header", True).option("escape", '"')
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
         )
-        raw = raw.where(F.col(CORRUPT).isNull() | (_field_count(F.col(CORRUPT)) <= len(header))).drop(CORRUPT)
+        raw = _keep_lines(raw, header)
         out = normalize(raw, CSV_COLUMN_MAP if column_map is None else column_map, na_values)
     else:
         cmap = JSON_COLUMN_MAP if column_map is None else column_map
