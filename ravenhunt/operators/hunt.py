@@ -314,10 +314,11 @@ def _raw_anchor(prepared: DataFrame, rules: list[CompiledRule], field_map=None)
 
 
 def collect_rules(rules: DataFrame) -> list:
-    n = rules.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} rules exceed the driver-side limit of {MAX_RULES}")
-    return with_rule_attributes(rules).collect()
+    """The rule table on the driver (one job), refusing more than MAX_RULES."""
+    rows = with_rule_attributes(rules).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules; the rule table is collected to build Columns")
+    return rows
 
 
 def hunt(

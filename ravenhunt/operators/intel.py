@@ -140,9 +140,11 @@ def log_ioc_match(logs: DataFrame, iocs: DataFrame) -> DataFrame:
     """Log rows whose source or destination IP is a known IOC.
 
     Two equi-joins (one per field) and a union, instead of one OR-join that
-    would force a nested loop.
+    would force a nested loop. The IOC side is reduced to distinct
+    (value, feed) first, so a value repeated in many IOC rows cannot multiply
+    the log rows that carry it.
     """
-    ips = iocs.where(F.col("type") == "ip").select(F.col("value").alias("ioc_value"), "feed")
+    ips = iocs.where(F.col("type") == "ip").select(F.col("value").alias("ioc_value"), "feed").distinct()
     out = None
     for field in ("source_ip", "destination_ip"):
         side = logs.join(ips, logs[field] == ips["ioc_value"], "inner").select(

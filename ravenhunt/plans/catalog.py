@@ -711,16 +711,33 @@ def q_ioc_store_lookup(spark, sf_dir):
     return pairs.select("indicator", "type", "feed")
 
 
+_EVENT_IPS_SQL = """SELECT '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(event_id % 256 AS VARCHAR) AS value,
+       'event_ips' AS feed FROM events WHERE value > 45"""
+
+
+def _event_ip_feed(spark, sf_dir):
+    """A stand-in IP feed: addresses seen on high-value events."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("value") > 45)
+    ip = F.concat_ws(".", F.lit("10"), F.lit("0"), (F.col("user_id") % 256).cast("string"),
+                     (F.col("event_id") % 256).cast("string"))
+    return ev.select(ip.alias("value"), F.lit("ip").alias("type"), F.lit("event_ips").alias("feed"))
+
+
 @register(
     "log_ioc_match",
-    _IV + f""", lv AS ({LOG_VIEW_SQL}), ips AS (SELECT value AS ioc_value, feed FROM iv WHERE type = 'ip')
+    _IV + f""", lv AS ({LOG_VIEW_SQL}),
+ips AS (SELECT DISTINCT ioc_value, feed FROM (
+  SELECT value AS ioc_value, feed FROM iv WHERE type = 'ip'
+  UNION ALL SELECT value, feed FROM ({_EVENT_IPS_SQL})))
 SELECT event_id, timestamp, hostname, 'source_ip' AS matched_field, ioc_value, feed FROM lv JOIN ips ON lv.source_ip = ips.ioc_value
 UNION ALL
 SELECT event_id, timestamp, hostname, 'destination_ip', ioc_value, feed FROM lv JOIN ips ON lv.destination_ip = ips.ioc_value""",
 )
 def q_log_ioc_match(spark, sf_dir):
-    """Log rows whose source or destination IP is a known IOC."""
-    return intel.log_ioc_match(log_view(spark, sf_dir), iv.ioc_view(spark, sf_dir))
+    """Log rows whose source or destination IP is a known IOC (document
+    IPs plus an IP feed taken from high-value events)."""
+    iocs = iv.ioc_view(spark, sf_dir).select("value", "type", "feed").unionByName(_event_ip_feed(spark, sf_dir))
+    return intel.log_ioc_match(log_view(spark, sf_dir), iocs)
 
 
 @register(
