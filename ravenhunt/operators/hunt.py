@@ -21,6 +21,7 @@ log data never leaves the executors.
 from __future__ import annotations
 
 import ast
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,11 +116,29 @@ def selection_column(items, field_map: dict[str, str]) -> Column | bool:
     return F.lit(True) if out is True else out
 
 
+_COMPILED: dict = {}
+
+
 def compile_rules(rule_rows, field_map: dict[str, str] | None = None) -> list[CompiledRule]:
+    """Rule rows -> CompiledRule list. Columns are immutable expressions, so
+    the result is reused for the same rules, field map and SparkContext."""
     fmap = {k.lower(): v for k, v in (field_map or DEFAULT_FIELD_MAP).items()}
+    from pyspark import SparkContext
+
+    dicts = [r.asDict(recursive=True) if hasattr(r, "asDict") else dict(r) for r in rule_rows]
+    key = (id(SparkContext._active_spark_context), repr(dicts), tuple(sorted(fmap.items())))
+    cached = _COMPILED.get(key)
+    if cached is not None:
+        return cached
+    if len(_COMPILED) > 64:
+        _COMPILED.clear()
+    _COMPILED[key] = out = _compile_rules(dicts, fmap)
+    return out
+
+
+def _compile_rules(rule_rows: list[dict], fmap: dict[str, str]) -> list[CompiledRule]:
     compiled = []
-    for i, r in enumerate(rule_rows):
-        d = r.asDict(recursive=True) if hasattr(r, "asDict") else dict(r)
+    for i, d in enumerate(rule_rows):
         cr = CompiledRule(
             index=i,
             rule_id=d.get("id"),
@@ -183,9 +202,10 @@ def enrich_technique(raw: DataFrame, techniques: DataFrame | None) -> DataFrame:
         )
         bound = 0
     else:
-        # The de-duplicated table has at most as many rows as the input, so
-        # counting the input (a plain scan) bounds the broadcast side.
-        bound = techniques.count()
+        # A driver-local table (literal rows) is already bounded by driver
+        # memory. Otherwise the de-duplicated table has at most as many rows
+        # as the input, so counting the input (a plain scan) bounds it.
+        bound = 0 if techniques.isLocal() else techniques.count()
         tech = first_technique(techniques).select("technique_id", "name", "url")
     tech = tech.select(
         F.col("technique_id").alias("__tid"),
@@ -313,12 +333,31 @@ def _raw_anchor(prepared: DataFrame, rules: list[CompiledRule], field_map=None)
     )
 
 
-def collect_rules(rules: DataFrame) -> list:
-    """The rule table on the driver (one job), refusing more than MAX_RULES."""
-    rows = with_rule_attributes(rules).limit(MAX_RULES + 1).collect()
+def rule_attributes(tags, level) -> tuple[str | None, str]:
+    """Driver-side twin of ``technique_from_tags`` / ``rule_level`` for rules
+    already collected (same fixed pattern and default)."""
+    tid = None
+    for tag in tags or []:
+        m = re.search(TECHNIQUE_TAG_PATTERN, str(tag).lower())
+        if m:
+            tid = "T" + m.group(1)
+            break
+    lvl = DEFAULT_LEVEL if not level else str(level).lower()
+    return tid, lvl
+
+
+def collect_rules(rules: DataFrame) -> list[dict]:
+    """The rule table on the driver (at most one job), refusing more than
+    MAX_RULES; technique id and level are derived here."""
+    rows = rules.limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules; the rule table is collected to build Columns")
-    return rows
+    out = []
+    for r in rows:
+        d = r.asDict(recursive=True)
+        d["technique_id"], d["rule_level"] = rule_attributes(d.get("tags"), d.get("level"))
+        out.append(d)
+    return out
 
 
 def hunt(
