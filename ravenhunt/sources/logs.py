@@ -241,3 +241,20 @@ def read_log_stream(spark: SparkSession, path: str, fmt: str = "csv", max_files_
     cmap = JSON_COLUMN_MAP if column_map is None else column_map
     raw = reader.schema(_json_source_schema(cmap)).option("mode", "DROPMALFORMED").json(path)
     return normalize(raw, cmap)
+
+
+def read_findings_csv(spark: SparkSession, path: str, null_token: str = "nan") -> DataFrame:
+    """Findings written by ``sinks.exports.write_findings_csv`` read back
+    with FINDING_SCHEMA (``nan`` texts become null again)."""
+    from ravenhunt.schemas import FINDING_SCHEMA
+
+    text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in FINDING_SCHEMA.fields])
+    raw = (
+        spark.read.schema(text_schema).option("header", True).option("escape", '"')
+        .option("recursiveFileLookup", True).csv(path)
+    )
+    cols = []
+    for f in FINDING_SCHEMA.fields:
+        c = F.when(F.col(f.name) == null_token, F.lit(None)).otherwise(F.col(f.name))
+        cols.append(safe_cast(c, f.dataType).alias(f.name))
+    return raw.select(*cols)
