@@ -45,9 +45,19 @@ def _write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
 
 
+DOC_ITEMS = 100_000
+
+
+def _doc_group():
+    """Groups of at most DOC_ITEMS consecutive rows of one input partition
+    (ids from ``monotonically_increasing_id`` are contiguous per partition),
+    so no document or record grows with the table."""
+    return F.floor(F.monotonically_increasing_id() / F.lit(DOC_ITEMS)).alias("g")
+
+
 def _documents(df: DataFrame, json_col: str, prefix: str, suffix: str) -> DataFrame:
-    """One JSON document text per input partition (bounded by the split)."""
-    return df.groupBy(F.spark_partition_id().alias("g")).agg(
+    """One JSON document text per group of at most DOC_ITEMS rows."""
+    return df.groupBy(_doc_group()).agg(
         F.concat(F.lit(prefix), F.concat_ws(",", F.collect_list(json_col)), F.lit(suffix)).alias("value")
     )
 
@@ -285,7 +295,7 @@ def q_ioc_cache_read(spark, sf_dir):
     """IOC cache envelopes ``{timestamp, count, iocs}`` read back."""
     iocs = iv.ioc_view(spark, sf_dir)
     item = F.to_json(F.struct("value", "type", "source", "confidence", "timestamp", "tags", "description"))
-    env = iocs.select(item.alias("j")).groupBy(F.spark_partition_id().alias("g")).agg(
+    env = iocs.select(item.alias("j")).groupBy(_doc_group()).agg(
         F.concat(
             F.lit('{"timestamp": "'), F.lit(iv.NOW), F.lit('", "count": '), F.count(F.lit(1)).cast("string"),
             F.lit(', "iocs": ['), F.concat_ws(",", F.collect_list("j")), F.lit("]}"),
@@ -359,7 +369,7 @@ def q_rule_table(spark, sf_dir):
         F.when(k % 13 == 0, F.lit("\n  keywords:\n    - a\n    - b")).otherwise(F.lit("")),
         F.lit("\n  condition: selection and not filter\n"),
     )
-    files = part.groupBy(F.spark_partition_id().alias("g")).agg(
+    files = part.groupBy(_doc_group()).agg(
         F.concat_ws("\n---\n", F.collect_list(doc)).alias("value")
     )
     path = scratch_path(spark, "rules")
