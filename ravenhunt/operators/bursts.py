@@ -5,17 +5,24 @@ the same key lie within the previous ``window_seconds`` (strictly:
 ``t - t_admitted < window``); refused events do not count. The decision
 depends on earlier decisions, so a window count is only an upper bound.
 
-Exact plan: hash-partition by key, sort each task's rows by (key, time),
-and fold each key's events in time order in ``mapInPandas`` while carrying
-only the admitted times still inside the window (at most ``max_requests``
-values). Nothing is collected: a task streams Arrow batches (the sort spills
-to disk) and keeps O(max_requests) state for the one key it is folding.
-
-Limit: the rule is sequential per key, so one key's events are folded by
-one task. A key holding a third of all rows is therefore one long (but
-memory-bounded) task; splitting it would change results, because admission
-depends on earlier admissions. Unbounded streams use ``streaming.jobs
-.stream_burst`` instead, which keeps the same bounded state per key.
+Exact plan in three steps:
+
+1. Range-partition by (key, time) and sort: a hot key is spread over many
+   tasks by time. Each task marks session starts: a gap of at least one
+   window between consecutive events of a key empties the state (every
+   admitted time has expired), so sessions are independent.
+2. One summary row per partition (first/last key, time, session) is
+   collected - O(#partitions) - and chains sessions that cross partition
+   boundaries; a broadcast of that map fills the unresolved rows.
+3. Hash-partition by (key, session), sort, and fold each session in
+   ``mapInPandas`` carrying only the admitted times still inside the window
+   (at most ``max_requests`` values). Nothing is collected; tasks stream
+   Arrow batches and the sorts spill.
+
+Limit: within a session the rule is sequential, so a key whose events never
+pause for a whole window is one session and one (memory-bounded) task;
+splitting it further would change results. Unbounded streams use
+``streaming.jobs.stream_burst``, which keeps the same bounded state per key.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravenhunt.session import cut_lineage
+
 # --- fixed values: the reference's defaults --------------------------------
 DEFAULT_MAX_REQUESTS = 100
 DEFAULT_WINDOW_SECONDS = 3600
@@ -36,17 +45,18 @@ DEFAULT_WINDOW_SECONDS = 3600
 
 
 def _fold(batches: Iterator[pd.DataFrame], max_requests: int, window_us: int) -> Iterator[pd.DataFrame]:
-    key = None
+    """Fold rows sorted by (key, session, time); state resets per session."""
+    group = None
     admitted: deque = deque()
     for pdf in batches:
         if pdf.empty:
             continue
-        keys = pdf["__key"].to_numpy()
+        groups = list(zip(pdf["__key"].to_numpy(), pdf["__sess"].to_numpy()))
         ts = pdf["__t"].to_numpy(dtype=np.int64)
         out = np.zeros(len(pdf), dtype=bool)
         for i in range(len(pdf)):
-            if keys[i] != key:
-                key = keys[i]
+            if groups[i] != group:
+                group = groups[i]
                 admitted = deque()
             t = ts[i]
             while admitted and not (t - admitted[0] < window_us):
@@ -54,11 +64,54 @@ def _fold(batches: Iterator[pd.DataFrame], max_requests: int, window_us: int) ->
             if len(admitted) < max_requests:
                 admitted.append(t)
                 out[i] = True
-        res = pdf.drop(columns=["__key", "__t"])
+        res = pdf.drop(columns=["__key", "__t", "__sess"])
         res["admitted"] = out
         yield res
 
 
+def _sessions(batches: Iterator[pd.DataFrame], window_us: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (key, time) within one range partition -> session start
+    per row. A gap of at least one window starts a session (all admitted
+    times have expired). The first key run of a partition may continue a
+    session from the previous partition: its rows get null until resolved."""
+    prev_key, prev_t, start, first_key = None, None, None, None
+    seen_first = False
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        keys = pdf["__key"].to_numpy()
+        ts = pdf["__t"].to_numpy(dtype=np.int64)
+        sess = np.empty(len(pdf), dtype=object)
+        for i in range(len(pdf)):
+            k, t = keys[i], int(ts[i])
+            if not seen_first:
+                seen_first, first_key, start = True, k, None
+            elif k != prev_key:
+                start = t  # a key starting mid-partition has no earlier rows
+            elif t - prev_t >= window_us:
+                start = t
+            sess[i] = start
+            prev_key, prev_t = k, t
+        del first_key
+        out = pdf.copy()
+        out["__sess"] = pd.array([None if v is None else int(v) for v in sess], dtype="Int64")
+        yield out
+
+
+def _resolve(summaries: list, window_us: int) -> dict[int, int]:
+    """Session start for the unresolved first run of each partition, chained
+    over partitions in range order (one small row per partition)."""
+    resolved: dict[int, int] = {}
+    prev = None  # (last_key, last_t, last_session)
+    for pid, first_key, first_t, last_key, last_t, last_sess in sorted(summaries):
+        if prev is not None and prev[0] == first_key and first_t - prev[1] < window_us:
+            resolved[pid] = prev[2]
+        else:
+            resolved[pid] = first_t
+        prev = (last_key, last_t, last_sess if last_sess is not None else resolved[pid])
+    return resolved
+
+
 def burst_flags(
     events: DataFrame,
     key_col: str,
@@ -67,18 +120,46 @@ def burst_flags(
     window_seconds: int = DEFAULT_WINDOW_SECONDS,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Every event with ``admitted`` true/false (the rows are kept whole)."""
+    """Every event with ``admitted`` true/false (rows are kept whole; events
+    without a time get null)."""
+    spark = events.sparkSession
     window_us = int(window_seconds * 1_000_000)
-    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     prepared = events.withColumn("__key", F.col(key_col).cast("string")).withColumn(
         "__t", F.unix_micros(F.col(ts_col).cast("timestamp"))
     )
-    # Hash-partition on the key (a key stays in one task), then order each
-    # task's rows by (key, time, tie-breakers) so the fold sees a key's
-    # events consecutively and in time order.
-    ordered = prepared.repartition(n, "__key").sortWithinPartitions("__key", "__t", *events.columns)
-    schema = T.StructType(list(events.schema.fields) + [T.StructField("admitted", T.BooleanType(), False)])
-    return ordered.mapInPandas(lambda it: _fold(it, max_requests, window_us), schema)
+    timed = prepared.where(F.col("__key").isNotNull() & F.col("__t").isNotNull())
+    # 1) Range partitions by (key, time): a hot key is spread over many tasks.
+    ranged = (
+        timed.repartitionByRange(n, "__key", "__t")
+        .sortWithinPartitions("__key", "__t", *events.columns)
+        .withColumn("__pid", F.spark_partition_id())
+    )
+    sess_schema = T.StructType(list(ranged.schema.fields) + [T.StructField("__sess", T.LongType())])
+    # Used twice (summary, fold): cut the lineage with a reliable checkpoint
+    # in the shared folder instead of recomputing the range shuffle.
+    with_sess = cut_lineage(ranged.mapInPandas(lambda it: _sessions(it, window_us), sess_schema))
+    # 2) One summary row per partition resolves sessions crossing boundaries.
+    summary = with_sess.groupBy("__pid").agg(
+        F.min(F.struct("__key", "__t")).alias("first"), F.max(F.struct("__key", "__t", "__sess")).alias("last")
+    )
+    rows = [
+        (r["__pid"], r["first"]["__key"], r["first"]["__t"], r["last"]["__key"], r["last"]["__t"], r["last"]["__sess"])
+        for r in summary.collect()
+    ]
+    resolved = _resolve(rows, window_us)
+    fix = spark.createDataFrame(list(resolved.items()) or [(-1, 0)], "__pid int, __start long")
+    sessions = with_sess.join(F.broadcast(fix), "__pid", "left").withColumn(
+        "__sess", F.coalesce(F.col("__sess"), F.col("__start"))
+    ).drop("__pid", "__start")
+    # 3) Fold each (key, session) in time order; sessions are independent.
+    ordered = sessions.repartition(n, "__key", "__sess").sortWithinPartitions("__key", "__sess", "__t", *events.columns)
+    schema = T.StructType(list(events.schema.fields) + [T.StructField("admitted", T.BooleanType(), True)])
+    folded = ordered.mapInPandas(lambda it: _fold(it, max_requests, window_us), schema)
+    untimed = prepared.where(F.col("__key").isNull() | F.col("__t").isNull()).select(
+        *events.columns, F.lit(None).cast("boolean").alias("admitted")
+    )
+    return folded.unionByName(untimed)
 
 
 def burst_flags_python(rows: list[tuple], max_requests: int, window_seconds: float) -> list[bool]:

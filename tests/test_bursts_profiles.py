@@ -66,3 +66,21 @@ def test_observed_metrics(spark):
     out, obs = profile.observed(df)
     out.write.format("noop").mode("overwrite").save()
     assert obs.get == {"row_count": 10, "max_risk": 9}
+
+
+def test_burst_hot_key_across_partitions(spark):
+    rng = random.Random(11)
+    base = datetime(2024, 1, 1)
+    rows = []
+    for i in range(1200):
+        hot = i % 3 == 0
+        key = 0 if hot else 1 + rng.randrange(30)
+        # the hot key has dense bursts separated by quiet hours
+        sec = (i // 60) * 7200 + rng.randrange(900) if hot else rng.randrange(200_000)
+        rows.append((i, key, base + timedelta(seconds=sec)))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    ordered = sorted(rows, key=lambda r: (str(r[1]), r[2], r[0]))
+    want = dict(zip((r[0] for r in ordered), burst_flags_python([(str(r[1]), r[2].timestamp()) for r in ordered], 4, 300)))
+    for parts in (3, 16, 40):
+        got = {r.event_id: r.admitted for r in burst_flags(df, "user_id", "ts", 4, 300, partitions=parts).collect()}
+        assert got == want, parts
