@@ -2,18 +2,21 @@
 
 Two physical forms with equal results:
 
-* ``compiled`` - each rule becomes one boolean Column; in a single scan a
-  ``stack`` generator emits (matched, rule number) per rule and row, and the
-  matched pairs pick their rule metadata from a literal array. No join.
+* ``compiled`` - each rule becomes one boolean Column; in a single scan each
+  row gets rule-hit bitmasks (inside a one-row ``stack`` generator, so every
+  predicate is evaluated once), matched rows are de-duplicated, and a second
+  ``stack`` expands the set bits into findings whose metadata comes from a
+  literal array. No join.
 * ``anchor`` - each rule contributes rows (one per value of one item its
   condition requires) to a small anchor table that is broadcast; a
   BroadcastNestedLoopJoin on ``contains/startswith/endswith/=`` finds the
   candidate (row, rule) pairs and the full rule Column confirms them.
 
-Both end in ``distinct`` (on the log columns + rule columns, before the
-enrichment, since the technique columns are functions of the rule), a
-size-checked broadcast join with the technique table, the risk score and the
-16-column projection. The rule table is small
+The compiled form de-duplicates matched log rows (at most one shuffled row
+per matching event); the anchor form de-duplicates (log row, rule) pairs.
+Both then take a size-checked broadcast join with the technique table (whose
+columns are functions of the rule), the risk score and the 16-column
+projection. The rule table is small
 (one row per rule file) and is collected on the driver to build Columns;
 log data never leaves the executors.
 """
@@ -227,6 +230,71 @@ def _meta_struct(cr: CompiledRule) -> Column:
     )
 
 
+def merge_same_meta(rules: list[CompiledRule]) -> list[CompiledRule]:
+    """Rules with identical (id, title, level, technique) give identical
+    findings: keep one per metadata with the OR of their predicates, so one
+    log row yields each finding at most once."""
+    merged: dict = {}
+    for r in rules:
+        if r.predicate is None:
+            continue
+        key = (r.rule_id, r.title, r.level, r.technique_id)
+        if key in merged:
+            first = merged[key]
+            merged[key] = CompiledRule(first.index, *key[:2], first.level, first.technique_id,
+                                       first.predicate | r.predicate)
+        else:
+            merged[key] = r
+    return list(merged.values())
+
+
+MASK_BITS = 62
+
+
+def _raw_compiled_dedup(prepared: DataFrame, groups: list[CompiledRule]) -> DataFrame:
+    """Compiled hunt with the de-duplication on *matched log rows*.
+
+    Duplicate findings can only come from identical log rows (rules with
+    identical metadata are merged first). Each row gets one bitmask per 62
+    rules, computed inside a one-row ``stack`` generator so every predicate
+    is evaluated once (a filter on generator output cannot be pushed below
+    it). Rows with any bit set are de-duplicated - at most one row per
+    matching event is shuffled, instead of one per finding - and the set
+    bits are then expanded into findings by a second ``stack``."""
+    meta_cols = ["hunting_rule_id", "hunting_rule_title", "rule_level", "mitre_technique_id"]
+    if not groups:
+        return prepared.where(F.lit(False)).select(
+            *LOG_COLUMNS, *[F.lit(None).cast("string").alias(c) for c in meta_cols]
+        )
+    chunks = [groups[i:i + MASK_BITS] for i in range(0, len(groups), MASK_BITS)]
+    masks = []
+    for chunk in chunks:
+        m = F.lit(0).cast("long")
+        for j, r in enumerate(chunk):
+            m = m.bitwiseOR(F.when(r.predicate, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")))
+        masks.append(m)
+    names = [f"__m{i}" for i in range(len(masks))]
+    any_bit = F.lit(False)
+    for n in names:
+        any_bit = any_bit | (F.col(n) != 0)
+    matched = (
+        prepared.select(*LOG_COLUMNS, F.stack(F.lit(1), *masks).alias(*names))
+        .where(any_bit)
+        .distinct()
+    )
+    args = []
+    for i, chunk in enumerate(chunks):
+        for j, _ in enumerate(chunk):
+            args += [(F.col(names[i]).bitwiseAND(F.lit(1 << j).cast("long"))) != 0, F.lit(i * MASK_BITS + j + 1)]
+    meta = F.array(*[_meta_struct(r) for r in groups])
+    return (
+        matched.select(*LOG_COLUMNS, F.stack(F.lit(len(groups)), *args).alias("__hit", "__k"))
+        .where(F.col("__hit"))
+        .select(*LOG_COLUMNS, F.element_at(meta, F.col("__k")).alias("__meta"))
+        .select(*LOG_COLUMNS, *[F.col(f"__meta.{c}").alias(c) for c in meta_cols])
+    )
+
+
 def _raw_compiled(prepared: DataFrame, rules: list[CompiledRule]) -> DataFrame:
     """One pass: a ``stack`` generator yields (matched, rule number) for every
     rule of every row, the matched pairs are kept and the rule's metadata is
@@ -376,7 +444,10 @@ def hunt(
     n_active = sum(1 for r in compiled if r.predicate is not None)
     if strategy == "auto":
         strategy = "anchor" if n_active > COMPILED_RULE_LIMIT else "compiled"
-    if strategy == "compiled":
+    if strategy == "compiled" and dedupe:
+        raw = _raw_compiled_dedup(prepared, merge_same_meta(compiled))
+        dedupe = False
+    elif strategy == "compiled":
         raw = _raw_compiled(prepared, compiled)
     elif strategy == "anchor":
         raw = _raw_anchor(prepared, compiled, field_map)
