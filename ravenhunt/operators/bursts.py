@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravenhunt.session import cut_lineage
+from ravenhunt.session import cut_lineage, ensure_on_workers
 
 # --- fixed values: the reference's defaults --------------------------------
 DEFAULT_MAX_REQUESTS = 100
@@ -123,6 +123,7 @@ def burst_flags(
     """Every event with ``admitted`` true/false (rows are kept whole; events
     without a time get null)."""
     spark = events.sparkSession
+    ensure_on_workers(spark)
     window_us = int(window_seconds * 1_000_000)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     prepared = events.withColumn("__key", F.col(key_col).cast("string")).withColumn(

@@ -25,6 +25,7 @@ from ravenhunt.operators.hunt import (
 from ravenhunt.plans.oracle_hunt import HUNT_WITH
 from ravenhunt.plans.ruleset import rule_table, technique_table
 from ravenhunt.plans.views import LOG_VIEW_SQL, log_view
+from ravenhunt.session import ensure_on_workers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +33,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_on_workers(spark)
+            return fn(spark, sf_dir)
+
+        run.__doc__, run.__name__ = fn.__doc__, fn.__name__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = sql
         return fn

@@ -58,6 +58,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "scratch", f"{name}-{uuid.uuid4().hex}")
 
 
+_SHIPPED: set = set()
+
+
+def ensure_on_workers(spark: SparkSession) -> None:
+    """Ship this package to the Python workers once per SparkContext
+    (``addPyFile`` of a zip written under the shared checkpoint folder), so
+    ``mapInPandas`` / ``applyInPandasWithState`` functions import on any
+    executor, whatever the driver's working directory."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "pyfiles")
+    os.makedirs(target, exist_ok=True)
+    archive = shutil.make_archive(
+        os.path.join(target, "ravenhunt"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir="ravenhunt"
+    )
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_root(df.sparkSession)

@@ -115,6 +115,9 @@ def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_rules(spark: SparkSession, path: str, glob: str | None = "*.{yml,yaml}") -> DataFrame:
     """Every ``.yml``/``.yaml`` below ``path`` -> one rule row per YAML
     document (files are read whole; one file may hold several documents)."""
+    from ravenhunt.session import ensure_on_workers
+
+    ensure_on_workers(spark)
     texts = (
         spark.read.option("recursiveFileLookup", True)
         .options(**({"pathGlobFilter": glob} if glob else {}))

@@ -26,6 +26,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ravenhunt.operators.hunt import hunt
 from ravenhunt.schemas import FINDING_COLUMNS
+from ravenhunt.session import ensure_on_workers
 
 
 def _sink(df: DataFrame, out_path: str, checkpoint: str, output_mode: str = "append", available_now: bool = True):
@@ -118,6 +119,7 @@ def burst_stream(events_stream: DataFrame, key_col: str, ts_col: str, max_reques
     Events of a key within one micro-batch are folded in time order; across
     micro-batches, in arrival order (the micro-batch bounds the group size).
     """
+    ensure_on_workers(events_stream.sparkSession)
     prepared = events_stream.withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
     out_schema = T.StructType(
         list(events_stream.schema.fields) + [T.StructField("admitted", T.BooleanType(), False)]
