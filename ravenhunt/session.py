@@ -37,12 +37,18 @@ def get_session(master: str | None = None, app: str = "ravenhunt", **conf) -> Sp
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only when none is configured."""
+    """The shared checkpoint folder, as a Hadoop path.
+
+    It is ``spark.checkpoint.dir`` of the session. Only a ``local`` master may
+    leave it unset (tests); then a temporary folder is made. Anywhere else a
+    machine-local folder would be invisible to the executors, so that raises."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="ravenhunt-ckpt-")
             spark.conf.set("spark.checkpoint.dir", root)
         sc.setCheckpointDir(root)
@@ -52,34 +58,47 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, "scratch", f"{name}-{uuid.uuid4().hex}")
+    return f"{checkpoint_root(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it
+    back: a lineage cut that any executor can read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set = set()
 
 
 def ensure_on_workers(spark: SparkSession) -> None:
-    """Ship this package to the Python workers once per SparkContext
-    (``addPyFile`` of a zip written under the shared checkpoint folder), so
-    ``mapInPandas`` / ``applyInPandasWithState`` functions import on any
+    """Ship this package to the Python workers once per application
+    (``addPyFile`` of a zip built in the driver's own temporary folder; Spark
+    serves it to the executors), so ``mapInPandas`` and the like import on any
     executor, whatever the driver's working directory."""
     sc = spark.sparkContext
-    key = id(sc._jsc)
-    if key in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import shutil
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = scratch_path(spark, "pyfiles")
-    os.makedirs(target, exist_ok=True)
     archive = shutil.make_archive(
-        os.path.join(target, "ravenhunt"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir="ravenhunt"
+        os.path.join(tempfile.mkdtemp(prefix="ravenhunt-zip-"), "ravenhunt"),
+        "zip", root_dir=os.path.dirname(pkg_dir), base_dir="ravenhunt",
     )
     sc.addPyFile(archive)
-    _SHIPPED.add(key)
+    _SHIPPED.add(sc.applicationId)
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
