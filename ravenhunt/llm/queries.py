@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravenhunt.llm import nearest, packing, sharding, simhash, tokens
+from ravenhunt.llm import decontamination, nearest, packing, sharding, simhash, substrings, suffixes, surrogates, tokens, toxicity
 from ravenhunt.llm.common import documents
 from ravenhunt.session import ensure_on_workers, read_table
 
+#: Surrogates depend on a key that is not in the data; a job of one's own passes its own.
+SURROGATE_KEY = "registered-query"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -41,6 +44,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 35-word windows that occur again."""
+    rows = substrings.deduplicated(documents(spark, sf_dir), window=35)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -53,6 +63,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+@query
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return surrogates.anonymised(documents(spark, sf_dir), SURROGATE_KEY)
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    return decontamination.contaminated(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities along the chain of categories."""
+    return toxicity.toxic_documents(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every 50th."""
@@ -64,3 +92,10 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return tokens.token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=1024)
+
+
+@query
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier."""
+    rows = suffixes.deduplicated(documents(spark, sf_dir), window=100)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
