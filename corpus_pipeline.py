@@ -3,23 +3,48 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each stage's result as Parquet in the shared folder and gives it to the next.
 All stages but the last return the columns of ``documents``.
+
+Every stage works on all rows that its predecessor kept, and keeps rows with a
+null doc_id or text unless its own decision concerns them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ravenhunt.llm import packing, simhash
-from ravenhunt.llm.queries import vocabulary
+from ravenhunt.llm import decontamination, packing, simhash, surrogates, toxicity
+from ravenhunt.llm.queries import SURROGATE_KEY, vocabulary
 from ravenhunt.session import ensure_on_workers, read_table, scratch_table
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain calls toxic go."""
+    ensure_on_workers(spark)
+    rows = toxicity.toxic_documents(docs, read_table(spark, sf_dir, "labels"))
+    return rows.filter("not is_toxic").select("_row.*")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest doc_id."""
+    """One document of each SimHash component stays, the one with the smallest doc_id."""
     ensure_on_workers(spark)
-    found = simhash.near_duplicates(docs, shingle=4, distance=4)
-    kept = found.groupBy("component_id").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return simhash.one_of_each(docs, shingle=4, distance=4)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ensure_on_workers(spark)
+    return decontamination.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by surrogates; ``n_chars`` follows the text."""
+    columns = docs.columns
+    rows = surrogates.anonymised(docs, SURROGATE_KEY)
+    if "n_chars" in columns:
+        size = F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.coalesce(size, "n_chars"))
+    return rows.select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +53,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
-STAGES = [("simhash", near_duplicates), ("packing", packed)]
+STAGES = [("toxicity", toxic), ("simhash", near_duplicates), ("decontamination", decontaminated), ("pii", private), ("packing", packed)]
 
-#: The tokens of a sequence and a fitted classifier have no SQL form.
+#: A fitted classifier and the tokens of a sequence have no SQL form.
 ORACLE_SQL = None
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ravenhunt.session import drop_scratch, read_table, scratch_table
 
@@ -66,3 +70,17 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select("b", "b").distinct())
+
+
+def with_computed(docs: DataFrame, compute: Callable[[pa.Array], dict[str, pa.Array]], fields: str) -> DataFrame:
+    """(_row, *fields): every row of ``docs`` whole, with what ``compute`` makes of
+    its texts (null for null). No name of ``docs`` can clash with a field."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
+    schema = StructType([rows.schema["_row"], *StructType.fromDDL(fields).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = compute(batch.column("_text"))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *made.values()], names=["_row", *made])
+
+    return rows.mapInArrow(run, schema)

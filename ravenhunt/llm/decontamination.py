@@ -34,10 +34,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravenhunt.llm.common import with_rank
+from ravenhunt.llm.common import with_computed, with_rank
 from ravenhunt.session import scratch_table
 
 THRESHOLD, OVERLAP, NGRAM = 0.6, 0.6, 5
@@ -199,20 +199,33 @@ HITS = "doc_id long, item_id long, passage_start long, score double, question_ov
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard: int = SHARD) -> DataFrame:
     """One row per document and test item it holds."""
-    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(_searcher(index, overlap), HITS) for index in _indexes(items, threshold, shard)])
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard: int = SHARD) -> DataFrame:
+    """The rows of ``docs`` that hold no test item; nothing is shuffled."""
+    columns = docs.columns
+    for index in _indexes(items, threshold, shard):
+        def compute(texts: pa.Array, index=index) -> dict[str, pa.Array]:
+            return {"hit": pa.array([t.is_valid and bool(index.value.hits(t.as_py(), overlap)) for t in texts], pa.bool_())}
+
+        docs = with_computed(docs, compute, "hit boolean").filter("not hit").select("_row.*")
+    return docs.select(*columns)
+
+
+def _indexes(items: DataFrame, threshold: float, shard: int) -> list:
+    """Broadcast indexes of at most ``shard`` items each."""
+    spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.filter("item_id is not null and text is not null").distinct()
     items = scratch_table(with_rank(items, [], ["item_id", "text"], "rank"), "items")
-    shards = -(-(items.count()) // shard)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
-    for s in range(max(1, shards)):
+    out = []
+    for s in range(max(1, -(-items.count() // shard))):
         rows = items.filter((F.col("rank") >= s * shard) & (F.col("rank") < (s + 1) * shard)).orderBy("item_id", "text").collect()  # at most `shard`
         words = [(r["item_id"], words_of(r["text"].lower())) for r in rows]
-        shared = spark.sparkContext.broadcast(Index([(i, w) for i, w in words if w], threshold))
-        found.append(docs.mapInArrow(_searcher(shared, overlap), HITS))
-    hits = reduce(DataFrame.unionByName, found)
-    return hits
+        out.append(spark.sparkContext.broadcast(Index([(i, w) for i, w in words if w], threshold)))
+    return out
 
 
 def _searcher(shared, overlap: float):

@@ -78,7 +78,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probabilities along the chain of categories."""
-    return toxicity.toxic_documents(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+    rows = toxicity.toxic_documents(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+    return rows.select("_row.doc_id", "p_quality", "p_toxic", "is_toxic")
 
 
 @query

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravenhunt.llm.common import components
+from ravenhunt.llm.common import components, with_computed
 from ravenhunt.session import scratch_table
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -67,17 +67,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of ``docs`` (doc_id, text)."""
+def _fingerprints(shingle: int):
+    def compute(texts: pa.Array) -> dict[str, pa.Array]:
+        return {"fp": pa.array([fingerprint(t.as_py(), shingle) for t in texts], pa.int64())}
+
+    return compute
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text")
-            fps = [fingerprint(t.as_py(), shingle) for t in text]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_computed(docs, _fingerprints(shingle), "fp long").select("_row.doc_id", "fp")
 
 
 def ring(distance: int) -> list[tuple[int, int]]:
@@ -208,13 +208,35 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) ->
     return links
 
 
+def classes(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """(fp, first, root): each distinct fingerprint of ``fps`` (doc_id, fp), its
+    smallest doc_id and the fingerprint that stands for its component."""
+    alone = scratch_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(near_links(alone.select("fp"), distance, group))
+    return alone.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """(doc_id, fingerprint, component_id) of ``docs`` (doc_id, text)."""
     fps = scratch_table(fingerprints(docs, shingle), "fingerprints")
-    classes = scratch_table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(near_links(classes.select("fp"), distance, group))
-    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = classes(fps, distance, group)
     lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(lowest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: the one with the
+    smallest doc_id (a null one only if the component has no other; of repeated
+    rows one)."""
+    columns = docs.columns
+    fps = scratch_table(fingerprints(docs, shingle), "fingerprints")
+    placed = classes(fps, distance, group)
+    stays = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("s")).select("s.first", F.col("s.fp").alias("own"))
+    repeated = not fps.groupBy("doc_id", "fp").count().filter("count > 1").isEmpty()
+    rows = with_computed(docs, _fingerprints(shingle), "fp long")
+    same = (F.col("fp") == F.col("own")) & F.col("_row.doc_id").cast("long").eqNullSafe(F.col("first"))
+    rows = rows.join(stays, same, "left_semi")
+    if repeated:
+        rows = rows.withColumn("_id", F.col("_row.doc_id")).dropDuplicates(["_id", "fp"])
+    return rows.select("_row.*").select(*columns)

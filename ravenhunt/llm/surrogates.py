@@ -81,10 +81,18 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
+def _country(entity: Column) -> Column:
+    """The country prefix of a phone number; it stays."""
+    return F.regexp_extract(entity, r"^(\+\d{1,3})(?=[ .(:-])", 1)
+
+
 def canonical(kind: Column, entity: Column) -> Column:
     """What all mentions of an entity have in common."""
+    digits = F.regexp_replace(entity, r"[^\d]", "")
+    local = F.regexp_replace(F.substr(entity, F.length(_country(entity)) + 1, F.length(entity)), r"[^\d]", "")
     return (F.when(kind.isin("email", "secret"), F.lower(entity))
-            .when(kind.isin("card", "ssn", "phone"), F.regexp_replace(entity, r"[^\d]", ""))
+            .when(kind.isin("card", "ssn"), digits)
+            .when(kind == "phone", F.concat(_country(entity), F.lit(":"), local))
             .when(kind == "iban", F.regexp_replace(entity, " ", ""))
             .when(kind == "name", F.regexp_replace(entity, r"\. ", " "))
             .otherwise(entity))
@@ -144,9 +152,10 @@ def new_canonical(kind: Column, canon: Column, attempt: Column, key: str) -> Col
 
     ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
     secret = F.array_join(F.transform(_chars(canon), lambda c, i: F.substr(F.lit("0123456789abcdef"), F.get(n, i) % 16 + 1, F.lit(1))), "")
+    phone = F.concat(_country(canon), F.substr(plain, F.length(_country(canon)) + 1, F.length(canon)))
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(plain, F.lit(3), F.length(canon)))
     return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "secret", secret)
-            .when(kind == "iban", iban).when(kind == "name", _name(canon, n)).otherwise(plain))
+            .when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "name", _name(canon, n)).otherwise(plain))
 
 
 def _name(canon: Column, n: Column) -> Column:
@@ -173,14 +182,15 @@ def _name(canon: Column, n: Column) -> Column:
 
 def rendered(kind: Column, entity: Column, new: Column) -> Column:
     """The surrogate in the form of this mention: its separators and case."""
-    def weave(pattern: str) -> Column:
+    def weave(pattern: str, new: Column = new) -> Column:
         """The entity's characters that match, replaced in order by the surrogate's."""
         chars = _chars(entity)
         place = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x.rlike(pattern))))
         return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(pattern), F.substr(new, F.get(place, i), F.lit(1))).otherwise(c)), "")
 
-    prefix = F.regexp_extract(entity, r"^(\+\d{1,3})(?=[ .(-])", 1)  # a country prefix stays
-    phone = F.concat(prefix, F.substr(weave(r"\d"), F.length(prefix) + 1, F.length(entity)))
+    prefix = _country(entity)
+    digits = F.concat(F.regexp_replace(prefix, r"\+", ""), F.regexp_replace(new, "^.*:", ""))
+    phone = weave(r"\d", digits)
     cased = F.when(entity == F.upper(entity), F.upper(new)).otherwise(new)
     email = F.array_join(F.transform(_chars(new), lambda c, i: F.when(F.substr(entity, i + 1, F.lit(1)) != F.lower(F.substr(entity, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")
     dotted = F.when(entity.rlike(r"^\p{L}+\. "), F.regexp_replace(new, "^([^ ]+) ", "$1. ")).otherwise(new)

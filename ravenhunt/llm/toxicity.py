@@ -1,17 +1,23 @@
 """Operator 7, toxicity: a classifier chain.
 
 The categories (label columns) are predicted one after another. Each has a
-linear model (logistic regression) over the distinct words of the whole text
-and the log-odds of the categories before it. For training, those earlier
-log-odds are out-of-fold: each row's come from a model that has not seen its
-fold, so later models learn from predictions as good as they will get. Folds
-follow the text, so copies share a fold.
+linear model (logistic regression) over the whole text and the log-odds of the
+categories before it. For training, those earlier log-odds are out-of-fold:
+each row's come from a model that has not seen its fold, so later models learn
+from predictions as good as they will get. Folds follow the text.
+
+A text's units are its words, lower-cased, their beginnings (``PREFIXES``
+letters), and its single symbols; features are whether a unit occurs at least
+1, 2 or 4 times, and whether it makes up at least 1/200 or 1/50 of the text.
+The features kept are those whose counts differ between the values of any
+category by a likelihood ratio of at least ``RATIO``; the text's length is one
+more feature.
 
 The models are fitted on at most ``SAMPLE`` labelled rows, those with the
-smallest hash of doc_id (a documented bound; fewer labels: all). They train in
-one task, a bounded one, and only their weights (at most ``VOCABULARY`` words)
-reach the driver. Every document is then scored by its whole text, with no
-shuffle.
+smallest hash of doc_id (a documented bound; fewer labels: all), each distinct
+text once. They train in one task, a bounded one, and only their weights (at
+most ``FEATURES`` features) reach the driver. Every document is then scored by
+its whole text, with no shuffle.
 
 Defined results: a null or empty text is scored by the intercept alone; label
 rows without a document, and null labels, are not trained on; repeated label
@@ -23,7 +29,7 @@ each; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +38,52 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ravenhunt.llm.common import with_computed
 from ravenhunt.session import scratch_table
 
-SAMPLE, VOCABULARY, MIN_DOCS, FOLDS, RIDGE = 8_000, 50_000, 4, 5, 4.0
+SAMPLE, FEATURES, MIN_DOCS, RATIO, FOLDS, RIDGE = 8_000, 20_000, 4, 30.0, 5, 0.3
 THRESHOLD = 0.5
-_WORD = re.compile(r"[^\W\d_]+").findall
+PREFIXES, LEVELS, RATES, MEMO = (4, 5, 6, 7), (1, 2, 4), (200, 50), 200_000
+_UNITS = re.compile(r"[^\W\d_]+|[^\w\s]").findall
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORD((text or "").lower()))
+def units_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+
+
+def features_of(counts: dict[str, int], n: int) -> Iterator[str]:
+    """The features of a text of ``n`` words and symbols, from its units' counts."""
+    for u, k in counts.items():
+        yield from (f"{u} {level}" for level in LEVELS if k >= level)
+        yield from (f"{u} 1/{rate}" for rate in RATES if k * rate >= n)
+
+
+class Reader:
+    """The features of texts, among those in ``index`` (None: all)."""
+
+    def __init__(self, index: dict[str, int] | None):
+        self.index, self.memo = index, {}
+        self.units = index and {f.rpartition(" ")[0] for f in index}
+
+    def __call__(self, text: str | None) -> tuple[list, float]:
+        words = Counter(_UNITS((text or "").lower()))
+        counts: dict[str, int] = defaultdict(int)
+        for w, k in words.items():
+            units = self.memo.get(w)
+            if units is None:
+                units = units_of(w)
+                if self.units is not None:
+                    units = [u for u in units if u in self.units]
+                    if len(self.memo) > MEMO:
+                        self.memo.clear()
+                    self.memo[w] = units
+            for u in units:
+                counts[u] += k
+        n = words.total()
+        found = features_of(counts, n)
+        if self.index is not None:
+            found = sorted(self.index[f] for f in found if f in self.index)
+        return list(found), float(np.log1p(n))
 
 
 class Rows:
@@ -102,18 +145,41 @@ def fit(rows: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge:
     return w
 
 
+def telling(found: list[list[str]], labels: np.ndarray) -> list[str]:
+    """The features that tell the values of some category apart, at most ``FEATURES``."""
+    best: Counter[str] = Counter()
+    seen = {f for f, n in Counter(f for fs in found for f in fs).items() if n >= MIN_DOCS}
+    for y in labels.T:
+        known = [(fs, v) for fs, v in zip(found, y, strict=True) if not np.isnan(v)]
+        n, p = len(known), sum(v for _, v in known)
+        if not 0 < p < n:
+            continue
+        every = Counter(f for fs, _ in known for f in fs if f in seen)
+        with_it = Counter(f for fs, v in known if v for f in fs if f in seen)
+        names = sorted(every)
+        t, a = np.array([every[f] for f in names], float), np.array([with_it[f] for f in names], float)
+        ratio = np.zeros(len(names))
+        for seen_here, expected in ((a, t * p / n), (t - a, t * (n - p) / n), (p - a, (n - t) * p / n), (n - t - p + a, (n - t) * (n - p) / n)):
+            ratio += 2 * np.where(seen_here > 0, seen_here * np.log(np.maximum(seen_here, 1e-9) / np.maximum(expected, 1e-9)), 0)
+        for f, r in zip(names, ratio.tolist(), strict=True):
+            if r >= RATIO:
+                best[f] = max(best[f], r)
+    return sorted(sorted(best, key=lambda f: (-best[f], f))[:FEATURES])
+
+
 def fit_chain(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> tuple[list[str], np.ndarray]:
-    """Vocabulary and one row of weights per category (words, one weight per
-    category for its log-odds, intercept). ``labels`` has NaN where unknown."""
-    sets = [words_of(t) for t in texts]
-    seen = Counter(w for s in sets for w in s)
-    vocabulary = sorted(sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:VOCABULARY])
-    place = {w: i for i, w in enumerate(vocabulary)}
-    rows = Rows([np.array(sorted(place[w] for w in s if w in place), np.int64) for s in sets], len(vocabulary))
+    """Features and one row of weights per category (features, length, one
+    weight per category for its log-odds, intercept). ``labels`` has NaN where
+    unknown."""
+    read = Reader(None)
+    found, sizes = zip(*map(read, texts), strict=True)
+    features = telling(list(found), labels)
+    index = {f: i for i, f in enumerate(features)}
+    rows = Rows([np.array(sorted(index[f] for f in fs if f in index), np.int64) for fs in found], len(features))
     fold = np.array([xxhash.xxh64_intdigest((t or "").encode()) % folds for t in texts])
     known = ~np.isnan(labels)
     n, k = labels.shape
-    extra, out = np.zeros((n, 0)), []
+    extra, out = np.array(sizes).reshape(n, 1), []
 
     def scores(w):
         return rows.dot(w[: rows.width]) + extra @ w[rows.width : -1] + w[-1]
@@ -127,17 +193,17 @@ def fit_chain(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> tuple
             apart = fold == f
             held_out[apart] = scores(fit(rows, extra, y, (known[:, c] & ~apart).astype(float)))[apart]
         extra = np.c_[extra, np.clip(held_out, -20, 20)]
-    return vocabulary, np.array(out).reshape(k, len(vocabulary) + k + 1)
+    return features, np.array(out).reshape(k, len(features) + 1 + k + 1)
 
 
-def chain_scores(words: set[str], index: dict[str, int], weights: np.ndarray, width: int) -> list[float]:
+def chain_scores(read: Reader, text: str | None, weights: np.ndarray) -> list[float]:
     """Probabilities of the categories, in the chain's order."""
-    at = np.fromiter((index[w] for w in index.keys() & words), np.int64)
-    at.sort()  # sums in one order
+    at, size = read(text)
+    width = len(read.index)
+    base = weights[:, at].sum(1) + weights[:, width] * size + weights[:, -1]
     odds: list[float] = []
-    base = weights[:, at].sum(1) + weights[:, -1]
     for c in range(len(weights)):
-        odds.append(float(np.clip(base[c] + sum(weights[c, width + i] * o for i, o in enumerate(odds)), -20, 20)))
+        odds.append(float(np.clip(base[c] + sum(weights[c, width + 1 + i] * o for i, o in enumerate(odds)), -20, 20)))
     return [1 / (1 + np.exp(-o)) for o in odds]
 
 
@@ -154,36 +220,37 @@ def trained(docs: DataFrame, labels: DataFrame, categories: list[str], sample: i
         if not held:
             return
         t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        seen = Counter(t.column("text").to_pylist())
+        t = t.filter(pa.array([bool(seen.pop(x, 0)) for x in t.column("text").to_pylist()]))  # each text once
         y = np.stack([t.column(f"y{i}").to_numpy().astype(float) for i in range(len(categories))], axis=1)
-        vocabulary, weights = fit_chain(t.column("text").to_pylist(), y)
-        yield pa.RecordBatch.from_arrays([pa.array([vocabulary]), pa.array([weights.ravel().tolist()])], names=["words", "weights"])
+        features, weights = fit_chain(t.column("text").to_pylist(), y)
+        yield pa.RecordBatch.from_arrays([pa.array([features], pa.list_(pa.string())), pa.array([weights.ravel().tolist()])], names=["features", "weights"])
 
-    model = rows.repartition(1).mapInArrow(train, "words array<string>, weights array<double>").collect()
+    model = rows.repartition(1).mapInArrow(train, "features array<string>, weights array<double>").collect()
     if not model:
-        return [], np.c_[np.zeros((len(categories), len(categories))), np.full(len(categories), -20.0)]
-    return model[0]["words"], np.array(model[0]["weights"]).reshape(len(categories), -1)
+        return [], np.c_[np.zeros((len(categories), 1 + len(categories))), np.full(len(categories), -20.0)]
+    return model[0]["features"], np.array(model[0]["weights"]).reshape(len(categories), -1)
 
 
 def scored(docs: DataFrame, model: tuple[list[str], np.ndarray], categories: list[str]) -> DataFrame:
-    """doc_id and the probability ``p_<category>`` of each category."""
+    """Each row of ``docs`` (as ``_row``) and the probability ``p_<category>`` of each category."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", *[f"p_{c}" for c in categories]]
+    names = [f"p_{c}" for c in categories]
+    readers: list[Reader] = []  # one per task
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = shared.value
-        index = {w: i for i, w in enumerate(vocabulary)}
-        for batch in batches:
-            p = [chain_scores(words_of(t.as_py()), index, weights, len(vocabulary)) for t in batch.column("text")]
-            p = np.array(p, float).reshape(-1, len(weights))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in p.T)], names=names)
+    def compute(texts: pa.Array) -> dict[str, pa.Array]:
+        features, weights = shared.value
+        if not readers:
+            readers.append(Reader({f: i for i, f in enumerate(features)}))
+        p = np.array([chain_scores(readers[0], t.as_py(), weights) for t in texts], float).reshape(-1, len(weights))
+        return {name: pa.array(np.ascontiguousarray(x)) for name, x in zip(names, p.T, strict=True)}
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names[1:]))
+    return with_computed(docs, compute, ", ".join(f"{n} double" for n in names))
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, categories: tuple[str, ...] = ("quality", "toxic"), threshold: float = THRESHOLD) -> DataFrame:
-    """Every document's probabilities along the chain, and whether the last category's passes the threshold."""
+def toxic_documents(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), threshold: float = THRESHOLD) -> DataFrame:
+    """Every row of ``docs`` (as ``_row``), its probabilities along the chain,
+    and whether the last category's passes the threshold."""
     categories = list(categories)
-    model = trained(docs if train_docs is None else train_docs, labels, categories)
-    rows = scored(docs, model, categories)
+    rows = scored(docs, trained(docs, labels, categories), categories)
     return rows.withColumn(f"is_{categories[-1]}", F.col(f"p_{categories[-1]}") > threshold)

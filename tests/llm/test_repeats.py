@@ -62,8 +62,8 @@ def result(df):
     return sorted((tuple(bytes(x) if isinstance(x, (bytes, bytearray)) else x for x in r) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("window,gram,hot,block", [(35, 12, 2000, 1 << 20), (6, 3, 2, 700), (8, 1, 3, 1 << 20)])
-def test_words(spark, monkeypatch, window, gram, hot, block):
+@pytest.mark.parametrize("window,gram,hot", [(35, 12, 2000), (6, 3, 2), (8, 1, 3)])
+def test_words(spark, window, gram, hot):
     rows = awkward() + overlapping(1)
     if window == 35:
         rows += duckdb.connect().execute(f"select doc_id + 10000, text from '{SF}/documents.parquet'").fetchall()
@@ -129,7 +129,9 @@ def test_window_buckets():
         assert all(len(g) == 1 for g in groups.values()) and len(set.union(set(), *groups.values())) == len(groups)
 
 
-def test_runs_hold_every_window_once():
+@pytest.mark.parametrize("block", [50, 1 << 20])
+def test_runs_hold_every_window_once(monkeypatch, block):
+    monkeypatch.setattr(windows, "BLOCK", block)
     rnd = np.random.default_rng(1)
     texts = [bytes(rnd.integers(97, 100, int(n)).astype(np.uint8)) for n in rnd.integers(0, 300, 30)]
     kind = windows.Kind(25, 7, False)
