@@ -98,10 +98,10 @@ def test_attack_bundle(spark, tmp_dir):
     p = _write(tmp_dir, "bundle.json", json.dumps(fx.TECHNIQUE_BUNDLE))
     t = src.read_attack_bundle(spark, p)
     rows = sorted((r.technique_id, r.name) for r in t.collect())
-    assert rows == [("T1234", "Duplicate Later"), ("T1234", "Test Technique"), ("T2000", "Two Refs")]
+    assert rows == [("T2000", "Two Refs"), ("T7001", "Duplicate Later"), ("T7001", "Firmware Swap")]
     first = {r.technique_id: r.name for r in first_technique(t).collect()}
-    assert first == {"T1234": "Test Technique", "T2000": "Two Refs"}
-    assert t.where("technique_id = 'T1234'").first().url == "https://attack.mitre.org/techniques/T1234"
+    assert first == {"T7001": "Firmware Swap", "T2000": "Two Refs"}
+    assert t.where("technique_id = 'T7001'").first().url == "https://attack.mitre.org/techniques/T7001"
 
 
 def test_cache_envelope_and_missing(spark, tmp_dir):
