@@ -1,29 +1,28 @@
 """F8 hunt: every rule over every log row -> enriched, de-duplicated findings.
 
-Two physical forms with equal results:
+Two physical forms with equal results; the caller may choose:
 
+* ``table`` (default) - the rules are data (``operators.ruletable``): each log
+  row looks its own values, prefixes, suffixes and character grams up in a table
+  of literals with one hash join, which gives the few (row, rule) pairs that can
+  match, and the whole rule, joined by its number, confirms them. The plan is
+  the same for ten rules and for thousands.
 * ``compiled`` - each rule becomes one boolean Column; in a single scan each
   row gets rule-hit bitmasks (inside a one-row ``stack`` generator, so every
   predicate is evaluated once), matched rows are de-duplicated, and a second
   ``stack`` expands the set bits into findings whose metadata comes from a
-  literal array. No join.
-* ``anchor`` - each rule contributes rows (one per value of one item its
-  condition requires) to a small anchor table that is broadcast; a
-  BroadcastNestedLoopJoin on ``contains/startswith/endswith/=`` finds the
-  candidate (row, rule) pairs and the full rule Column confirms them.
+  literal array. No join; planning cost grows with the rules.
 
 The compiled form de-duplicates matched log rows (at most one shuffled row
-per matching event); the anchor form de-duplicates (log row, rule) pairs.
+per matching event); the table form de-duplicates (log row, rule) pairs.
 Both then take a size-checked broadcast join with the technique table (whose
 columns are functions of the rule), the risk score and the 16-column
-projection. The rule table is small
-(one row per rule file) and is collected on the driver to build Columns;
-log data never leaves the executors.
+projection. The rule table is small (one row per rule file) and is collected
+on the driver; log data never leaves the executors.
 """
 
 from __future__ import annotations
 
-import ast
 import re
 from dataclasses import dataclass, field
 
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravenhunt.functions.matching import KNOWN_OPS, item_predicate
-from ravenhunt.operators.conditions import UnsupportedCondition, condition_column, parse_condition
-from ravenhunt.operators.joins import DEFAULT_BROADCAST_ROWS
+from ravenhunt.operators.conditions import UnsupportedCondition, condition_column
+from ravenhunt.operators.joins import sized_broadcast
 from ravenhunt.schemas import FINDING_COLUMNS, LOG_COLUMNS, RULE_VISIBLE_COLUMNS
 
 # --- fixed values (must equal the reference's behaviour) -------------------
@@ -49,12 +48,6 @@ TECHNIQUE_TAG_PATTERN = r"attack\.t(\d+(?:\.\d+)?)"
 NULL_TOKEN = "nan"
 # ----------------------------------------------------------------------------
 
-# Above this many rules the anchor join is chosen by ``strategy='auto'``.
-COMPILED_RULE_LIMIT = 24
-# Rules are collected on the driver to build Columns; guard the count.
-MAX_RULES = 100_000
-
-
 def technique_from_tags(tags: Column) -> Column:
     """First tag matching ``attack.t<id>`` (lower-cased) -> ``T<id>``."""
     ids = F.transform(tags, lambda t: F.regexp_extract(F.lower(t), TECHNIQUE_TAG_PATTERN, 1))
@@ -129,7 +122,7 @@ def compile_rules(rule_rows, field_map: dict[str, str] | None = None) -> list[Co
     from pyspark import SparkContext
 
     dicts = [r.asDict(recursive=True) if hasattr(r, "asDict") else dict(r) for r in rule_rows]
-    key = (id(SparkContext._active_spark_context), repr(dicts), tuple(sorted(fmap.items())))
+    key = (SparkContext._active_spark_context.applicationId, repr(dicts), tuple(sorted(fmap.items())))
     cached = _COMPILED.get(key)
     if cached is not None:
         return cached
@@ -186,15 +179,13 @@ def prepare_logs(logs: DataFrame, compat_nulls: bool = False) -> DataFrame:
 
 
 def first_technique(techniques: DataFrame) -> DataFrame:
-    """One row per technique id, the first in bundle order (``pos``)."""
-    if "pos" in techniques.columns:
-        w = Window.partitionBy("technique_id").orderBy("pos")
-        return (
-            techniques.withColumn("__rn", F.row_number().over(w))
-            .where("__rn = 1")
-            .drop("__rn", "pos")
-        )
-    return techniques.dropDuplicates(["technique_id"])
+    """One row per technique id, the first by bundle file and place in it
+    (``path``, ``pos``), then by its other columns, so that the result never
+    depends on how the rows are dealt."""
+    order = [c for c in ("path", "pos") if c in techniques.columns]
+    rest = [c for c in techniques.columns if c not in ("technique_id", "path", "pos")]
+    w = Window.partitionBy("technique_id").orderBy(*order, *rest)
+    return techniques.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "path", "pos")
 
 
 def enrich_technique(raw: DataFrame, techniques: DataFrame | None) -> DataFrame:
@@ -203,12 +194,7 @@ def enrich_technique(raw: DataFrame, techniques: DataFrame | None) -> DataFrame:
         tech = raw.sparkSession.createDataFrame(
             [], "technique_id string, name string, url string"
         )
-        bound = 0
     else:
-        # A driver-local table (literal rows) is already bounded by driver
-        # memory. Otherwise the de-duplicated table has at most as many rows
-        # as the input, so counting the input (a plain scan) bounds it.
-        bound = 0 if techniques.isLocal() else techniques.count()
         tech = first_technique(techniques).select("technique_id", "name", "url")
     tech = tech.select(
         F.col("technique_id").alias("__tid"),
@@ -216,8 +202,9 @@ def enrich_technique(raw: DataFrame, techniques: DataFrame | None) -> DataFrame:
         F.col("url").alias("mitre_technique_url"),
         F.lit(True).alias("__tech_found"),
     )
-    side = F.broadcast(tech) if bound <= DEFAULT_BROADCAST_ROWS else tech
-    joined = raw.join(side, raw["mitre_technique_id"] == F.col("__tid"), "left")
+    # driver-local rows are bounded by the driver's memory; others are measured
+    local = techniques is None or techniques.isLocal()
+    joined = raw.join(F.broadcast(tech) if local else sized_broadcast(tech), raw["mitre_technique_id"] == F.col("__tid"), "left")
     return joined.withColumn("risk_score", risk_score(F.col("rule_level"), F.col("__tech_found")))
 
 
@@ -319,86 +306,21 @@ def _raw_compiled(prepared: DataFrame, rules: list[CompiledRule]) -> DataFrame:
     )
 
 
-def _required_selection(cr: CompiledRule) -> str | None:
-    """A selection every match must satisfy (top-level name or AND member)."""
-    try:
-        tree = parse_condition(cr.condition)
-    except UnsupportedCondition:
-        return None
-    candidates = []
-    if isinstance(tree, ast.Name):
-        candidates = [tree.id]
-    elif isinstance(tree, ast.BoolOp) and isinstance(tree.op, ast.And):
-        candidates = [v.id for v in tree.values if isinstance(v, ast.Name)]
-    for name in candidates:
-        if name in cr.selections:
-            return name
-    return None
-
-
-def anchor_rows(rules: list[CompiledRule], field_map: dict[str, str] | None = None) -> list[tuple]:
-    """(rule_index, field, op, literal) rows; op 'always' when none fits."""
+# Rules that no literal can find are evaluated on every row, so many per scan.
+RULES_PER_SCAN = 4 * MASK_BITS
+
+
+def _raw_table(prepared: DataFrame, rule_rows: list[dict], field_map: dict[str, str] | None) -> DataFrame:
+    from ravenhunt.operators import ruletable
+
     fmap = {k.lower(): v for k, v in (field_map or DEFAULT_FIELD_MAP).items()}
-    rows = []
-    for cr in rules:
-        if cr.predicate is None:
-            continue
-        chosen = None
-        name = _required_selection(cr)
-        if name is not None:
-            for item in cr.selections[name]:
-                col_name = _resolve_field(item["field"], fmap)
-                if col_name is None or item["op"] not in KNOWN_OPS:
-                    continue
-                if item["op"] == "contains" and any("*" in v for v in item["values"]):
-                    continue
-                chosen = (col_name, item["op"], [str(v).lower() for v in item["values"]])
-                break
-        if chosen is None:
-            rows.append((cr.index, None, "always", None))
-        else:
-            col_name, op, values = chosen
-            rows.extend((cr.index, col_name, op, v) for v in dict.fromkeys(values))
-    return rows
-
-
-def _raw_anchor(prepared: DataFrame, rules: list[CompiledRule], field_map=None) -> DataFrame:
-    spark = prepared.sparkSession
-    active = {r.index: r for r in rules if r.predicate is not None}
-    rows = anchor_rows(rules, field_map)
-    meta = {
-        i: (r.rule_id, r.title, r.level, r.technique_id) for i, r in active.items()
-    }
-    anchors = spark.createDataFrame(
-        [(i, f, op, lit, *meta[i]) for i, f, op, lit in rows],
-        "__ridx int, __field string, __op string, __lit string, hunting_rule_id string, "
-        "hunting_rule_title string, rule_level string, mitre_technique_id string",
-    )
-    fields = sorted({f for _, f, _, _ in rows if f is not None})
-    ops = sorted({op for _, _, op, _ in rows if op != "always"})
-    a_field, a_op, a_lit = F.col("__field"), F.col("__op"), F.col("__lit")
-    cond = a_op == "always"
-    for f in fields:
-        lc = F.col(_lc(f))
-        for op in ops:
-            if op == "contains":
-                p = lc.contains(a_lit)
-            elif op == "startswith":
-                p = lc.startswith(a_lit)
-            elif op == "endswith":
-                p = lc.endswith(a_lit)
-            else:
-                p = lc == a_lit
-            cond = cond | ((a_field == f) & (a_op == op) & F.coalesce(p, F.lit(False)))
-    # The anchor table is built on the driver from the rule list: its size is
-    # known here, so the broadcast is bounded by construction.
-    candidates = prepared.join(F.broadcast(anchors), cond, "inner")
-    confirm = F.lit(False)
-    for i in sorted(active):
-        confirm = F.when(F.col("__ridx") == i, active[i].predicate).otherwise(confirm)
-    return candidates.where(confirm).select(
-        *LOG_COLUMNS, "hunting_rule_id", "hunting_rule_title", "rule_level", "mitre_technique_id"
-    )
+    parsed = ruletable.parse(rule_rows, lambda name: _resolve_field(name, fmap))
+    columns = [*LOG_COLUMNS, "hunting_rule_id", "hunting_rule_title", "rule_level", "mitre_technique_id"]
+    raw = ruletable.matches(prepared, parsed.indexed, _lc).select(*columns)
+    for i in range(0, len(parsed.everywhere), RULES_PER_SCAN):
+        rest = compile_rules([rule_rows[k] for k in parsed.everywhere[i : i + RULES_PER_SCAN]], field_map)
+        raw = raw.unionByName(_raw_compiled_dedup(prepared, merge_same_meta(rest)).select(*columns))
+    return raw
 
 
 def rule_attributes(tags, level) -> tuple[str | None, str]:
@@ -415,13 +337,10 @@ def rule_attributes(tags, level) -> tuple[str | None, str]:
 
 
 def collect_rules(rules: DataFrame) -> list[dict]:
-    """The rule table on the driver (at most one job), refusing more than
-    MAX_RULES; technique id and level are derived here."""
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; the rule table is collected to build Columns")
+    """The rule table on the driver (one job); technique id and level are
+    derived here."""
     out = []
-    for r in rows:
+    for r in rules.collect():
         d = r.asDict(recursive=True)
         d["technique_id"], d["rule_level"] = rule_attributes(d.get("tags"), d.get("level"))
         out.append(d)
@@ -432,25 +351,21 @@ def hunt(
     logs: DataFrame,
     rules: DataFrame | list,
     techniques: DataFrame | None = None,
-    strategy: str = "auto",
+    strategy: str = "table",
     compat_nulls: bool = False,
     field_map: dict[str, str] | None = None,
     dedupe: bool = True,
 ) -> DataFrame:
     """Findings (FINDING_SCHEMA) of all rules over all log rows."""
     rule_rows = collect_rules(rules) if isinstance(rules, DataFrame) else rules
-    compiled = compile_rules(rule_rows, field_map)
     prepared = prepare_logs(logs, compat_nulls)
-    n_active = sum(1 for r in compiled if r.predicate is not None)
-    if strategy == "auto":
-        strategy = "anchor" if n_active > COMPILED_RULE_LIMIT else "compiled"
-    if strategy == "compiled" and dedupe:
-        raw = _raw_compiled_dedup(prepared, merge_same_meta(compiled))
+    if strategy == "table":
+        raw = _raw_table(prepared, rule_rows, field_map)
+    elif strategy == "compiled" and dedupe:
+        raw = _raw_compiled_dedup(prepared, merge_same_meta(compile_rules(rule_rows, field_map)))
         dedupe = False
     elif strategy == "compiled":
-        raw = _raw_compiled(prepared, compiled)
-    elif strategy == "anchor":
-        raw = _raw_anchor(prepared, compiled, field_map)
+        raw = _raw_compiled(prepared, compile_rules(rule_rows, field_map))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     if dedupe:

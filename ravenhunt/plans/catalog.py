@@ -46,7 +46,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def findings(spark: SparkSession, sf_dir: str, strategy: str = "compiled", dedupe: bool = True) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, strategy: str = "table", dedupe: bool = True) -> DataFrame:
     return hunt(
         log_view(spark, sf_dir), rule_table(spark), technique_table(spark), strategy=strategy, dedupe=dedupe
     )
@@ -61,8 +61,8 @@ def q_hunt(spark, sf_dir):
 
 @register("pattern_theta_join", HUNT_WITH + "SELECT * FROM hunt")
 def q_pattern_theta_join(spark, sf_dir):
-    """The same hunt through the broadcast anchor (nested-loop) join."""
-    return findings(spark, sf_dir, strategy="anchor")
+    """The same hunt with every rule compiled to a Column (the other physical form)."""
+    return findings(spark, sf_dir, strategy="compiled")
 
 
 @register(

@@ -21,7 +21,7 @@ def _triples(df):
     return {(r.timestamp.strftime("%Y-%m-%d %H:%M:%S"), r.hostname, r.hunting_rule_title) for r in df.collect()}
 
 
-@pytest.mark.parametrize("strategy", ["compiled", "anchor"])
+@pytest.mark.parametrize("strategy", ["compiled", "table"])
 @pytest.mark.parametrize(
     "text,expected",
     [
@@ -83,6 +83,43 @@ def test_catalog_rules_equal_between_strategies(spark):
 
     lv = log_view(spark, "/root/testdata/sf0.001")
     a = hunt(lv, rule_table(spark), technique_table(spark), strategy="compiled")
-    b = hunt(lv, rule_table(spark), technique_table(spark), strategy="anchor")
+    b = hunt(lv, rule_table(spark), technique_table(spark), strategy="table")
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _many_rules(n):
+    """Rules of all shapes over the log view's values."""
+    out = []
+    for k in range(n):
+        detection = [
+            {"selection": {"username": f"user{k}"}, "condition": "selection"},
+            {"a": {"source_ip|startswith": f"10.0.{k % 256}."}, "b": {"hostname": [f"HOST-{k % 20}", "x"]}, "condition": "a and b"},
+            {"a": {"CommandLine|contains": f'"k": {k % 100}}}'}, "b": {"action": "click"}, "condition": "a and not b"},
+            {"a": {"destination_ip|endswith": f".{k % 200}"}, "b": {"Image|contains": "c*d"}, "condition": "a and b or b and c"},
+            {"a": {"Image|contains": ["cmd", "calc"]}, "b": {"event_id": str(k)}, "condition": "(b or a) and b"},
+            {"a": {"Image|contains": "cmd"}, "b": {"nofield": "x"}, "condition": "a and not b and not (a and b)"},
+            {"a": {"event_id|endswith": f"{k:04d}"}, "condition": "a"},
+        ][k % 7]
+        out.append({"id": f"r{k}", "title": f"t{k}", "level": ["low", "high"][k % 2], "tags": ["attack.t1049"], "detection": detection})
+    out.append({"id": "not", "title": "not", "detection": {"a": {"action": "click"}, "condition": "not a"}})
+    return out
+
+
+def test_hundreds_of_rules_equal_the_compiled_form(spark):
+    from ravenhunt.plans.views import log_view
+
+    lv = log_view(spark, "/root/testdata/sf0.001")
+    rules = rule_table(spark, _many_rules(300))
+    for dedupe in (True, False):
+        a = hunt(lv, rules, technique_table(spark), strategy="compiled", dedupe=dedupe)
+        b = hunt(lv, rules, technique_table(spark), dedupe=dedupe)
+        assert a.count() == b.count() > 300
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_thousands_of_rules_run(spark):
+    from ravenhunt.plans.views import log_view
+
+    f = hunt(log_view(spark, "/root/testdata/sf0.001"), rule_table(spark, _many_rules(5000)), technique_table(spark))
+    assert f.select("hunting_rule_id").distinct().count() > 500

@@ -16,7 +16,7 @@ def test_log_view_scan_is_pruned(spark):
 
 
 def test_compiled_hunt_plan(spark):
-    plan = _plan(findings(spark, SF))
+    plan = _plan(findings(spark, SF, strategy="compiled"))
     assert "Generate stack(" in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BroadcastHashJoin" in plan  # technique table, size-checked
     log_side = plan.split("BroadcastExchange")[0]
@@ -25,6 +25,8 @@ def test_compiled_hunt_plan(spark):
     assert log_side.count("Exchange hashpartitioning") == 1 and log_side.count("HashAggregate") == 2
 
 
-def test_anchor_hunt_plan(spark):
-    plan = _plan(findings(spark, SF, strategy="anchor"))
-    assert "BroadcastNestedLoopJoin" in plan
+def test_table_hunt_plan(spark):
+    plan = _plan(findings(spark, SF))
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert plan.count("BroadcastHashJoin") >= 3  # keys, rules, techniques
+    assert "events.parquet" in plan.split("BroadcastExchange")[0]
