@@ -11,11 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values (must equal the reference's behaviour) -------------------
-# Size limits: default string limit 10,000 characters; IOC fields 1,000;
-# simple log-entry cleaner 1,000.
-MAX_STRING_LENGTH = 10_000
-IOC_FIELD_LENGTH = 1_000
-CLEAN_ENTRY_LENGTH = 1_000
 REMOVED_TOKEN = "[REMOVED]"
 
 # Python's str-regex classes spelled out, so that Java (Spark) and RE2 (the
@@ -152,12 +147,12 @@ def html_escape(c) -> Column:
     return out
 
 
-def truncate(c, max_length: int = MAX_STRING_LENGTH) -> Column:
-    """Cut to ``max_length`` characters (done before X1-X3)."""
-    return F.left(_as_col(c), F.lit(int(max_length)))
+def truncate(c, max_length: int | None = None) -> Column:
+    """Cut to ``max_length`` characters (done before X1-X3); None: whole text."""
+    return _as_col(c) if max_length is None else F.left(_as_col(c), F.lit(int(max_length)))
 
 
-def sanitize(c, max_length: int = MAX_STRING_LENGTH, passes: int = 1) -> Column:
+def sanitize(c, max_length: int | None = None, passes: int = 1) -> Column:
     """P5: truncate, remove dangerous patterns, strip control chars, escape HTML.
 
     ``passes`` > 1 reproduces repeated sanitising (escaping is not idempotent).
@@ -169,7 +164,7 @@ def sanitize(c, max_length: int = MAX_STRING_LENGTH, passes: int = 1) -> Column:
     return out
 
 
-def sanitize_columns(columns, max_length: int = MAX_STRING_LENGTH, passes: int = 1):
+def sanitize_columns(columns, max_length: int | None = None, passes: int = 1):
     """DataFrame transform: sanitise the named text columns in place."""
 
     def _apply(df):
@@ -182,9 +177,9 @@ def sanitize_columns(columns, max_length: int = MAX_STRING_LENGTH, passes: int =
     return _apply
 
 
-def clean_log_entry(c, max_length: int = CLEAN_ENTRY_LENGTH) -> Column:
-    """Delete < > " ' and cut to 1,000 characters."""
-    return F.left(F.regexp_replace(_as_col(c), CLEAN_ENTRY_CHARS, ""), F.lit(int(max_length)))
+def clean_log_entry(c, max_length: int | None = None) -> Column:
+    """Delete < > " ' and, if asked, cut to ``max_length`` characters."""
+    return truncate(F.regexp_replace(_as_col(c), CLEAN_ENTRY_CHARS, ""), max_length)
 
 
 def redact_secrets(c) -> Column:
@@ -200,15 +195,6 @@ def dangerous_classes(c) -> Column:
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
 
 
-def is_dangerous(c) -> Column:
-    col = _as_col(c)
-    hits = [col.rlike(_java_pattern(n, p)) for n, p in DANGEROUS_PATTERNS]
-    out = hits[0]
-    for h in hits[1:]:
-        out = out | h
-    return out
-
-
 # --------------------------------------------------------------------------
 # DataFrame-level forms for whole texts: each regex step is its own
 # projection (so no step's expression is copied into the next), and each
@@ -241,7 +227,7 @@ def _guarded_replace(df, name: str, pattern: str, replacement: str):
     )
 
 
-def sanitize_frame(df, text_col: str, out_col: str, max_length: int = MAX_STRING_LENGTH, passes: int = 1):
+def sanitize_frame(df, text_col: str, out_col: str, max_length: int | None = None, passes: int = 1):
     """``sanitize`` of a whole-text column as staged, prefiltered steps."""
     out = df.withColumn(_TMP, truncate(F.col(text_col), max_length))
     for i in range(max(1, passes)):

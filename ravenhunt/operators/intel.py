@@ -77,9 +77,10 @@ def iocs_from_objects(objects: DataFrame, now: str, obj_col: str = "obj", feed_c
     )
 
 
-def sanitize_iocs(iocs: DataFrame, max_length: int = tx.IOC_FIELD_LENGTH) -> DataFrame:
-    """Every string field through the sanitiser (1,000 chars); keep rows
-    with a non-empty value. The raw value is kept as ``lookup_value``."""
+def sanitize_iocs(iocs: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Every string field through the sanitiser (cut to ``max_length`` if
+    given); keep rows with a non-empty value. The raw value is kept as
+    ``lookup_value``."""
     out = iocs.withColumn("lookup_value", F.col("value")).withColumns(
         {c: tx.sanitize(F.col(c), max_length) for c in IOC_STRING_FIELDS if c in iocs.columns}
     )

@@ -25,7 +25,7 @@ from ravenhunt.operators.hunt import (
 from ravenhunt.plans.oracle_hunt import HUNT_WITH
 from ravenhunt.plans.ruleset import rule_table, technique_table
 from ravenhunt.plans.views import LOG_VIEW_SQL, log_view
-from ravenhunt.session import ensure_on_workers
+from ravenhunt.session import ensure_on_workers, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,6 +65,54 @@ def q_pattern_theta_join(spark, sf_dir):
     return findings(spark, sf_dir, strategy="compiled")
 
 
+# One rule per part, in four shapes (rule text in Spark, predicates in SQL).
+_MANY_SQL = f"""WITH lc AS (SELECT *, lower(message) AS m, lower(source_ip) AS s, lower(destination_ip) AS d FROM ({LOG_VIEW_SQL})),
+many AS (SELECT lc.*, p.p_partkey AS k, p.p_name AS title, p.p_size AS size FROM lc, part p WHERE
+  (p.p_partkey % 4 = 0 AND lc.username = 'user' || CAST(p.p_partkey AS VARCHAR) AND NOT coalesce(lc.action = 'click', false))
+  OR (p.p_partkey % 4 = 1 AND coalesce(starts_with(lc.s, '10.0.' || CAST(p.p_partkey % 256 AS VARCHAR) || '.'), false)
+      AND lower(lc.hostname) = 'host-' || CAST(p.p_partkey % 20 AS VARCHAR))
+  OR (p.p_partkey % 4 = 2 AND contains(lc.m, '"k": ' || CAST(p.p_partkey % 100 AS VARCHAR) || '}}') AND contains(lc.process_name, 'cmd'))
+  OR (p.p_partkey % 4 = 3 AND coalesce(ends_with(lc.d, '.' || CAST(p.p_partkey % 200 AS VARCHAR)), false)
+      AND regexp_matches(lc.process_name, 'p.*sh')))
+SELECT DISTINCT timestamp, hostname, username, process_name, event_id, message, source_ip, destination_ip, action,
+       'part-' || CAST(k AS VARCHAR) AS hunting_rule_id, title AS hunting_rule_title,
+       CASE WHEN size % 2 = 0 THEN 'low' ELSE 'high' END AS rule_level, 'T1049' AS mitre_technique_id,
+       CASE WHEN size % 2 = 0 THEN 40 ELSE 90 END AS risk_score FROM many"""
+
+
+@register("hunt_many_rules", _MANY_SQL)
+def q_hunt_many_rules(spark, sf_dir):
+    """A rule for every row of ``part`` (thousands) over the whole log view."""
+    k = F.col("p_partkey")
+    text = k.cast("string")
+
+    def item(field, op, value):
+        return F.struct(F.lit(field).alias("field"), F.lit(op).alias("op"), F.array(value).alias("values"))
+
+    def selections(a, b):
+        return F.array(F.struct(F.lit("a").alias("name"), F.array(a).alias("items")), F.struct(F.lit("b").alias("name"), F.array(b).alias("items")))
+
+    shapes = [
+        selections(item("username", "equals", F.concat(F.lit("user"), text)), item("action", "equals", F.lit("click"))),
+        selections(item("source_ip", "startswith", F.concat(F.lit("10.0."), (k % 256).cast("string"), F.lit("."))),
+                   item("hostname", "equals", F.concat(F.lit("HOST-"), (k % 20).cast("string")))),
+        selections(item("CommandLine", "contains", F.concat(F.lit('"k": '), (k % 100).cast("string"), F.lit("}"))), item("Image", "contains", F.lit("cmd"))),
+        selections(item("destination_ip", "endswith", F.concat(F.lit("."), (k % 200).cast("string"))), item("Image", "contains", F.lit("p*sh"))),
+    ]
+    chosen = shapes[3]
+    for i in (2, 1, 0):
+        chosen = F.when(k % 4 == i, shapes[i]).otherwise(chosen)
+    rules = read_table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part-"), text).alias("id"), F.col("p_name").alias("title"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("low")).otherwise(F.lit("high")).alias("level"),
+        F.array(F.lit("attack.t1049")).alias("tags"), chosen.alias("selections"),
+        F.when(k % 4 == 0, F.lit("a and not b")).otherwise(F.lit("a and b")).alias("condition"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    found = hunt(log_view(spark, sf_dir), rules, technique_table(spark))
+    return found.withColumn("event_id", F.col("event_id").cast("long")).drop("mitre_technique_name", "mitre_technique_url")
+
+
 @register(
     "enrich_technique",
     HUNT_WITH
@@ -445,17 +493,17 @@ _TV = f"WITH tv AS ({tv.TEXT_VIEW_SQL}) "
 
 @register("sanitize_text", _TV + f"SELECT src, id, {tv.sql_sanitize('text')} AS clean_text FROM tv")
 def q_sanitize_text(spark, sf_dir):
-    """Sanitise every whole text (cut, patterns, control chars, escapes)."""
+    """Sanitise every whole text (patterns, control chars, escapes)."""
     v = tv.text_view(spark, sf_dir)
     return tx.sanitize_frame(v, "text", "clean_text").select("src", "id", "clean_text")
 
 
 @register(
     "clean_log_entry",
-    _TV + "SELECT src, id, left(regexp_replace(text, '[<>\"'']', '', 'g'), 1000) AS clean_text FROM tv",
+    _TV + "SELECT src, id, regexp_replace(text, '[<>\"'']', '', 'g') AS clean_text FROM tv",
 )
 def q_clean_log_entry(spark, sf_dir):
-    """Delete < > " ' and keep 1,000 characters, for every text."""
+    """Delete < > " ' from every whole text."""
     v = tv.text_view(spark, sf_dir)
     return v.select("src", "id", tx.clean_log_entry(F.col("text")).alias("clean_text"))
 
@@ -463,13 +511,19 @@ def q_clean_log_entry(spark, sf_dir):
 @register(
     "redact_secrets",
     _TV
-    + f"SELECT src, id, redacted FROM (SELECT src, id, text, {tv.sql_redact('text')} AS redacted FROM tv) "
-    "WHERE redacted <> text",
+    + f"SELECT src, id, redacted, redacted <> text AS changed FROM (SELECT src, id, text, {tv.sql_redact('text')} AS redacted FROM tv)",
 )
 def q_redact_secrets(spark, sf_dir):
-    """Redact secrets in every whole text; returns the texts that changed."""
+    """Every whole text with its secrets redacted, and whether it changed."""
     v = tx.redact_frame(tv.text_view(spark, sf_dir), "text", "redacted")
-    return v.where(F.col("redacted") != F.col("text")).select("src", "id", "redacted")
+    return v.select("src", "id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
+
+
+@register("truncate_text", _TV + "SELECT src, id, left(text, 1000) AS head, length(text) > 1000 AS cut FROM tv")
+def q_truncate_text(spark, sf_dir):
+    """The cut to a given number of characters, where a caller asks for one."""
+    v = tv.text_view(spark, sf_dir)
+    return v.select("src", "id", tx.truncate("text", 1000).alias("head"), (F.length("text") > 1000).alias("cut"))
 
 
 @register(
@@ -504,6 +558,14 @@ _EDGE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{v}')" for v in EDGE_VALUES
 _IV = f"WITH iv AS ({iv.IOC_VIEW_SQL}) "
 
 
+_IV_TAGS = f"WITH iv AS ({iv.ioc_sql(iv.FEED_OBJECTS_SQL, with_tags=True)}) "
+
+
+def _with_tags_text(iocs: DataFrame) -> DataFrame:
+    """Tags as JSON text, so that arrays compare as one value."""
+    return iocs.withColumn("tags", F.coalesce(F.to_json("tags"), F.lit("[]")))
+
+
 def _edges(spark):
     return spark.createDataFrame([(v,) for v in EDGE_VALUES], "value string")
 
@@ -528,23 +590,23 @@ _HOSTS_URLS_SQL = (
 
 @register(
     "ioc_extract",
-    _IV + "SELECT * FROM iv",
+    _IV_TAGS + "SELECT * FROM iv",
 )
 def q_ioc_extract(spark, sf_dir):
     """P10: IOC records from JSON feed objects (first present key, defaults, validity)."""
-    return iv.ioc_view(spark, sf_dir).drop("tags")
+    return _with_tags_text(iv.ioc_view(spark, sf_dir))
 
 
 @register(
     "ioc_sanitize",
-    _IV
+    _IV_TAGS
     + "SELECT "
-    + ", ".join(f"{tv.sql_sanitize(c, 1000)} AS {c}" for c in intel.IOC_STRING_FIELDS)
-    + ", feed, value AS lookup_value FROM iv WHERE coalesce(" + tv.sql_sanitize("value", 1000) + " <> '', false)",
+    + ", ".join(f"{tv.sql_sanitize(c)} AS {c}" for c in intel.IOC_STRING_FIELDS)
+    + ", tags, feed, value AS lookup_value FROM iv WHERE coalesce(" + tv.sql_sanitize("value") + " <> '', false)",
 )
 def q_ioc_sanitize(spark, sf_dir):
-    """Every IOC string field sanitised (1,000 chars); raw value kept for lookups."""
-    return intel.sanitize_iocs(iv.ioc_view(spark, sf_dir).drop("tags"))
+    """Every IOC string field sanitised; raw value kept for lookups."""
+    return intel.sanitize_iocs(_with_tags_text(iv.ioc_view(spark, sf_dir)))
 
 
 @register(
@@ -628,10 +690,10 @@ def q_ioc_validate(spark, sf_dir):
     return intel.validation_counts(cands)
 
 
-@register("iocs_by_type", _IV + "SELECT * FROM iv WHERE type = 'ip'")
+@register("iocs_by_type", _IV_TAGS + "SELECT * FROM iv WHERE type = 'ip'")
 def q_iocs_by_type(spark, sf_dir):
     """F16: IOCs of type ip."""
-    return intel.iocs_by_type(iv.ioc_view(spark, sf_dir).drop("tags"), "ip")
+    return intel.iocs_by_type(_with_tags_text(iv.ioc_view(spark, sf_dir)), "ip")
 
 
 _SAFE_SQL = """(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) = 'https' AND NOT (
@@ -663,10 +725,10 @@ def q_url_safety(spark, sf_dir):
     return c.select("url", va.url_is_safe(F.col("url")).alias("safe"))
 
 
-@register("all_iocs", _IV + f"SELECT iv.* FROM iv WHERE feed IN (SELECT name FROM ({iv.FEEDS_SQL}) WHERE enabled)")
+@register("all_iocs", _IV_TAGS + f"SELECT iv.* FROM iv WHERE feed IN (SELECT name FROM ({iv.FEEDS_SQL}) WHERE enabled)")
 def q_all_iocs(spark, sf_dir):
     """IOCs of all enabled feeds, no de-duplication."""
-    return intel.all_iocs(iv.ioc_view(spark, sf_dir).drop("tags"), iv.feed_table(spark))
+    return intel.all_iocs(_with_tags_text(iv.ioc_view(spark, sf_dir)), iv.feed_table(spark))
 
 
 def _lookup_values(spark, sf_dir):

@@ -250,7 +250,7 @@ _HOST_SQL = f"regexp_extract(url, '{iv.HOST_OF_URL}', 1)"
 @register(
     "ioc_text_feed",
     f"""SELECT value, 'domain' AS type, 'urlhaus_domains' AS source, 'medium' AS confidence,
-       '{iv.NOW}' AS timestamp, 'urlhaus_domains' AS feed
+       '{iv.NOW}' AS timestamp, CAST(NULL AS VARCHAR) AS tags, CAST(NULL AS VARCHAR) AS description, 'urlhaus_domains' AS feed
 FROM (SELECT {_HOST_SQL} AS value FROM pages) WHERE {iv.valid_ioc_sql('value', "'domain'")}""",
 )
 def q_ioc_text_feed(spark, sf_dir):
@@ -271,25 +271,26 @@ def q_ioc_text_feed(spark, sf_dir):
     path = scratch_path(spark, "text-feed")
     lines.write.text(path)
     out = src_intel.read_text_feed(spark, path, "urlhaus_domains", "domain", iv.NOW)
-    return out.drop("tags", "description")
+    return out.withColumn("tags", F.to_json("tags"))
 
 
 @register(
     "ioc_json_feed",
-    iv.ioc_sql(f"SELECT 'threatfox_iocs' AS feed, obj FROM ({iv.FEED_OBJECTS_SQL})", "'mixed'"),
+    iv.ioc_sql(f"SELECT 'threatfox_iocs' AS feed, obj FROM ({iv.FEED_OBJECTS_SQL})", "'mixed'", with_tags=True),
 )
 def q_ioc_json_feed(spark, sf_dir):
-    """JSON feed documents ``{"data": [...]}`` read and unwrapped."""
+    """JSON feed documents, the items six envelopes deep, read and unwrapped."""
     objs = iv.feed_objects(spark, sf_dir).select("obj")
     path = scratch_path(spark, "json-feed")
-    _documents(objs, "obj", '{"data": [', "]}").write.partitionBy("g").text(path)
+    deep = '{"data": {"iocs": {"data": {"data": {"iocs": {"data": ['
+    _documents(objs, "obj", deep, "]" + "}" * 6).write.partitionBy("g").text(path)
     out = src_intel.read_json_feed(spark, path, "threatfox_iocs", "mixed", iv.NOW)
-    return out.drop("tags")
+    return out.withColumn("tags", F.coalesce(F.to_json("tags"), F.lit("[]")))
 
 
 @register(
     "ioc_cache_read",
-    f"WITH iv AS ({iv.IOC_VIEW_SQL}) SELECT value, type, source, confidence, timestamp, description FROM iv",
+    f"WITH iv AS ({iv.ioc_sql(iv.FEED_OBJECTS_SQL, with_tags=True)}) SELECT value, type, source, confidence, timestamp, tags, description FROM iv",
 )
 def q_ioc_cache_read(spark, sf_dir):
     """IOC cache envelopes ``{timestamp, count, iocs}`` read back."""
@@ -303,7 +304,8 @@ def q_ioc_cache_read(spark, sf_dir):
     )
     path = scratch_path(spark, "ioc-cache")
     env.write.partitionBy("g").text(path)
-    return src_intel.read_ioc_cache(spark, path).drop("tags", "feed")
+    out = src_intel.read_ioc_cache(spark, path).drop("feed")  # one document holds several feeds
+    return out.withColumn("tags", F.coalesce(F.to_json("tags"), F.lit("[]")))
 
 
 _TID_SQL = "'T' || CAST(1000 + p_partkey % 150 AS VARCHAR)"
@@ -391,7 +393,8 @@ _FEED_TYPE_BY_NATION = "CASE s_nationkey % 3 WHEN 0 THEN 'ip' WHEN 1 THEN 'domai
     "feed_config",
     f"""SELECT s_name AS name, 'https://feeds.example/' || CAST(s_suppkey AS VARCHAR) AS url,
        {_FEED_TYPE_BY_NATION} AS feed_type, CAST(s_suppkey % 24 + 1 AS BIGINT) AS update_interval,
-       CASE WHEN s_suppkey % 5 = 0 THEN false ELSE true END AS enabled
+       CASE WHEN s_suppkey % 5 = 0 THEN false ELSE true END AS enabled,
+       CASE WHEN s_suppkey % 3 = 0 THEN '{{"X-Feed":"' || s_name || '"}}' END AS headers
 FROM supplier""",
 )
 def q_feed_config(spark, sf_dir):
@@ -406,26 +409,32 @@ def q_feed_config(spark, sf_dir):
         ftype.alias("feed_type"),
         (k % 24 + 1).alias("update_interval"),
         F.when(k % 5 == 0, F.lit(False)).alias("enabled"),
+        F.when(k % 3 == 0, F.create_map(F.lit("X-Feed"), F.col("s_name"))).alias("headers"),
     )
     objs = sup.select(F.to_json(feed).alias("o"))
     path = scratch_path(spark, "feed-config")
     _documents(objs, "o", '{"mitre_update_interval": 24, "cache_directory": "data/cti/", "ioc_feeds": [', "]}") \
         .write.partitionBy("g").text(path)
-    return src_intel.read_feed_config(spark, path).drop("headers")
+    out = src_intel.read_feed_config(spark, path)
+    return out.withColumn("headers", F.to_json("headers"))
 
 
-@register("file_manifest")
+@register(
+    "file_manifest",
+    """SELECT s_suppkey AS file_key, strlen(s_name || chr(10)) AS length, '.txt' AS extension,
+       true AS extension_allowed, true AS size_ok, sha256(s_name || chr(10)) AS sha256 FROM supplier""",
+)
 def q_file_manifest(spark, sf_dir):
-    """Size, type flags and SHA-256 of every input table file."""
-    return src_intel_manifest(spark, sf_dir)
-
-
-def src_intel_manifest(spark, sf_dir):
+    """Size, type flags and SHA-256 of files: one text file per supplier is
+    written and listed."""
     from ravenhunt.sources.files import file_manifest
 
-    return file_manifest(spark, sf_dir, glob="*.parquet").select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "extension", "extension_allowed",
-        "size_ok", "sha256",
+    path = scratch_path(spark, "manifest")
+    read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("value")).repartition("s_suppkey") \
+        .write.partitionBy("s_suppkey").text(path)
+    return file_manifest(spark, path, glob="*.txt").select(
+        F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long").alias("file_key"), "length", "extension",
+        "extension_allowed", "size_ok", "sha256",
     )
 
 
@@ -475,18 +484,27 @@ def q_ioc_cache_envelope(spark, sf_dir):
     return spark.read.schema("feed string, timestamp string, count long").json(path + "/envelope")
 
 
-@register("feeds_stale")
-def q_feeds_stale(spark, sf_dir):
-    """feeds whose cache file is missing or older than the interval."""
-    iocs = iv.ioc_view(spark, sf_dir)
-    path = scratch_path(spark, "stale")
-    exports.write_ioc_cache(iocs, path, iv.NOW)
-    from ravenhunt.sources.files import file_manifest
+_STALE_NOW = "2024-01-03 00:00:00"
+
 
-    man = file_manifest(spark, path + "/iocs").select(
-        F.regexp_extract("path", r"feed=([^/]+)/", 1).alias("feed"), "modificationTime"
-    ).groupBy("feed").agg(F.max("modificationTime").alias("modificationTime"))
-    return intel.feeds_stale(iv.feed_table(spark), man, iv.NOW)
+@register(
+    "feeds_stale",
+    f"""WITH f AS (SELECT s_name AS feed, s_suppkey % 24 + 1 AS hours, s_suppkey % 5 <> 0 AS enabled,
+  CASE WHEN s_suppkey % 4 <> 0 THEN TIMESTAMP '2024-01-02 00:00:00' + to_minutes(s_suppkey * 37 % 1440) END AS last_updated
+FROM supplier)
+SELECT feed, last_updated, last_updated IS NULL OR last_updated < TIMESTAMP '{_STALE_NOW}' - to_hours(hours) AS stale
+FROM f WHERE enabled""",
+)
+def q_feeds_stale(spark, sf_dir):
+    """feeds whose cache is missing or older than their interval, on a
+    manifest made from ``supplier`` (every fourth feed has no cache)."""
+    k = F.col("s_suppkey")
+    sup = read_table(spark, sf_dir, "supplier")
+    feeds = sup.select(F.col("s_name").alias("name"), (k % 24 + 1).alias("update_interval"), (k % 5 != 0).alias("enabled"))
+    start = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    manifest = sup.where(k % 4 != 0).select(
+        F.col("s_name").alias("feed"), (start + F.make_interval(mins=(k * 37 % 1440).cast("int"))).alias("modificationTime"))
+    return intel.feeds_stale(feeds, manifest, _STALE_NOW)
 
 
 # ------------------------------------------------------------- exports group
@@ -513,10 +531,23 @@ def q_export_findings(spark, sf_dir):
     return exports.findings_csv_frame(findings(spark, sf_dir))
 
 
-@register("siem_json")
+@register(
+    "siem_json",
+    HUNT_WITH
+    + f"""SELECT {_ts_sql('timestamp')} AS timestamp, 'threat_hunting_platform' AS source, 'threat_detection' AS event_type,
+       rule_level AS severity, risk_score, hostname, username, process_name, hunting_rule_id AS rule_id,
+       hunting_rule_title AS rule_title, mitre_technique_id AS technique_id, mitre_technique_name AS technique_name,
+       mitre_technique_url AS technique_url, message AS raw_message, source_ip, destination_ip, action FROM hunt""",
+)
 def q_siem_json(spark, sf_dir):
-    """K2: SIEM records with the nested technique struct."""
-    return exports.siem_frame(findings(spark, sf_dir))
+    """K2: SIEM records written as JSON Lines and read back (the nested
+    technique as columns)."""
+    path = scratch_path(spark, "siem")
+    frame = exports.siem_frame(findings(spark, sf_dir))
+    exports.write_siem_json(findings(spark, sf_dir), path)
+    back = spark.read.schema(frame.schema).json(path)
+    return back.select(*[c for c in back.columns if c != "mitre_technique"],
+                       *[F.col(f"mitre_technique.{c}").alias(f"technique_{c}") for c in ("id", "name", "url")])
 
 
 @register(
@@ -529,8 +560,26 @@ def q_siem_json(spark, sf_dir):
   || ' cs2Label=Process_Name msg=' || coalesce(message, 'nan') AS cef FROM hunt""",
 )
 def q_siem_cef(spark, sf_dir):
-    """K3: CEF lines of the findings."""
-    return exports.cef_frame(findings(spark, sf_dir))
+    """K3: CEF lines of the findings, written as text and read back."""
+    path = scratch_path(spark, "cef")
+    exports.write_cef(findings(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "cef")
+
+
+@register(
+    "extracted_iocs_file",
+    HUNT_WITH
+    + """SELECT DISTINCT kind, value FROM (
+  SELECT 'ip_addresses' AS kind, source_ip AS value FROM hunt UNION ALL SELECT 'ip_addresses', destination_ip FROM hunt
+  UNION ALL SELECT 'processes', process_name FROM hunt UNION ALL SELECT 'users', username FROM hunt
+  UNION ALL SELECT 'hosts', hostname FROM hunt UNION ALL SELECT 'techniques', mitre_technique_id FROM hunt)
+WHERE value IS NOT NULL""",
+)
+def q_extracted_iocs_file(spark, sf_dir):
+    """K4: the extracted indicators written as JSON Lines by kind and read back."""
+    path = scratch_path(spark, "extracted")
+    exports.write_extracted_iocs(findings(spark, sf_dir), path)
+    return spark.read.schema("value string, kind string").json(path)
 
 
 @register(
@@ -540,8 +589,14 @@ SELECT value, type, source, coalesce(confidence, 'medium') AS confidence, timest
        coalesce(description, '') AS description FROM iv""",
 )
 def q_ioc_store(spark, sf_dir):
-    """K6: IOC store rows (tags as JSON text); written partitioned by type."""
-    return exports.ioc_store_frame(iv.ioc_view(spark, sf_dir))
+    """K6: the IOC store (tags as JSON text), written in two appends
+    partitioned by type, and read back."""
+    path = scratch_path(spark, "store")
+    iocs = iv.ioc_view(spark, sf_dir)
+    exports.write_ioc_store(iocs.where("type = 'ip'"), path)
+    exports.write_ioc_store(iocs.where("type <> 'ip' or type is null"), path)
+    columns = exports.ioc_store_frame(iocs).columns
+    return spark.read.parquet(path).select(*columns)
 
 
 # ------------------------------------------------------------ profile group
@@ -582,31 +637,48 @@ def q_column_profile(spark, sf_dir):
 @register(
     "size_profile",
     """WITH b AS (SELECT count(*) AS n,
-  sum(strlen(CAST(event_id AS VARCHAR))) AS b0, sum(strlen(CAST(user_id AS VARCHAR))) AS b2,
-  sum(strlen(event_type)) AS b3, sum(strlen(props)) AS b5 FROM events)
-SELECT n AS row_count, 4 AS column_count, c AS column_name, CAST(bytes AS BIGINT) AS bytes,
+  sum(strlen(CAST(event_id AS VARCHAR))) AS b0, sum(strlen(CAST(ts AS VARCHAR))) AS b1,
+  sum(strlen(CAST(user_id AS VARCHAR))) AS b2, sum(strlen(event_type)) AS b3, sum(strlen(CAST(value AS VARCHAR))) AS b4,
+  sum(strlen(props)) AS b5 FROM events)
+SELECT n AS row_count, 6 AS column_count, c AS column_name, CAST(bytes AS BIGINT) AS bytes,
        c = '__total__' AND (n > 1000000 OR bytes > 524288000) AS over_limit
-FROM b, LATERAL (VALUES ('event_id', b0), ('user_id', b2), ('event_type', b3), ('props', b5),
-                        ('__total__', b0 + b2 + b3 + b5)) t(c, bytes)""",
+FROM b, LATERAL (VALUES ('event_id', b0), ('ts', b1), ('user_id', b2), ('event_type', b3), ('value', b4),
+                        ('props', b5), ('__total__', b0 + b1 + b2 + b3 + b4 + b5)) t(c, bytes)""",
 )
 def q_size_profile(spark, sf_dir):
     """Text bytes per column and in total, with the limit flag."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
-    return profile.size_profile(ev)
+    return profile.size_profile(read_table(spark, sf_dir, "events"))
+
+
+_NARROW_SQL = (
+    "SELECT " + ", ".join(
+        f"CAST(CAST({n} AS FLOAT) AS DOUBLE) AS {n}" if k == "float" else f"{n}" if k != "other" else f"CAST({n} AS VARCHAR) AS {n}"
+        for n, _, k in _LINEITEM)
+    + ", " + ", ".join(
+        (f"(SELECT {_suggest_sql(k, d)} FROM (SELECT {n} AS c FROM lineitem)) AS {n}_type" if k == "int"
+         else f"'{'float' if k == 'float' else d}' AS {n}_type")
+        for n, d, k in _LINEITEM)
+    + " FROM lineitem"
+)
 
 
-@register("narrow_types")
+@register("narrow_types", _NARROW_SQL)
 def q_narrow_types(spark, sf_dir):
-    """Lineitem rewritten with the smallest fitting types."""
+    """Lineitem rewritten with the smallest fitting types: every value
+    after the change, and each column's new type."""
     li = read_table(spark, sf_dir, "lineitem")
-    return profile.narrow_types(li, profile.column_profile(li, exact=False))
+    out = profile.narrow_types(li, profile.column_profile(li, exact=False))
+    wide = {"int": "long", "float": "double", "text": "string", "other": "string"}
+    return out.select(*[F.col(n).cast(wide[k]).alias(n) for n, _, k in _LINEITEM],
+                      *[F.typeof(F.col(n)).alias(f"{n}_type") for n, _, _ in _LINEITEM])
 
 
-@register("observed_counts", HUNT_WITH + "SELECT * FROM hunt")
+@register("observed_counts", HUNT_WITH + "SELECT count(*) AS row_count, max(risk_score) AS max_risk FROM hunt")
 def q_observed_counts(spark, sf_dir):
-    """Run metrics via ``observe`` while the findings are produced."""
-    df, _obs = profile.observed(findings(spark, sf_dir), "hunt")
-    return df
+    """Run metrics via ``observe`` while the findings are written: the metrics."""
+    df, obs = profile.observed(findings(spark, sf_dir), "hunt")
+    df.write.parquet(scratch_path(spark, "observed"))
+    return spark.createDataFrame([(obs.get["row_count"], obs.get["max_risk"])], "row_count long, max_risk int")
 
 
 # -------------------------------------------------------------- burst group

@@ -29,7 +29,7 @@ FEEDS = [
         "mixed",
         4,
         True,
-        {"User-Agent": "ThreatHunting-Platform/1.0"},
+        {"User-Agent": "feed-reader"},
     ),
     ("retired_feed", "http://192.168.1.5/feed.txt", "ip", 24, False, None),
 ]

@@ -160,7 +160,3 @@ def rule_table(spark: SparkSession, docs: list[dict] | None = None) -> DataFrame
 def technique_table(spark: SparkSession) -> DataFrame:
     rows = [(tid, name, desc, TECHNIQUE_URL_PREFIX + tid) for tid, name, desc in TECHNIQUES]
     return spark.createDataFrame(rows, TECHNIQUE_SCHEMA)
-
-
-def tactic_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TACTICS.items()), "base_technique string, tactic string")

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravenhunt.functions import text as tx
 from ravenhunt.session import read_table
 
 # Edge rows (ours): each exercises one branch of the sanitiser/redactor.
@@ -79,43 +78,55 @@ def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+# The oracle's own patterns (RE2): fixed values, written out here so that a
+# wrong pattern in the library shows.
+_WORD, _NOT_WORD = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+_BLANKS = r"\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE, _NOT_SPACE = f"[{_BLANKS}]", f"[^{_BLANKS}]"
+SQL_PATTERNS = {
+    "script_tag": f"(?is)<script(?:{_NOT_WORD}.*?)?</script>",
+    "javascript_url": "(?i)javascript:",
+    "data_url": "(?i)data:",
+    "vbscript_url": "(?i)vbscript:",
+    "event_handler": f"(?i)on{_WORD}+{_SPACE}*=",
+    "css_expression": rf"(?i)expression{_SPACE}*\(",
+    "python_import": f"(?i)import{_SPACE}+(?:os|subprocess|sys)",
+    "python_eval": rf"(?i)(?:eval|exec){_SPACE}*\(",
+    "python_introspection": "(?i)__import__|getattr|setattr|delattr",
+}
+SQL_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+SQL_SECRET = f"(?i)(password|key|token|secret|auth)[=:]{_SPACE}*{_NOT_SPACE}+"
+SQL_API_KEY = f"(?i)api[_-]?key[=:]{_SPACE}*{_NOT_SPACE}+"
+
+
 def sql_remove_dangerous(x: str) -> str:
-    """X1 in RE2: same patterns; the one lookahead is done by protecting
-    ``data:image/`` with a \\x01 that X2 removes afterwards."""
-    for name, pattern in tx.DANGEROUS_PATTERNS:
-        flags = "(?is)" if name == "script_tag" else "(?i)"
+    """X1 in RE2; the one lookahead is done by protecting ``data:image/`` with
+    a \\x01 that X2 removes afterwards."""
+    for name, pattern in SQL_PATTERNS.items():
         if name == "data_url":
             x = f"regexp_replace({x}, '(?i)(data)(:image/)', '\\1' || chr(1) || '\\2', 'g')"
-            x = f"regexp_replace({x}, '(?i)data:', '{tx.REMOVED_TOKEN}', 'g')"
-            continue
-        x = f"regexp_replace({x}, '{flags}{_q(pattern)}', '{tx.REMOVED_TOKEN}', 'g')"
+        x = f"regexp_replace({x}, '{_q(pattern)}', '[REMOVED]', 'g')"
     return x
 
 
-def sql_sanitize(x: str, max_length: int = tx.MAX_STRING_LENGTH) -> str:
-    x = f"left({x}, {int(max_length)})"
+def sql_sanitize(x: str) -> str:
     x = sql_remove_dangerous(x)
-    x = f"regexp_replace({x}, '{tx.CONTROL_CHARS}', '', 'g')"
-    for raw, esc in tx.HTML_ESCAPES:
+    x = f"regexp_replace({x}, '{SQL_CONTROL}', '', 'g')"
+    for raw, esc in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = f"replace({x}, '{_q(raw)}', '{_q(esc)}')"
     return x
 
 
 def sql_redact(x: str) -> str:
-    x = f"regexp_replace({x}, '(?i){_q(tx.SECRET_PATTERN)}', '\\1=***REDACTED***', 'g')"
-    return f"regexp_replace({x}, '(?i){_q(tx.API_KEY_PATTERN)}', '{tx.API_KEY_REPLACEMENT}', 'g')"
+    x = f"regexp_replace({x}, '{_q(SQL_SECRET)}', '\\1=***REDACTED***', 'g')"
+    return f"regexp_replace({x}, '{_q(SQL_API_KEY)}', 'api_key=***REDACTED***', 'g')"
 
 
 def sql_dangerous_hits(x: str) -> list[tuple[str, str]]:
     out = []
-    for name, pattern in tx.DANGEROUS_PATTERNS:
-        flags = "(?is)" if name == "script_tag" else "(?i)"
+    for name, pattern in SQL_PATTERNS.items():
+        cond = f"regexp_matches({x}, '{_q(pattern)}')"
         if name == "data_url":
-            cond = (
-                f"len(regexp_extract_all({x}, '(?i)data:')) > "
-                f"len(regexp_extract_all({x}, '(?i)data:image/'))"
-            )
-        else:
-            cond = f"regexp_matches({x}, '{flags}{_q(pattern)}')"
+            cond = f"len(regexp_extract_all({x}, '(?i)data:')) > len(regexp_extract_all({x}, '(?i)data:image/'))"
         out.append((name, cond))
     return out

@@ -1,8 +1,10 @@
 """File manifest - existence, type, size limit and SHA-256 per file.
 
 ``binaryFile`` lists files on any Hadoop file system and reads each file's
-bytes in the task that hashes it; only files within the size limit are
-hashed. Works on a single file or a whole directory tree.
+bytes in the task that hashes it. With a size limit, the content of larger
+files is not even read (the reader applies the filter on length before it
+opens a file); a file beyond Spark's 2 GiB for one value needs such a limit.
+Works on a single file or a whole directory tree.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values (must equal the reference's behaviour) -------------------
-MAX_FILE_BYTES = 100 * 1024 * 1024
+MAX_FILE_BYTES = 100 * 1024 * 1024  # the ``size_ok`` flag
 ALLOWED_EXTENSIONS = [".csv", ".json", ".jsonl", ".log", ".txt"]
 # ----------------------------------------------------------------------------
 
@@ -20,22 +22,29 @@ def file_manifest(
     spark: SparkSession,
     path: str,
     allowed_extensions: list[str] | None = None,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     glob: str | None = None,
+    size_flag: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     allowed = ALLOWED_EXTENSIONS if allowed_extensions is None else allowed_extensions
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
+    digest = F.sha2(F.col("content"), 256)
+    rows = files.where(F.col("length") <= max_bytes) if max_bytes is not None else files
+    rows = rows.select("path", "length", "modificationTime", digest.alias("sha256"))
+    if max_bytes is not None:
+        large = files.where(F.col("length") > max_bytes).select("path", "length", "modificationTime")
+        rows = rows.unionByName(large.withColumn("sha256", F.lit(None).cast("string")))
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1))
-    size_ok = F.col("length") <= F.lit(max_bytes)
-    return files.select(
+    size_ok = F.col("length") <= F.lit(size_flag)
+    return rows.select(
         "path",
         "length",
         "modificationTime",
         ext.alias("extension"),
         ext.isin(allowed).alias("extension_allowed"),
         size_ok.alias("size_ok"),
-        F.when(size_ok, F.sha2(F.col("content"), 256)).alias("sha256"),
+        "sha256",
     )

@@ -31,9 +31,6 @@ DEFAULT_FEEDS = [
 DEFAULT_MITRE_INTERVAL = 24
 # ----------------------------------------------------------------------------
 
-# Envelope nesting followed for JSON feed documents ({data: {iocs: [...]}}).
-MAX_ENVELOPE_DEPTH = 4
-
 _WS = r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -71,17 +68,21 @@ def _is_kind(v: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
 
 
-def json_feed_items(doc: Column) -> Column:
-    """Unwrap a parsed feed document to its array: a list is used as is; an
-    object is replaced by its ``data`` member, else its ``iocs`` member,
-    recursively; anything else yields no items."""
-    v = doc
-    for _ in range(MAX_ENVELOPE_DEPTH):
+def json_feed_items(docs: DataFrame, doc_col: str) -> DataFrame:
+    """Unwrap parsed feed documents to (item): a list is used as is; an object
+    is replaced by its ``data`` member, else its ``iocs`` member, however deep;
+    anything else yields no items. Each round unwraps one level of all
+    documents, until none is an object any more. (Aggregates and the outer
+    explode keep the levels apart: a filter would be pushed below them and copy
+    each level's expression into the next.)"""
+    v = F.col(doc_col)
+    while docs.agg(F.max(_is_kind(v, "OBJECT"))).first()[0]:
         inner = F.coalesce(
             F.try_variant_get(v, "$.data", "variant"), F.try_variant_get(v, "$.iocs", "variant")
         )
-        v = F.when(_is_kind(v, "ARRAY"), v).when(_is_kind(v, "OBJECT"), inner)
-    return F.when(_is_kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+        docs = docs.withColumn(doc_col, F.when(_is_kind(v, "ARRAY"), v).when(_is_kind(v, "OBJECT"), inner))
+    items = F.when(_is_kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return docs.select(F.explode_outer(items).alias("item"))
 
 
 def read_json_feed(spark: SparkSession, path: str, feed: str, feed_type: str, now: str,
@@ -92,7 +93,7 @@ def read_json_feed(spark: SparkSession, path: str, feed: str, feed_type: str, no
         objs = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("obj"))
     else:
         docs = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-        items = docs.select(F.explode(json_feed_items(F.try_parse_json("value"))).alias("item"))
+        items = json_feed_items(docs.select(F.try_parse_json("value").alias("doc")), "doc")
         objs = items.where(_is_kind(F.col("item"), "OBJECT")).select(F.to_json("item").alias("obj"))
     m = F.from_json(F.col("obj"), "map<string,string>")
     out = objs.select(extract_ioc(m, F.lit(feed_type), now).alias("ioc")).where(F.col("ioc").isNotNull())
@@ -123,12 +124,6 @@ def read_ioc_cache(spark: SparkSession, path: str, feed: str | None = None) -> D
         raise
 
 
-def read_partitioned_cache(spark: SparkSession, path: str) -> DataFrame:
-    """IOC cache written by ``sinks.write_ioc_cache``: JSON Lines of IOC rows
-    partitioned by feed (no single record holds a whole feed)."""
-    schema = T.StructType([f for f in IOC_SCHEMA.fields if f.name != "feed"])
-    return spark.read.schema(schema).json(f"{path.rstrip('/')}/iocs").select(*IOC_SCHEMA.names)
-
 
 _REF = T.StructType(
     [T.StructField("source_name", T.StringType()), T.StructField("external_id", T.StringType()),
@@ -172,6 +167,7 @@ def read_attack_bundle(spark: SparkSession, path: str, lines: bool = False) -> D
     if lines:
         objs = spark.read.schema(_OBJECT).json(path).select(
             F.struct(*[F.col(f.name) for f in _OBJECT.fields]).alias("obj"),
+            F.input_file_name().alias("path"),
             F.monotonically_increasing_id().alias("pos"),
         )
     else:
@@ -181,14 +177,10 @@ def read_attack_bundle(spark: SparkSession, path: str, lines: bool = False) -> D
             .option("recursiveFileLookup", True)
             .json(path)
         )
-        objs = bundle.select(F.posexplode("objects").alias("pos", "obj"))
+        objs = bundle.select(F.input_file_name().alias("path"), F.posexplode("objects").alias("pos", "obj"))
     return techniques_from_objects(objs)
 
 
-def technique_rows(techniques: DataFrame) -> DataFrame:
-    return techniques.select(*TECHNIQUE_SCHEMA.names)
-
-
 _CONFIG = T.StructType(
     [
         T.StructField("mitre_update_interval", T.LongType()),
