@@ -163,29 +163,44 @@ _EXTRA_CSV = [
     "2024-03-01 00:00:00,EXTRA-HOST,x,y.exe,1,,,a,b,c,d",
     "2024-03-02 00:00:00,SHORT-HOST,shortuser",
     '2024-03-03 00:00:00,QUOTED,u,p.exe,7,,,"has, comma",done',
+    '2024-03-05 00:00:00,BROKEN,u,b.exe,9,,,"two\nlines",done',
     "2024-03-04 00:00:00,NA-HOST,NA,n.exe,8,NA,null,None,N/A",
 ]
 _EXTRA_CSV_SQL = """SELECT * FROM (VALUES
   (TIMESTAMP '2024-03-02 00:00:00', 'SHORT-HOST', 'shortuser', NULL, NULL, NULL, NULL, NULL, NULL),
   (TIMESTAMP '2024-03-03 00:00:00', 'QUOTED', 'u', 'p.exe', 7, 'has, comma', NULL, NULL, 'done'),
+  (TIMESTAMP '2024-03-05 00:00:00', 'BROKEN', 'u', 'b.exe', 9, 'two' || chr(10) || 'lines', NULL, NULL, 'done'),
   (TIMESTAMP '2024-03-04 00:00:00', 'NA-HOST', NULL, 'n.exe', 8, NULL, NULL, NULL, NULL))
   v(timestamp, hostname, username, process_name, event_id, message, source_ip, destination_ip, action)"""
 
 
+_HALF_ACTION = "CASE WHEN event_id % 2 = 0 THEN action END AS action"
+
+
+def _two_headers(spark, sf_dir, path):
+    """The log view as CSV files of two kinds: one with all columns, one with
+    the columns in reverse order and without the action."""
+    src = _as_source(log_view(spark, sf_dir), src_logs.CSV_COLUMN_MAP)
+    src.where("EventID % 2 = 0").write.options(**CSV_WRITE).csv(path)
+    src.where("EventID % 2 <> 0").select(*[c for c in reversed(src.columns) if c != "Action"]) \
+        .write.mode("append").options(**CSV_WRITE).csv(path)
+
+
 def _csv_dir(spark, sf_dir, name):
     path = scratch_path(spark, name)
-    _as_source(log_view(spark, sf_dir), src_logs.CSV_COLUMN_MAP).write.options(**CSV_WRITE).csv(path)
+    _two_headers(spark, sf_dir, path)
     _write_lines(spark, _EXTRA_CSV, path)
     return path
 
 
 @register(
     "scan_csv_logs",
-    _LV + f"SELECT {_LV_COLS}, action FROM lv UNION ALL {_EXTRA_CSV_SQL}",
+    _LV + f"SELECT {_LV_COLS}, {_HALF_ACTION} FROM lv UNION ALL {_EXTRA_CSV_SQL}",
 )
 def q_scan_csv_logs(spark, sf_dir):
-    """The log view written as CSV (+ a file with an over-long, a short, a
-    quoted-comma and an NA-text line), read back and normalised."""
+    """The log view written as CSV under two headers (+ a file with an
+    over-long, a short, a quoted-comma, a quoted line break and an NA-text line),
+    read back by column name and normalised."""
     return src_logs.read_csv_logs(spark, _csv_dir(spark, sf_dir, "scan-csv"))
 
 
@@ -231,16 +246,20 @@ def q_scan_json_logs(spark, sf_dir):
 @register(
     "read_logs_mixed",
     _LV
-    + f"""SELECT {_LV_COLS}, action FROM lv
-UNION ALL SELECT {_LV_COLS}, CAST(NULL AS VARCHAR) FROM lv""",
+    + f"""SELECT {_LV_COLS}, {_HALF_ACTION} FROM lv
+UNION ALL SELECT {_LV_COLS}, CAST(NULL AS VARCHAR) FROM lv
+UNION ALL SELECT {_LV_COLS}, CAST(NULL AS VARCHAR) FROM lv WHERE event_id % 200 = 0""",
 )
 def q_read_logs_mixed(spark, sf_dir):
-    """One folder with CSV and JSON parts; dispatch by extension, union
+    """One folder with CSV parts under two headers, JSON parts by line and
+    JSON documents over several lines; dispatch by extension and content, union
     (the extra-lines file is .txt, so the extension filter leaves it out)."""
     path = _csv_dir(spark, sf_dir, "mixed")
     _as_source(log_view(spark, sf_dir), src_logs.JSON_COLUMN_MAP).write.mode("append").options(**JSON_WRITE).json(
         path + "/json"
     )
+    docs = _as_source(log_view(spark, sf_dir), src_logs.JSON_COLUMN_MAP).where("event_id % 200 = 0")
+    docs.write.mode("append").options(**JSON_WRITE).option("pretty", True).option("maxRecordsPerFile", 1).json(path + "/documents")
     return src_logs.read_logs(spark, path)
 
 
@@ -722,10 +741,11 @@ def _run(query) -> None:
         raise query.exception()
 
 
-@register("stream_ingest", _LV + f"SELECT {_LV_COLS}, action FROM lv")
+@register("stream_ingest", _LV + f"SELECT {_LV_COLS}, {_HALF_ACTION} FROM lv")
 def q_stream_ingest(spark, sf_dir):
-    """ST1: log files ingested as a stream (2 files per micro-batch)."""
-    src = _log_files(spark, sf_dir, "st-in")
+    """ST1: log files under two headers ingested as a stream (2 files per micro-batch)."""
+    src = scratch_path(spark, "st-in")
+    _two_headers(spark, sf_dir, src)
     out, ckpt = scratch_path(spark, "st-in-out"), scratch_path(spark, "st-in-ckpt")
     _run(jobs.start_ingest(src_logs.read_log_stream(spark, src, "csv", max_files_per_trigger=2), out, ckpt))
     return spark.read.parquet(out)

@@ -8,7 +8,10 @@ are the ``try_`` forms (bad values -> null per value, never a failed task).
 
 from __future__ import annotations
 
+import csv
 import os
+import warnings
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,28 +105,69 @@ def _keep_lines(raw: DataFrame, header: list[str]) -> DataFrame:
     return raw.where(ok & all_cols).drop(CORRUPT)
 
 
+def _first_lines(spark: SparkSession, path: str, ext: str | None) -> DataFrame:
+    """(file, line, odd): each file's first line with text, and how many lines
+    have an odd number of quotes. The first line comes from the split that
+    begins the file, which one task reads in order."""
+    lines = _reader(spark, ext).text(path)
+    begins = F.input_file_block_start() == 0
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.select(
+        F.input_file_name().alias("file"), F.when(begins & (F.trim("value") != ""), F.col("value")).alias("line"), (quotes % 2).alias("odd"),
+    ).groupBy("file").agg(F.first("line", ignorenulls=True).alias("line"), F.sum("odd").alias("odd"))
+
+
+def _file_groups(files: DataFrame, *by: str) -> list[tuple]:
+    """(*by, paths): the files of each kind (only names reach the driver)."""
+    groups = files.groupBy(*by).agg(F.collect_list("file").alias("files")).collect()
+    return [(*[g[c] for c in by], sorted(unquote(f) for f in g["files"])) for g in groups]
+
+
+def _header_names(line: str) -> list[str]:
+    """Column names of a header line; a repeated name gets its place."""
+    names = next(csv.reader([line.removeprefix("\ufeff")]))
+    return [n if n and names.index(n) == i else f"{n}_{i}" for i, n in enumerate(names)]
+
+
 def read_csv_logs(
     spark: SparkSession,
     path: str,
     column_map: dict[str, str] | None = None,
     na_values: list[str] | None = PANDAS_NA_VALUES,
     max_rows: int | None = None,
+    multi_line: bool | None = None,
+    ext: str | None = None,
 ) -> DataFrame:
-    """Header CSV; lines with too many fields are skipped, short lines
-    are padded with nulls; quoted fields may hold commas."""
-    header = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", True)
-        .option("header", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    kept = _keep_lines(raw, header)
-    out = normalize(kept, CSV_COLUMN_MAP if column_map is None else column_map, na_values)
+    """Header CSV; columns go by the name in their own file's header, so
+    files of one folder may differ in order and choice of columns. Lines with
+    too many fields are skipped, short lines are padded with nulls; quoted
+    fields may hold commas.
+
+    ``multi_line`` says whether quoted fields hold line breaks; such files are
+    read by one task each. None: a file is read so if one of its lines has an
+    odd number of quotes, and a warning names how many do."""
+    files = _first_lines(spark, path, ext).where("line is not null")
+    broken = F.lit(multi_line) if multi_line is not None else F.col("odd") > 0
+    groups = _file_groups(files.withColumn("broken", broken), "line", "broken")
+    if multi_line is None and any(g[1] for g in groups):
+        warnings.warn(f"{sum(len(g[2]) for g in groups if g[1])} CSV files below {path} have quoted line breaks", stacklevel=2)
+    out = None
+    for line, broken, paths in groups:
+        header = _header_names(line)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(CORRUPT, T.StringType())])
+        raw = (
+            _reader(spark, ext).schema(schema)
+            .option("header", True)
+            .option("escape", '"')
+            .option("multiLine", broken)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .csv(path if len(groups) == 1 else paths)
+        )
+        part = normalize(_keep_lines(raw, header), CSV_COLUMN_MAP if column_map is None else column_map, na_values)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], LOG_SCHEMA)
     return out.limit(max_rows) if max_rows else out
 
 
@@ -197,47 +241,73 @@ def _has_files(spark: SparkSession, path: str, ext: str) -> bool:
 
 
 def _reader(spark: SparkSession, ext: str | None):
-    r = spark.read
-    if ext is not None:
-        r = r.option("pathGlobFilter", f"*{ext}").option("recursiveFileLookup", True)
-    return r
+    r = spark.read.option("recursiveFileLookup", True)
+    return r if ext is None else r.option("pathGlobFilter", f"*{ext}")
 
 
 def _read_glob(spark, path, ext, kind, column_map=None, na_values=PANDAS_NA_VALUES, max_rows=None):
     """Read one format below a directory (files picked by extension)."""
     if kind == "csv":
-        header = _reader(spark, ext).option("header", True).csv(path).columns
-        schema = T.StructType(
-            [T.StructField(c, T.StringType()) for c in header] + [T.StructField(CORRUPT, T.StringType())]
-        )
-        raw = (
-            _reader(spark, ext).schema(schema).option("header", True).option("escape", '"')
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-        )
-        raw = _keep_lines(raw, header)
-        out = normalize(raw, CSV_COLUMN_MAP if column_map is None else column_map, na_values)
-    else:
-        cmap = JSON_COLUMN_MAP if column_map is None else column_map
-        # Below a directory, .json parts are read line by line: that covers
-        # JSON Lines and one-line documents (a top-level array yields one row
-        # per element) and lets every file split across tasks. A single
-        # pretty-printed document is read with fmt="json".
-        r = _reader(spark, ext).schema(_json_source_schema(cmap)).option("mode", "DROPMALFORMED")
-        out = normalize(r.json(path), cmap)
+        return read_csv_logs(spark, path, column_map, na_values, max_rows, ext=ext)
+    cmap = JSON_COLUMN_MAP if column_map is None else column_map
+    schema = _json_source_schema(cmap)
+    # A file whose first line is a whole JSON value is read line by line (JSON
+    # Lines and one-line documents; such files split across tasks), any other
+    # as one document.
+    groups = [(False, [])]
+    if kind == "json":
+        whole = F.try_parse_json("line").isNotNull()
+        groups = _file_groups(_first_lines(spark, path, ext).withColumn("document", ~whole & F.col("line").isNotNull()), "document")
+    out = None
+    for document, paths in groups:
+        r = _reader(spark, ext).schema(schema).option("mode", "DROPMALFORMED").option("multiLine", bool(document))
+        part = normalize(r.json(path if len(groups) == 1 else paths), cmap)
+        out = part if out is None else out.unionByName(part)
     return out.limit(max_rows) if max_rows else out
 
 
+# A record ends at a line break outside quotes; a field at a comma outside quotes.
+_RECORDS = r'(?:[^"\n]++|"(?:[^"]|"")*+")++'
+_FIELDS = r'(?:^|,)("(?:[^"]|"")*+"|[^,]*+)'
+
+
+def csv_rows(texts: DataFrame, names: list[str], text_col: str = "value") -> DataFrame:
+    """Rows of whole CSV texts (one file each), with the columns ``names``
+    found by each text's own header; the rules for long and short lines are
+    those of ``read_csv_logs``."""
+    def fields(record: Column) -> Column:
+        return F.transform(F.regexp_extract_all(record, F.lit(_FIELDS), 1), lambda f: F.when(
+            f.startswith('"'), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+
+    text = F.replace(F.regexp_replace(text_col, "^\ufeff", ""), F.lit("\r\n"), F.lit("\n"))
+    records = F.filter(F.regexp_extract_all(text, F.lit(_RECORDS), 0), lambda x: F.trim(x) != "")
+    rows = texts.select(records.alias("records")).where(F.size("records") > 1)
+    # the header goes into each element, so that no exploded row drags the whole text along
+    header = F.array_repeat(fields(F.get("records", F.lit(0))), F.size("records") - 1).alias("header")
+    rows = rows.select(F.explode(F.arrays_zip(header, F.slice("records", 2, F.size("records")).alias("record"))).alias("r"))
+    rows = rows.select("r.header", fields(F.col("r.record")).alias("fields")).where(F.size("fields") <= F.size("header"))
+    place = {n: F.array_position("header", n).cast("int") for n in names}
+    return rows.select(*[F.when(p > 0, F.get("fields", p - 1)).alias(n) for n, p in place.items()])
+
+
 def read_log_stream(spark: SparkSession, path: str, fmt: str = "csv", max_files_per_trigger: int | None = None,
-                    column_map: dict[str, str] | None = None) -> DataFrame:
-    """S5 / ST1: the same scan as a file stream (micro-batches of files)."""
+                    column_map: dict[str, str] | None = None, header: list[str] | None = None) -> DataFrame:
+    """S5 / ST1: the same scan as a file stream (micro-batches of files).
+
+    CSV columns go by each file's own header; for that a file is one row of a
+    task. Where all files are known to have one header, pass it as ``header``:
+    then large files are split (and quoted line breaks are not read)."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
         cmap = CSV_COLUMN_MAP if column_map is None else column_map
-        schema = T.StructType([T.StructField(k, T.StringType()) for k in cmap])
-        raw = reader.schema(schema).option("header", True).option("escape", '"').csv(path)
-        return normalize(raw, cmap, PANDAS_NA_VALUES)
+        if header is None:
+            texts = reader.text(path, wholetext=True)
+            return normalize(csv_rows(texts, list(cmap)), cmap, PANDAS_NA_VALUES)
+        schema = T.StructType([T.StructField(k, T.StringType()) for k in [*header, CORRUPT]])
+        raw = reader.schema(schema).option("header", True).option("escape", '"').option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+        return normalize(_keep_lines(raw, header), cmap, PANDAS_NA_VALUES)
     cmap = JSON_COLUMN_MAP if column_map is None else column_map
     raw = reader.schema(_json_source_schema(cmap)).option("mode", "DROPMALFORMED").json(path)
     return normalize(raw, cmap)
