@@ -4,6 +4,8 @@ import hashlib
 import json
 import os
 
+import pytest
+
 from ravenhunt.sources import logs as L
 from ravenhunt.sources.files import file_manifest
 from ravenhunt.sources.rules import decode_rule, read_rules
@@ -51,6 +53,37 @@ def test_unsupported_extension(tmp_dir, spark):
         L.read_logs(spark, _write(tmp_dir, "x.log", "a"))
 
 
+def test_csv_goes_by_each_files_header(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "two")
+    os.makedirs(d)
+    _write(d, "a.csv", "TimeCreated,ComputerName,UserName\n2024-01-01 00:00:00,H1,u1\n")
+    _write(d, "b.csv", "UserName,Extra,ComputerName\nu2,x,H2\nu3,x,H3,too,long\n")
+    _write(d, "empty.csv", "")
+    rows = {r.hostname: r for r in L.read_csv_logs(spark, d).collect()}
+    assert set(rows) == {"H1", "H2"} and rows["H2"].username == "u2" and rows["H2"].timestamp is None
+    assert str(rows["H1"].timestamp) == "2024-01-01 00:00:00"
+    stream = L.read_log_stream(spark, d).writeStream.format("memory").queryName("by_header").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert {(r.hostname, r.username) for r in spark.table("by_header").collect()} == {("H1", "u1"), ("H2", "u2")}
+
+
+def test_quoted_line_breaks(spark, tmp_dir):
+    p = _write(tmp_dir, "q.csv", 'ComputerName,EventData\nH1,"one\ntwo ""x"", three"\nH2,plain\n')
+    with pytest.warns(UserWarning, match="1 CSV files"):
+        rows = {r.hostname: r.message for r in L.read_csv_logs(spark, p).collect()}
+    assert rows == {"H1": 'one\ntwo "x", three', "H2": "plain"}
+    whole = spark.read.text(p, wholetext=True)
+    assert sorted(tuple(r) for r in L.csv_rows(whole, ["ComputerName", "EventData"]).collect()) == sorted(rows.items())
+
+
+def test_json_documents_in_a_folder(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "docs")
+    os.makedirs(d)
+    _write(d, "a.json", json.dumps([{"host": "A"}, {"host": "B"}], indent=2))
+    _write(d, "b.json", '{"host": "C"}\n{"host": "D"}\n')
+    assert sorted(r.hostname for r in L.read_logs(spark, d).collect()) == ["A", "B", "C", "D"]
+
+
 def test_mixed_directory(spark, tmp_dir):
     d = os.path.join(tmp_dir, "mixed")
     os.makedirs(d)
@@ -111,5 +144,5 @@ def test_file_manifest(spark, tmp_dir):
     assert rows["f.csv"].sha256 == hashlib.sha256(b"abc\n").hexdigest() and rows["f.csv"].extension_allowed
     assert not rows["g.exe"].extension_allowed and rows["f.csv"].length == 4
     small = {os.path.basename(r.path): r for r in file_manifest(spark, tmp_dir, max_bytes=3).collect()}
-    assert small["f.csv"].sha256 is None and not small["f.csv"].size_ok
+    assert small["f.csv"].sha256 is None and small["g.exe"].sha256 is not None and small["f.csv"].size_ok
     del p
