@@ -779,12 +779,15 @@ def q_stream_hourly(spark, sf_dir):
 
 @register("stream_burst", BURST_SQL)
 def q_stream_burst(spark, sf_dir):
-    """ST4: burst flags with per-user state on an event stream (one batch)."""
+    """ST4: burst flags with per-user state on an event stream: four micro-batches
+    in time order, a watermark, and states that expire."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     src = scratch_path(spark, "st-burst")
-    ev.write.parquet(src)
+    for k in range(4):  # a file, and so a micro-batch, per quarter of the ids, which are in time order
+        quarter = ev.where(F.pmod(F.floor(F.col("event_id") / (ev.agg(F.max("event_id")).first()[0] / 4 + 1)), F.lit(4)) == k)
+        quarter.coalesce(1).write.mode("append").parquet(src)
     out, ckpt = scratch_path(spark, "st-burst-out"), scratch_path(spark, "st-burst-ckpt")
-    stream = spark.readStream.schema(ev.schema).parquet(src)
-    _run(jobs.start_burst(stream, "user_id", "ts", BURST_MAX, BURST_WINDOW_S, out, ckpt))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    _run(jobs.start_burst(stream, "user_id", "ts", BURST_MAX, BURST_WINDOW_S, out, ckpt, watermark="1 hour"))
     return spark.read.parquet(out).select("event_id", "user_id", "admitted")
 

@@ -88,52 +88,63 @@ def start_hourly(findings_stream: DataFrame, out_path: str, checkpoint: str, wat
 _BURST_STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
 
 
-def _burst_update(max_requests: int, window_us: int):
+def _burst_update(max_requests: int, window_us: int, expires: bool):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        admitted = list(state.get[0]) if state.exists else []
-        parts = []
-        for pdf in batches:
-            parts.append(pdf)
-        if not parts:
+        if state.hasTimedOut:  # no admitted time lies within a window of the watermark
+            state.remove()
             return
-        pdf = pd.concat(parts).sort_values(["__t", "event_id"], kind="stable")
-        ts = pdf["__t"].to_numpy(dtype=np.int64)
+        admitted = list(state.get[0]) if state.exists else []
+        pdf = pd.concat(list(batches))
+        timed = pdf["__t"].notna()
+        out = [pdf[~timed].assign(admitted=None)]  # no time: neither admitted nor refused
+        pdf = pdf[timed].sort_values(["__t", *[c for c in pdf.columns if c != "__t"]], kind="stable")
         flags = np.zeros(len(pdf), dtype=bool)
-        for i, t in enumerate(ts):
+        for i, t in enumerate(pdf["__t"].to_numpy(dtype=np.int64).tolist()):
             admitted = [x for x in admitted if t - x < window_us]
             if len(admitted) < max_requests:
-                admitted.append(int(t))
+                admitted.append(t)
                 flags[i] = True
-        state.update((admitted,))
-        out = pdf.drop(columns=["__t"])
-        out["admitted"] = flags
-        yield out
+        if admitted:
+            state.update((admitted,))
+            if expires:
+                end_ms = (max(admitted) + window_us) // 1000 + 1
+                state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+        out.append(pdf.assign(admitted=flags))
+        for part in out:
+            if len(part):
+                yield part.drop(columns=["__t"])
 
     return update
 
 
 def burst_stream(events_stream: DataFrame, key_col: str, ts_col: str, max_requests: int,
-                 window_seconds: int) -> DataFrame:
+                 window_seconds: int, watermark: str | None = None) -> DataFrame:
     """ST4: per-key admission with state of at most ``max_requests`` times.
 
-    Events of a key within one micro-batch are folded in time order; across
-    micro-batches, in arrival order (the micro-batch bounds the group size).
+    Events of a key within one micro-batch are folded in order of time, then of
+    all columns; across micro-batches, in arrival order (the micro-batch bounds
+    the group size), so flags equal the batch operator's where no event arrives
+    after a later one of its key. Events without a time get null. With a
+    ``watermark``, events later than it are dropped, and a key's state goes
+    once the watermark is a window past its last admitted event.
     """
     ensure_on_workers(events_stream.sparkSession)
+    if watermark is not None:
+        events_stream = events_stream.withWatermark(ts_col, watermark)
     prepared = events_stream.withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp")))
     out_schema = T.StructType(
-        list(events_stream.schema.fields) + [T.StructField("admitted", T.BooleanType(), False)]
+        list(events_stream.schema.fields) + [T.StructField("admitted", T.BooleanType())]
     )
     return prepared.groupBy(key_col).applyInPandasWithState(
-        _burst_update(max_requests, int(window_seconds * 1_000_000)),
+        _burst_update(max_requests, int(window_seconds * 1_000_000), watermark is not None),
         out_schema,
         _BURST_STATE,
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout if watermark is None else GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def start_burst(events_stream: DataFrame, key_col: str, ts_col: str, max_requests: int, window_seconds: int,
-                out_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    return _sink(burst_stream(events_stream, key_col, ts_col, max_requests, window_seconds), out_path, checkpoint,
+                out_path: str, checkpoint: str, available_now: bool = True, watermark: str | None = None) -> StreamingQuery:
+    return _sink(burst_stream(events_stream, key_col, ts_col, max_requests, window_seconds, watermark), out_path, checkpoint,
                  available_now=available_now)
