@@ -140,30 +140,42 @@ def ioc_bulk_lookup(values: DataFrame, iocs: DataFrame, value_col: str = "value"
 def log_ioc_match(logs: DataFrame, iocs: DataFrame) -> DataFrame:
     """Log rows whose source or destination IP is a known IOC.
 
-    Two equi-joins (one per field) and a union, instead of one OR-join that
-    would force a nested loop. The IOC side is reduced to distinct
-    (value, feed) first, so a value repeated in many IOC rows cannot multiply
-    the log rows that carry it.
+    Each log row gives one row per address it has, and those meet the
+    indicators in one equi-join: logs and indicators are scanned once. The IOC
+    side is reduced to distinct (value, feed) first, so a value repeated in
+    many IOC rows cannot multiply the log rows that carry it.
     """
     ips = iocs.where(F.col("type") == "ip").select(F.col("value").alias("ioc_value"), "feed").distinct()
-    out = None
-    for field in ("source_ip", "destination_ip"):
-        side = logs.join(ips, logs[field] == ips["ioc_value"], "inner").select(
-            "event_id", "timestamp", "hostname", F.lit(field).alias("matched_field"), "ioc_value", "feed"
-        )
-        out = side if out is None else out.unionByName(side)
-    return out
+    sides = F.array(*[F.struct(F.lit(f).alias("matched_field"), F.col(f).alias("ip")) for f in ("source_ip", "destination_ip")])
+    seen = logs.select("event_id", "timestamp", "hostname", F.inline(sides)).where(F.col("ip").isNotNull())
+    return seen.join(ips, seen["ip"] == ips["ioc_value"], "inner").select(
+        "event_id", "timestamp", "hostname", "matched_field", "ioc_value", "feed")
 
 
-def feed_status(feeds: DataFrame, iocs: DataFrame) -> DataFrame:
-    """Per enabled feed its status, IOC count and type."""
+def feed_documents(documents: DataFrame, feed_col: str = "feed", text_col: str = "value", time_col: str = "modificationTime") -> DataFrame:
+    """Per feed: its fetched JSON documents, how many cannot be read, and the
+    last update (``documents``: one row per fetched file, with its whole text)."""
+    bad = F.try_parse_json(F.col(text_col)).isNull()
+    return documents.groupBy(F.col(feed_col).alias("__feed")).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("unreadable"), F.max(time_col).alias("last_updated"))
+
+
+def feed_status(feeds: DataFrame, iocs: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Per enabled feed its status, IOC count, type, last update and error.
+
+    ``fetched`` is ``feed_documents``: a feed without documents, or with one
+    that cannot be read, has failed."""
     counts = iocs.groupBy("feed").agg(F.count(F.lit(1)).alias("ioc_count"))
     f = enabled_feeds(feeds).select(F.col("name").alias("feed"), "feed_type")
-    return f.join(counts, "feed", "left").select(
+    error = F.when(F.col("documents").isNull(), F.lit("no document")).when(
+        F.col("unreadable") > 0, F.format_string("%d of %d documents unreadable", "unreadable", "documents"))
+    return f.join(counts, "feed", "left").join(fetched, F.col("feed") == F.col("__feed"), "left").select(
         "feed",
-        F.lit("success").alias("status"),
+        F.when(error.isNull(), F.lit("success")).otherwise(F.lit("failed")).alias("status"),
         F.coalesce(F.col("ioc_count"), F.lit(0).cast("long")).alias("ioc_count"),
         "feed_type",
+        "last_updated",
+        error.alias("error"),
     )
 
 

@@ -461,16 +461,36 @@ def q_file_manifest(spark, sf_dir):
 _IV = f"WITH iv AS ({iv.IOC_VIEW_SQL}) "
 
 
-@register(
-    "feed_status",
-    _IV
-    + f"""SELECT f.name AS feed, 'success' AS status, coalesce(c.n, 0) AS ioc_count, f.feed_type
+# One fetched document per page: feeds by page_id % 3, of which the third has
+# none; every fortieth document breaks off.
+_FETCHED_SQL = """SELECT CASE page_id % 3 WHEN 0 THEN 'feodotracker_ips' WHEN 1 THEN 'urlhaus_domains' ELSE 'retired_feed' END AS feed,
+  page_id % 40 = 1 AS bad, TIMESTAMP '2024-01-30 00:00:00' + to_minutes(page_id % 1440) AS modified FROM pages"""
+_STATUS_SQL = f"""SELECT f.name AS feed, CASE WHEN d.n IS NULL OR d.bad > 0 THEN 'failed' ELSE 'success' END AS status,
+       coalesce(c.n, 0) AS ioc_count, f.feed_type, d.last_updated,
+       CASE WHEN d.n IS NULL THEN 'no document'
+            WHEN d.bad > 0 THEN CAST(d.bad AS VARCHAR) || ' of ' || CAST(d.n AS VARCHAR) || ' documents unreadable' END AS error
 FROM ({iv.FEEDS_SQL}) f LEFT JOIN (SELECT feed, count(*) AS n FROM iv GROUP BY feed) c ON f.name = c.feed
-WHERE f.enabled""",
-)
+LEFT JOIN (SELECT feed, count(*) AS n, CAST(sum(bad::INT) AS BIGINT) AS bad, max(modified) AS last_updated
+           FROM ({_FETCHED_SQL}) GROUP BY feed) d ON f.name = d.feed
+WHERE f.enabled"""
+
+
+def _status(spark, sf_dir):
+    pid = F.col("page_id")
+    names = F.when(pid % 3 == 0, "feodotracker_ips").when(pid % 3 == 1, "urlhaus_domains").otherwise("retired_feed")
+    text = F.to_json(F.struct(F.array(F.struct(F.col("url").alias("value"))).alias("data")))
+    fetched = read_table(spark, sf_dir, "pages").select(
+        names.alias("feed"),
+        F.when(pid % 40 == 1, F.left(text, F.length(text) - 2)).otherwise(text).alias("value"),
+        (F.lit("2024-01-30 00:00:00").cast("timestamp") + F.make_interval(mins=(pid % 1440).cast("int"))).alias("modificationTime"))
+    return intel.feed_status(iv.feed_table(spark), iv.ioc_view(spark, sf_dir), intel.feed_documents(fetched))
+
+
+@register("feed_status", _IV + _STATUS_SQL)
 def q_feed_status(spark, sf_dir):
-    """Status and IOC count per enabled feed."""
-    return intel.feed_status(iv.feed_table(spark), iv.ioc_view(spark, sf_dir))
+    """Status, IOC count, last update and error per enabled feed; one feed
+    has unreadable documents, one has none."""
+    return _status(spark, sf_dir)
 
 
 @register(
@@ -480,14 +500,13 @@ def q_feed_status(spark, sf_dir):
        CAST((SELECT count(*) FROM iv WHERE feed IN (SELECT name FROM ({iv.FEEDS_SQL}) WHERE enabled)) AS BIGINT)
          AS total_iocs,
        (SELECT count(*) FROM ({iv.FEEDS_SQL}) WHERE enabled) AS feed_count,
-       CAST(0 AS BIGINT) AS errors""",
+       (SELECT count(*) FROM ({_STATUS_SQL}) WHERE status <> 'success') AS errors""",
 )
 def q_cti_totals(spark, sf_dir):
-    """Technique count, total IOCs, feed count, errors."""
+    """Technique count, total IOCs, feed count, failed feeds."""
     from ravenhunt.plans.catalog import part_techniques
 
-    status = intel.feed_status(iv.feed_table(spark), iv.ioc_view(spark, sf_dir))
-    return intel.cti_totals(status, part_techniques(spark, sf_dir))
+    return intel.cti_totals(_status(spark, sf_dir), part_techniques(spark, sf_dir))
 
 
 @register(
