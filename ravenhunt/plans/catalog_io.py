@@ -588,6 +588,39 @@ def q_siem_json(spark, sf_dir):
                        *[F.col(f"mitre_technique.{c}").alias(f"technique_{c}") for c in ("id", "name", "url")])
 
 
+@register(
+    "summary_json",
+    HUNT_WITH
+    + """, top AS (SELECT mitre_technique_name AS name, count(*) AS n FROM hunt WHERE mitre_technique_name IS NOT NULL
+               GROUP BY 1 ORDER BY n DESC, name LIMIT 5)
+SELECT 'technique' AS part, name, CAST(n AS VARCHAR) AS value FROM top
+UNION ALL SELECT 'stage', coalesce(m.tactic, 'Unknown'), CAST(count(*) AS VARCHAR)
+FROM hunt LEFT JOIN (VALUES ('T1059', 'Execution'), ('T1003', 'Credential Access'), ('T1049', 'Discovery'),
+  ('T1047', 'Execution'), ('T1083', 'Discovery'), ('T1082', 'Discovery')) m(base, tactic)
+  ON split_part(coalesce(mitre_technique_id, 'None'), '.', 1) = m.base GROUP BY 2
+UNION ALL SELECT 'total', 'findings', CAST(count(*) AS VARCHAR) FROM hunt
+UNION ALL SELECT 'total', 'techniques', CAST(count(DISTINCT mitre_technique_id) AS VARCHAR) FROM hunt
+UNION ALL SELECT 'total', 'hosts', CAST(count(DISTINCT hostname) AS VARCHAR) FROM hunt
+UNION ALL SELECT 'total', 'users', CAST(count(DISTINCT username) AS VARCHAR) FROM hunt
+UNION ALL SELECT 'risk', 'high', CAST(count_if(risk_score >= 80) AS VARCHAR) FROM hunt
+UNION ALL SELECT 'risk', 'low', CAST(count_if(risk_score < 50) AS VARCHAR) FROM hunt""",
+)
+def q_summary_json(spark, sf_dir):
+    """K5: the nested summary written as JSON and read back, its parts as rows."""
+    path = scratch_path(spark, "summary-json")
+    exports.write_summary_json(findings(spark, sf_dir), path)
+    back = spark.read.schema(exports.SUMMARY_JSON).json(path)
+    pairs = lambda part, entries: F.transform(entries, lambda e: F.struct(
+        F.lit(part).alias("part"), e["key"].alias("name"), e["value"].cast("string").alias("value")))
+    one = lambda part, name, c: F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), F.col(c).cast("string").alias("value"))
+    return back.select(F.inline(F.concat(
+        pairs("technique", F.map_entries("attack_patterns.top_techniques")),
+        pairs("stage", F.map_entries("attack_patterns.attack_stages")),
+        F.array(one("total", "findings", "total_findings"), one("total", "techniques", "unique_techniques"),
+                one("total", "hosts", "affected_infrastructure.hosts"), one("total", "users", "affected_infrastructure.users"),
+                one("risk", "high", "risk_distribution.high"), one("risk", "low", "risk_distribution.low")))))
+
+
 @register(
     "siem_cef",
     HUNT_WITH
