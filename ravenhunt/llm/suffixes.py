@@ -75,7 +75,9 @@ def refined(pointer: np.ndarray, active: np.ndarray, key: np.ndarray, within: bo
 
 def seen_before(texts: list[bytes], doc, seq, start, weight, window: int = WINDOW) -> list[np.ndarray]:
     """Which windows of each text are not the first of their kind in document order."""
-    length = np.array([len(t) for t in texts])
+    if not texts:
+        return []
+    length = np.array([len(t) for t in texts], np.int64)
     begin = np.r_[0, np.cumsum(length)[:-1]]
     text = np.frombuffer(b"".join(texts), np.uint8)
     own = np.repeat(np.arange(len(texts)), length)

@@ -18,7 +18,8 @@ anchors:
    method (suffix automata, bucket refinement) compares them per anchor.
    An anchor with more than ``hot`` different texts is refined further: its
    windows are split by the anchor's place in them, and the symbols that all
-   windows of a share have in common join the key.
+   windows of a share have in common join the key. ``refined`` goes on until no
+   key of several places has more than ``hot`` texts, by counting them.
 4. ``by_document`` brings all marks (start, windows) to their documents.
 
 Documents are told apart by (doc, seq): doc is the doc_id (null: the largest
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravenhunt.llm.common import partitions, with_rank
+from ravenhunt.operators.joins import sized_broadcast
 from ravenhunt.session import scratch_table
 
 BLOCK = 1 << 20  # symbols that are looked at together
@@ -281,7 +284,7 @@ def zipped(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "doc", "seq", "text").mapInArrow(run, "doc_id long, doc long, seq int, z binary")
 
 
-CONTEXT = "key long, single boolean, doc long, seq int, start long, n int, weight int, text binary"
+CONTEXT = "key long, low int, high int, at int, doc long, seq int, start long, n int, weight int, text binary"
 
 
 def shares(n: int, at: int, places: int, others: int, hot: int) -> list[tuple[int, int, int, int]]:
@@ -306,8 +309,6 @@ def contexts(docs: DataFrame, left: DataFrame, kind: Kind, hot: int) -> DataFram
     places = kind.window - kind.gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             doc, seq = batch.column("doc").to_pylist(), batch.column("seq").to_pylist()
@@ -319,21 +320,52 @@ def contexts(docs: DataFrame, left: DataFrame, kind: Kind, hot: int) -> DataFram
                     for k, m, low, high in shares(r["n"], r["at"], places, r["others"], hot):
                         key, start = r["anchor"], r["start"] + k
                         if high - low + 1 < places:  # what all windows of the share have in common
-                            core = kind.cut(split, anchor - low, anchor - high + kind.window)
-                            key = _signed(xxh64_intdigest(core, (key ^ low) & (2**64 - 1)))
-                        rows.append((key, low == high, start, m, r["weight"], kind.cut(split, start, start + m - 1 + kind.window)))
-                key, single, start, n, weight, text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(single, pa.bool_()), pa.array([doc[i]] * len(key), pa.int64()), pa.array([seq[i]] * len(key), pa.int32()),
-                     pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(weight, pa.int32()), pa.array(text, pa.binary())], names=[x.split()[0] for x in CONTEXT.split(", ")])
+                            key = _joined(key, low, kind.cut(split, anchor - low, anchor - high + kind.window))
+                        rows.append((key, low, high, r["at"] - k, doc[i], seq[i], start, m, r["weight"], kind.cut(split, start, start + m - 1 + kind.window)))
+                yield _context(rows)
 
     return zipped(docs).join(asked, ["doc", "seq"]).select("doc", "seq", "z", "runs").mapInArrow(run, CONTEXT)
 
 
-def _signed(x: int) -> int:
+def _context(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    cols = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in CONTEXT.split(", ")])
+
+
+def _joined(key: int, low: int, core: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    x = xxh64_intdigest(core, (key ^ low) & (2**64 - 1))
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def refined(found: DataFrame, kind: Kind, hot: int) -> DataFrame:
+    """The contexts in shares of half as many places, as long as more than ``hot`` texts have a share's key."""
+
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, low, high, at, doc, seq, start, n, weight, text in zip(*(batch.column(x.split()[0]).to_pylist() for x in CONTEXT.split(", ")), strict=True):
+                split, half = kind.split(text), low + (high - low + 1) // 2
+                upper = min(n, max(0, at - half + 1))  # the windows whose anchor stands at ``half`` or after it come first
+                for k, m, lo, hi in ((0, upper, half, high), (upper, n - upper, low, half - 1)):
+                    if m:
+                        core = kind.cut(split, at - lo, at - hi + kind.window)
+                        rows.append((_joined(key, lo, core), lo, hi, at - k, doc, seq, start + k, m, weight, kind.cut(split, k, k + m - 1 + kind.window)))
+            yield _context(rows)
+
+    done = []
+    while True:
+        crowded = found.filter("low < high").groupBy("key").count().filter(F.col("count") > hot).select("key")
+        crowded = scratch_table(crowded, "crowded")  # at most one key in ``hot`` texts
+        if crowded.isEmpty():
+            return scratch_table(reduce(DataFrame.unionByName, [*done, found]), "refined") if done else found
+        few = sized_broadcast(crowded)
+        done.append(found.join(few, "key", "left_anti"))
+        found = scratch_table(found.join(few, "key").select(*found.columns).mapInArrow(halved, CONTEXT), "contexts")
+
+
 MARKS = "doc long, seq int, start long, n int"
 Resolve = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
@@ -377,7 +409,8 @@ def resolved(found: DataFrame, resolve: Resolve, chunk: int) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             key = t.column("key").to_numpy()
             last = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            yield from chunks(t.slice(0, last))
+            if last:
+                yield from chunks(t.slice(0, last))
             held, rows = t.slice(last).to_batches(), len(key) - last
         if rows:
             yield from chunks(pa.Table.from_batches(held))
@@ -390,16 +423,18 @@ def marked(docs: DataFrame, kind: Kind, first_stays: bool, resolve: Resolve, hot
     parts = partitions(docs.sparkSession)
     table = scratch_table(settled(scan(docs, kind, first_stays, parts), first_stays, parts), "settled")
     left = table.filter("kind = 1").select("doc", "seq", "start", "n", "at", "anchor", "weight", "others")
-    found = contexts(docs, left, kind, hot)
     marks = table.filter("kind = 0").select("doc", "seq", "start", "n")
-    if not left.filter(F.col("others") > hot * (kind.window - kind.gram + 1)).isEmpty():
+    columns = ["key", "doc", "seq", "start", "weight", "text"]
+    found = contexts(docs, left.filter(F.col("others") <= hot), kind, hot).select(*columns)
+    if not left.filter(F.col("others") > hot).isEmpty():
+        crowd = scratch_table(contexts(docs, left.filter(F.col("others") > hot), kind, hot), "contexts")
+        crowd = refined(crowd, kind, hot)
         # shares of one place: whole windows, of which only the count and the first matter
-        found = scratch_table(found, "contexts")
-        alone = found.filter("single").select("key", F.struct("doc", "seq", "start").alias("at"), "weight", "doc", "seq", "start", "n")
+        alone = crowd.filter("low = high").select("key", F.struct("doc", "seq", "start").alias("at"), "weight", "doc", "seq", "start", "n")
         seen = alone.groupBy("key").agg(F.min("at").alias("first"), F.sum("weight").alias("times"))
         again = F.col("at") != F.col("first") if first_stays else F.col("times") > 1
         marks = marks.unionByName(alone.join(seen, "key").filter(again).select("doc", "seq", "start", "n"))
-        found = found.filter("not single")
+        found = found.unionByName(crowd.filter("low < high").select(*columns))
     return marks.unionByName(resolved(found, resolve, chunk))
 
 

@@ -92,6 +92,43 @@ def test_whole_windows_of_a_hot_anchor(spark):
     assert result(suffixes.deduplicated(frame(spark, rows), 20, 8, 1, 1 << 12)) == brute_bytes(rows, 20)
 
 
+@pytest.fixture()
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def phrase(n: int, words: int) -> list[tuple]:
+    """One phrase of 19 bytes within ``n`` different surroundings."""
+    rnd = random.Random(6)
+    return [(i, " ".join([rnd.choice("abcdefgh") for _ in range(words)] + ["some same old line"] + [rnd.choice("abcdefgh") for _ in range(words)])) for i in range(n)]
+
+
+def test_one_key_over_several_batches(spark, small_batches):
+    rows = phrase(400, 12)
+    for hot in (100, 1000):
+        assert result(suffixes.deduplicated(frame(spark, rows), 20, 8, hot, 1 << 10)) == brute_bytes(rows, 20)
+        assert result(substrings.deduplicated(frame(spark, rows), 6, 3, hot, 1 << 10)) == brute_words(rows, 6)
+
+
+def test_hot_keys_are_refined_by_their_texts(spark, small_batches):
+    rows = phrase(400, 12)
+
+    def resolve(texts, doc, seq, start, weight):
+        assert len(texts) <= 100, f"{len(texts)} texts under one key"
+        return suffixes.seen_before(texts, doc, seq, start, weight, 20)
+
+    docs = windows.prepared(frame(spark, rows))
+    marks = windows.marked(docs, windows.Kind(20, 8, False), True, resolve, 100, 1)
+    assert marks.count() > 0
+
+
+def test_no_texts():
+    none = np.empty(0, np.int64)
+    assert suffixes.seen_before([], none, none, none, none) == []
+
+
 def test_empty(spark):
     docs = frame(spark, [(1, "x")]).filter("doc_id > 1")
     assert substrings.deduplicated(docs).count() == 0
