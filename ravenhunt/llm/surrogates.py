@@ -19,7 +19,10 @@ Detected entities (``PATTERNS``) are replaced by surrogates of the same type:
   canonical form that occurs in the corpus. The table of canonical forms is
   checked against itself; all but the first of those that clash, and those that
   hit a real entity, try again with the next attempt. Where a format has too
-  few values (short IP addresses), later attempts leave the octets' lengths.
+  few values, attempts from ``WIDE`` on leave its lengths, so that an unused
+  surrogate is found: IP addresses the octets' lengths, names get one more
+  syllable a word with each attempt, the local part of e-mail addresses one more
+  letter.
 
 Only texts that hold an entity are joined, by the text's SHA-256, so copies
 are replaced once and a text's key is never larger than its copies (which
@@ -111,8 +114,8 @@ def _bytes(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """As many pseudo-random numbers 0..255 as any place of the entity may need."""
     blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 32).cast("int"))
     digest = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), b.cast("string")), 256)), "")
-    places = F.sequence(F.lit(0), F.floor(F.length(digest) / 2).cast("int") - 1)
-    return F.transform(places, lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    # the digest is worked out once, not for each of its bytes
+    return F.transform(F.regexp_extract_all(digest, F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def _pick(letters: str, n: Column) -> Column:
@@ -150,10 +153,16 @@ def new_canonical(kind: Column, canon: Column, attempt: Column, key: str) -> Col
     plain = _same_kind(canon, n)
     domain_end = F.regexp_extract(canon, r"(\.[^.@]+)$", 1)
     email = F.concat(_same_kind(F.substr(canon, F.lit(1), F.length(canon) - F.length(domain_end)), n), domain_end)
+    local = F.length(F.substring_index(canon, "@", 1))
     head = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(plain, F.lit(2), F.length(canon) - 2))
     check = F.when(_luhn(canon) % 10 == 0, ((10 - _luhn(F.concat(head, F.lit("0"))) % 10) % 10).cast("string")).otherwise(F.substr(plain, F.length(canon), F.lit(1)))
     card = F.concat(head, check)
     wide = attempt >= WIDE
+    more = F.greatest(F.lit(0), attempt - WIDE + 1)
+
+    # letters from numbers of their own
+    own = _bytes(key, kind, F.concat(canon, F.lit("\x1fmore")), attempt)
+    added = F.when(wide, F.array_join(F.transform(F.slice(own, 1, F.least(more, F.size(own))), lambda x: _pick("abcdefghijklmnopqrstuvwxyz", x)), "")).otherwise("")
 
     def octet(o: Column, i: Column) -> Column:
         a = F.get(n, i * 2) * 256 + F.get(n, i * 2 + 1)
@@ -162,20 +171,21 @@ def new_canonical(kind: Column, canon: Column, attempt: Column, key: str) -> Col
     ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
     secret = F.array_join(F.transform(_chars(canon), lambda c, i: F.substr(F.lit("0123456789abcdef"), F.get(n, i) % 16 + 1, F.lit(1))), "")
     phone = F.concat(_country(canon), F.substr(plain, F.length(_country(canon)) + 1, F.length(canon)))
+    email = F.concat(F.substr(email, F.lit(1), local), added, F.substr(email, local + 1, F.length(email)))
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(plain, F.lit(3), F.length(canon)))
     return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "secret", secret)
-            .when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "name", _name(canon, n)).otherwise(plain))
+            .when(kind == "iban", iban).when(kind == "phone", phone).when(kind == "name", _name(canon, n, more)).otherwise(plain))
 
 
-def _name(canon: Column, n: Column) -> Column:
-    """Title and new name words: as many syllables as the word's length suggests, the gender's ending."""
+def _name(canon: Column, n: Column, more: Column) -> Column:
+    """Title and new name words: as many syllables as the word's length suggests and ``more``, the gender's ending."""
     title = F.element_at(F.split(canon, r"\.? "), 1)
     female = title.isin(*FEMALE)
     rest = F.substr(canon, F.length(title) + 2, F.length(canon))
     script = F.when(rest.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
     def word(w: Column, i: Column) -> Column:
-        count = F.greatest(F.lit(2), F.floor(F.length(w) / 2).cast("int"))
+        count = F.greatest(F.lit(2), F.floor(F.length(w) / 2).cast("int")) + more
         out = F.lit(None).cast("string")
         for name, syllables in SYLLABLES.items():
             table = F.array(*map(F.lit, syllables))
@@ -201,7 +211,13 @@ def rendered(kind: Column, entity: Column, new: Column) -> Column:
     digits = F.concat(F.regexp_replace(prefix, r"\+", ""), F.regexp_replace(new, "^.*:", ""))
     phone = weave(r"\d", digits)
     cased = F.when(entity == F.upper(entity), F.upper(new)).otherwise(new)
-    email = F.array_join(F.transform(_chars(new), lambda c, i: F.when(F.substr(entity, i + 1, F.lit(1)) != F.lower(F.substr(entity, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")
+    # letters that were added stand at the local part's end and have the case of its last one
+    local, extra = F.length(F.substring_index(entity, "@", 1)), F.length(new) - F.length(entity)
+
+    def like(i: Column) -> Column:
+        return F.substr(entity, F.when(i < local, i + 1).when(i < local + extra, local).otherwise(i + 1 - extra), F.lit(1))
+
+    email = F.array_join(F.transform(_chars(new), lambda c, i: F.when(like(i) != F.lower(like(i)), F.upper(c)).otherwise(c)), "")
     dotted = F.when(entity.rlike(r"^\p{L}+\. "), F.regexp_replace(new, "^([^ ]+) ", "$1. ")).otherwise(new)
     return (F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), weave(r"\d")).when(kind == "iban", weave(r"[A-Z0-9]"))
             .when(kind == "secret", cased).when(kind == "email", email).when(kind == "name", dotted).otherwise(new))

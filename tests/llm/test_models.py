@@ -189,5 +189,18 @@ def test_surrogates_stay_distinct(spark):
     assert not {s for x in by_ip.values() for s in x} & set(ips)
 
 
+def test_short_formats_widen_until_surrogates_are_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"Mr {a.upper()}{b}{c}" for a in letters for b in letters for c in letters][:5000]
+    mails = [f"{a}@{b}.co" for a in letters for b in letters]
+    entities = spark.createDataFrame([(x,) for x in [*names, *mails, "Q@Z.CO"]], "entity string")
+    got = {r.entity: r.surrogate for r in surrogates.surrogate_table(entities, "k").collect()}
+    assert got.pop("Q@Z.CO") == got["q@z.co"].upper()
+    assert set(got) == {*names, *mails} and len(set(got.values())) == len(got)
+    assert not set(got) & set(got.values())
+    assert all(got[x].startswith("Mr ") for x in names)
+    assert all(re.fullmatch(r"[a-z]{2,}@[a-z]\.co", got[x]) for x in mails)
+
+
 def test_surrogates_of_an_empty_table(spark):
     assert surrogates.anonymised(frame(spark, [(1, "x")]).filter("doc_id > 1"), "k").count() == 0
