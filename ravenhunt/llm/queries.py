@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravenhunt.llm import decontamination, nearest, packing, sharding, simhash, substrings, suffixes, surrogates, tokens, toxicity
+from ravenhunt.llm import decontamination, nearest, packing, ranked, sharding, simhash, substrings, suffixes, surrogates, tokens, toxicity, variants
 from ravenhunt.llm.common import documents
 from ravenhunt.session import ensure_on_workers, read_table
 
@@ -102,6 +102,18 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return ranked.ranked_search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its form and root."""
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
 ORACLE_SQL["op2_substrings"] = r"""WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM (
@@ -121,3 +133,18 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 WHERE rank <= 5"""
+
+ORACLE_SQL["op11_ranked"] = r"""WITH t AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+docs AS (SELECT d, doc_id, CAST(len(ws) AS BIGINT) AS n, ws FROM t WHERE len(ws) > 0),
+totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM docs),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(ws) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term, nn),
+items AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+asked AS (SELECT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+scores AS (SELECT i, item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN docs USING (d), totals GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0) WHERE rank <= 20"""
