@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravenhunt.llm import decontamination, nearest, packing, ranked, sharding, simhash, substrings, suffixes, surrogates, tokens, toxicity, variants
+from ravenhunt.llm import decontamination, extraction, nearest, packing, ranked, sharding, simhash, substrings, suffixes, surrogates, tokens, toxicity, variants
 from ravenhunt.llm.common import documents
 from ravenhunt.session import ensure_on_workers, read_table
 
@@ -108,6 +108,12 @@ def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.ranked_search(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"), k=20)
 
 
+@query
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its near words, its form and root."""
@@ -148,3 +154,12 @@ scores AS (SELECT i, item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (100
   FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN docs USING (d), totals GROUP BY ALL)
 SELECT item_id, rank, doc_id, score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0) WHERE rank <= 20"""
+
+#: The pages of the test tables mark their main text by an ``article`` element; SQL takes its blocks.
+ORACLE_SQL["op12_extraction"] = r"""WITH a AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS blocks FROM pages),
+t AS (SELECT page_id, url, list_transform(blocks, lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(
+  regexp_replace(replace(b, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'),
+  '[\s\x0B\x1C-\x1F\x85\x{A0}]+', ' ', 'g'))) AS blocks FROM a),
+m AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)) AS text FROM t)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM m"""
