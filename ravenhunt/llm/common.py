@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+class Memo(dict):
+    """What a worker remembers, in about ``most`` bytes: when they are used up,
+    the older half of the entries goes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.used = most, 0
+
+    def put(self, key, value, size: int) -> None:
+        """``size``: the entry's bytes besides some 200 of the dictionary's and the objects' own."""
+        size += 200
+        if self.used + size > self.most:
+            for old in list(islice(self, -(-len(self) // 2))):
+                del self[old]
+            self.used //= 2
+        if self.used + size <= self.most:
+            self.used += size
+            self[key] = value
+
+
 def with_rank(df: DataFrame, keys: list[str], order: list[str | Column], out: str, buckets: int | None = None) -> DataFrame:
     """Gapless rank from 0 of every row within its group, of any group size.
 

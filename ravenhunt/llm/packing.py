@@ -22,23 +22,28 @@ broadcast up to ``BROADCAST_RUNS`` runs and joined by length and rank beyond.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravenhunt.llm.common import with_rank
+from ravenhunt.llm.common import Memo, with_rank
 from ravenhunt.llm.tokens import _LOADED, tokenizer
 from ravenhunt.session import scratch_table
 
-MEMO = 400_000
+WORDS_HELD, PARTS_HELD = 32 << 20, 64 << 20  # bytes of the memories of a worker
 BROADCAST_RUNS = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_pack = [Struct(f"<{n}I").pack for n in range(16)]
+STEP = 4 << 20
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
@@ -47,53 +52,93 @@ class WordIds:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words (runs without ASCII white space) one after another.
-    Each distinct word is encoded by the library once per worker and kept as
-    little-endian bytes; words of plain letters share their parts' ids."""
+    Words are encoded by the library and kept as little-endian bytes, as far as
+    the worker's bounded memories reach; words of plain letters share their
+    parts' ids. That the words' and parts' ids make up the library's is checked
+    on the tokenizer's own vocabulary when it is loaded (``alike``); with a
+    tokenizer where they do not, whole texts go to the library."""
 
     def __init__(self, path: str):
         import regex
 
         self.tok = tokenizer(path)
-        self.memo: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.odd: Memo = Memo(WORDS_HELD)  # words of more than letters
+        self.parts: Memo = Memo(PARTS_HELD)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.easy = re.compile("[!-~¡-¬®-ɏ]*").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.bytes = {b: b for b in printable} | {b: 256 + n for n, b in enumerate(rest)}  # byte-level alphabet
-
-    def part(self, s: str) -> bytes:
-        ids = self.parts.get(s)
-        if ids is None:
-            if len(self.parts) > MEMO:
-                self.parts.clear()
-            tokens = self.tok.model.tokenize(s.encode().decode("latin-1").translate(self.bytes))
-            ids = self.parts[s] = np.array([t.id for t in tokens], "<u4").tobytes()
+        self.alike = self.probe()
+
+    def part(self, s: bytes) -> bytes:
+        """Ids of a lower-cased part (letters, a number or signs)."""
+        tokens = self.tok.model.tokenize(s.decode() if s.isalnum() else s.decode("latin-1").translate(self.bytes))
+        n = len(tokens)
+        ids = _pack[n](*[t.id for t in tokens]) if n < len(_pack) else np.array([t.id for t in tokens], "<u4").tobytes()
+        self.parts.put(s, ids, len(s) + 4 * n)
         return ids
 
-    def word(self, w: bytes) -> bytes:
-        s = w.decode()
-        if self.easy(s) and "<|" not in s:  # here the library's normaliser is NFC and lower case, letter by letter
-            return b"".join(map(self.part, self.split(unicodedata.normalize("NFC", s).lower())))
+    def whole(self, s: str) -> bytes:
         return np.array(self.tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        words, memo = text.encode().split(), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        out = []
-        for w in words:
-            ids = memo.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(w) <= 64:
-                    memo[w] = ids
-            out.append(ids)
-        return b"".join(out)
+    def word(self, w: bytes) -> bytes:
+        if w.isalpha():  # ASCII letters
+            w = w.lower()
+            return self.parts.get(w) or self.part(w)
+        if w[-1] in b".,;:!?" and w[:-1].isalpha():
+            a, b = w[:-1].lower(), w[-1:]
+            return (self.parts.get(a) or self.part(a)) + (self.parts.get(b) or self.part(b))
+        ids = self.odd.get(w)
+        if ids is None:
+            s = w.decode()
+            if self.easy(s) and "<|" not in s:  # here the library's normaliser is NFC and lower case, letter by letter
+                found = [p.encode() for p in self.split((s if s.isascii() else unicodedata.normalize("NFC", s)).lower())]
+                ids = b"".join([self.parts.get(p) or self.part(p) for p in found])
+            else:
+                ids = self.whole(s)
+            self.odd.put(w, ids, len(w) + len(ids))
+        return ids
+
+    def probe(self) -> bool:
+        """Do this tokenizer's ids come from words and parts? Held against the
+        library on its vocabulary, as it stands, capitalised, and in running text."""
+        known = sorted(t for t in self.tok.get_vocab() if t.isprintable())[:: max(1, self.tok.get_vocab_size() // 2000)]
+        words = [w for t in known for w in (t, t.capitalize(), f"{t}.", f"({t}9", f"é{t}'s")] + ["don't", "A1-b_2", "Straße,", "x\u0301y", "日本語", "<|endoftext|>", "ĀÉÿ"]
+        texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["  a\tb\n c ", "", " "]
+        return all(a == self.whole(t) for a, t in zip(self.by_words(pa.array(texts)), texts, strict=True))
+
+    def by_words(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids. Arrow splits the texts and finds the distinct words;
+        only those are looked up, and numpy lays their ids out again."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        flat, at = split.flatten(), split.offsets.to_numpy()
+        at = at - at[0]
+        words = flat.filter(pc.not_equal(flat, "")) if len(flat) else flat
+        blank = np.r_[0, np.cumsum(pc.equal(flat, "").to_numpy(zero_copy_only=False))] if len(flat) else np.zeros(1, np.int64)
+        at = at - blank[at]  # splitting leaves empty words at a text's ends
+        coded = words.dictionary_encode()
+        known = list(map(self.word, coded.dictionary.cast(pa.large_binary()).to_pylist()))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        per_word = size[which]
+        end = np.cumsum(per_word)
+        laid = ids[np.repeat(start[which] - end + per_word, per_word) + np.arange(end[-1] if len(end) else 0)]
+        cut = np.r_[0, end][at]
+        return (laid[lo:hi].tobytes() for lo, hi in itertools.pairwise(cut.tolist()))
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids, some ``STEP`` bytes of texts (at least one) at once."""
+        texts = pc.fill_null(texts, "")
+        if not self.alike:
+            yield from (self.whole(t) for t in texts.to_pylist())
+            return
+        ends, lo = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, "right")))
+            yield from self.by_words(texts.slice(lo, hi - lo))
+            lo = hi
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -103,10 +148,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         ids_of = _LOADED.get((path, "words")) or _LOADED.setdefault((path, "words"), WordIds(path))
         end, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             rows: list[tuple] = []
-            for i, doc in enumerate(doc_ids):
-                ids = ids_of(texts[i].as_py() or "") + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of(batch.column("text")), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
