@@ -108,14 +108,20 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 _POWERS: list[np.ndarray] = []
 
 
+def powers(n: int) -> list[np.ndarray]:
+    """``_ODD`` and its inverse to the powers 0..n at least."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+        size = max(n, BLOCK + (1 << 12))
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)], dtype=np.uint64) for x in (_ODD, inverse)]
+    return _POWERS
+
+
 def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the symbols of each [start, end), whatever stands around them."""
-    if not _POWERS:
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        size = BLOCK + (1 << 12)
-        _POWERS.extend(np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)], dtype=np.uint64) for x in (_ODD, inverse))
-    sums = np.r_[np.uint64(0), np.cumsum(h * _POWERS[0][: len(h)], dtype=np.uint64)]
-    return mix((sums[end] - sums[start]) * _POWERS[1][start])
+    power, inverse = powers(len(h))
+    sums = np.r_[np.uint64(0), np.cumsum(h * power[: len(h)], dtype=np.uint64)]
+    return mix((sums[end] - sums[start]) * inverse[start])
 
 
 def find_runs(symbols: np.ndarray, begins: np.ndarray, kind: Kind) -> Iterator[tuple[np.ndarray, ...]]:
