@@ -19,8 +19,8 @@ both sides.
 
 The same boundaries let short texts be counted in pieces: a piece (white space
 and the word after it) has the same tokens wherever it stands, so each worker
-encodes a distinct piece once and remembers its count (``MEMO`` pieces at most,
-then the memory is emptied). Special strings count as the library's default
+encodes a distinct piece once and remembers its count (in ``MEMO`` bytes,
+of memory, of which the older half goes when full). Special strings count as the library's default
 has it.
 
 Nothing is shuffled; a text is one row of one task, and a task holds one Arrow
@@ -40,9 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ravenhunt.llm.common import Memo
+
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
-MEMO = 400_000
+MEMO = 64 << 20
 _LETTER_DIGIT = re.compile(r"(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])")
 _PIECE = re.compile(r"\s*\S+|\s+")
 _LOADED: dict = {}
@@ -101,18 +103,18 @@ def spliced_count(text: str, tok, chunk: int = CHUNK, overlap: int = OVERLAP) ->
             reach *= 2
 
 
-def piece_counts(texts: list[str], tok, memo: dict) -> list[int]:
+def piece_counts(texts: list[str], tok, memo: Memo) -> list[int]:
     """Tokens of each text, from the counts of its pieces; unknown pieces are
     encoded in one call."""
     split = [_PIECE.findall(t) if _plain(t) else [t] for t in texts]
-    new = list({p for ps in split for p in ps if p not in memo})
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = list({p for ps in split for p in ps})
+    known = {p: memo.get(p) for ps in split for p in ps}
+    new = [p for p, n in known.items() if n is None]
     for i in range(0, len(new), 4096):
         part = new[i : i + 4096]
-        memo.update(zip(part, map(len, tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-    return [sum(map(memo.__getitem__, ps)) for ps in split]
+        for p, found in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[p] = n = len(found)
+            memo.put(p, n, 2 * len(p))
+    return [sum(map(known.__getitem__, ps)) for ps in split]
 
 
 def _plain(text: str) -> bool:
@@ -125,7 +127,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        memo = _LOADED.setdefault((path, "memo"), {})
+        memo = _LOADED.get((path, "memo")) or _LOADED.setdefault((path, "memo"), Memo(MEMO))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts = [0] * len(texts)
