@@ -14,7 +14,8 @@ category by a likelihood ratio of at least ``RATIO``; the text's length is one
 more feature.
 
 The models are fitted on at most ``SAMPLE`` labelled rows, those with the
-smallest hash of doc_id (a documented bound; fewer labels: all), each distinct
+smallest hash of doc_id, and of those on the first ``SAMPLE_BYTES`` bytes of
+texts (documented bounds; fewer: all), one row of each doc_id and each distinct
 text once. They train in one task, a bounded one, and only their weights (at
 most ``FEATURES`` features) reach the driver. Every document is then scored by
 its whole text, with no shuffle.
@@ -35,15 +36,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravenhunt.llm.common import with_computed
+from ravenhunt.llm.common import Memo, with_computed
 from ravenhunt.session import scratch_table
 
 SAMPLE, FEATURES, MIN_DOCS, RATIO, FOLDS, RIDGE = 8_000, 20_000, 4, 30.0, 5, 0.3
 THRESHOLD = 0.5
-PREFIXES, LEVELS, RATES, MEMO = (4, 5, 6, 7), (1, 2, 4), (200, 50), 200_000
+SAMPLE_BYTES = 64 << 20
+BUCKETS = 1 << 22  # for the first count of features
+PREFIXES, LEVELS, RATES, MEMO = (4, 5, 6, 7), (1, 2, 4), (200, 50), 32 << 20
 _UNITS = re.compile(r"[^\W\d_]+|[^\w\s]").findall
 
 
@@ -62,8 +65,8 @@ class Reader:
     """The features of texts, among those in ``index`` (None: all)."""
 
     def __init__(self, index: dict[str, int] | None):
-        self.index, self.memo = index, {}
-        self.units = index and {f.rpartition(" ")[0] for f in index}
+        self.index, self.memo = index, Memo(MEMO)
+        self.units = index and {u: u for u in (f.rpartition(" ")[0] for f in index)}
 
     def __call__(self, text: str | None) -> tuple[list, float]:
         words = Counter(_UNITS((text or "").lower()))
@@ -73,10 +76,8 @@ class Reader:
             if units is None:
                 units = units_of(w)
                 if self.units is not None:
-                    units = [u for u in units if u in self.units]
-                    if len(self.memo) > MEMO:
-                        self.memo.clear()
-                    self.memo[w] = units
+                    units = [self.units[u] for u in units if u in self.units]  # one object for each unit
+                    self.memo.put(w, units, len(w) + 8 * len(units))
             for u in units:
                 counts[u] += k
         n = words.total()
@@ -145,41 +146,65 @@ def fit(rows: Rows, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge:
     return w
 
 
-def telling(found: list[list[str]], labels: np.ndarray) -> list[str]:
-    """The features that tell the values of some category apart, at most ``FEATURES``."""
-    best: Counter[str] = Counter()
-    seen = {f for f, n in Counter(f for fs in found for f in fs).items() if n >= MIN_DOCS}
+def ratios(t: np.ndarray, a: np.ndarray, n: int, p: float) -> np.ndarray:
+    """Likelihood ratio of features in ``t`` of ``n`` texts, ``a`` of them among the ``p`` of a category."""
+    out = np.zeros(len(t))
+    for seen, expected in ((a, t * p / n), (t - a, t * (n - p) / n), (p - a, (n - t) * p / n), (n - t - p + a, (n - t) * (n - p) / n)):
+        out += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    return out
+
+
+def telling(texts: list[str], labels: np.ndarray) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """The features that tell the values of some category apart, at most
+    ``FEATURES``; each text's among them; the texts' sizes.
+
+    Features are counted twice: by hash first, in ``BUCKETS`` counters, which
+    shows which can be in ``MIN_DOCS`` texts at all; then by name, only those.
+    So no more than numbers is held for most features of a text."""
+    read, coarse = Reader(None), np.zeros(BUCKETS, np.int32)
+
+    def buckets(found: list[str]) -> np.ndarray:
+        return np.fromiter(map(hash, found), np.int64, len(found)) & (BUCKETS - 1)
+
+    for t in texts:
+        coarse[np.unique(buckets(read(t)[0]))] += 1
+    number: dict[str, int] = {}
+    held, sizes = [], []
+    for t in texts:
+        found, size = read(t)
+        often = (coarse[buckets(found)] >= MIN_DOCS).tolist()
+        held.append(np.array([number.setdefault(f, len(number)) for f, keep in zip(found, often, strict=True) if keep], np.int32))
+        sizes.append(size)
+    best = np.zeros(len(number))
+    total = sum((np.bincount(f, minlength=len(number)) for f in held), np.zeros(len(number), np.int64))
     for y in labels.T:
-        known = [(fs, v) for fs, v in zip(found, y, strict=True) if not np.isnan(v)]
-        n, p = len(known), sum(v for _, v in known)
+        known = np.flatnonzero(~np.isnan(y))
+        n, p = len(known), float(np.nansum(y))
         if not 0 < p < n:
             continue
-        every = Counter(f for fs, _ in known for f in fs if f in seen)
-        with_it = Counter(f for fs, v in known if v for f in fs if f in seen)
-        names = sorted(every)
-        t, a = np.array([every[f] for f in names], float), np.array([with_it[f] for f in names], float)
-        ratio = np.zeros(len(names))
-        for seen_here, expected in ((a, t * p / n), (t - a, t * (n - p) / n), (p - a, (n - t) * p / n), (n - t - p + a, (n - t) * (n - p) / n)):
-            ratio += 2 * np.where(seen_here > 0, seen_here * np.log(np.maximum(seen_here, 1e-9) / np.maximum(expected, 1e-9)), 0)
-        for f, r in zip(names, ratio.tolist(), strict=True):
-            if r >= RATIO:
-                best[f] = max(best[f], r)
-    return sorted(sorted(best, key=lambda f: (-best[f], f))[:FEATURES])
+        with_it, every = np.zeros(len(number)), np.zeros(len(number))
+        for i in known:
+            every[held[i]] += 1
+            with_it[held[i]] += y[i]
+        r = ratios(every, with_it, n, p)
+        best = np.maximum(best, np.where((r >= RATIO) & (total >= MIN_DOCS), r, 0))
+    names = list(number)
+    chosen = sorted(sorted(np.flatnonzero(best > 0).tolist(), key=lambda i: (-best[i], names[i]))[:FEATURES], key=names.__getitem__)
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    return [names[i] for i in chosen], [np.sort(x[x >= 0]) for x in (place[f] for f in held)], np.array(sizes)
 
 
 def fit_chain(texts: list[str], labels: np.ndarray, folds: int = FOLDS) -> tuple[list[str], np.ndarray]:
     """Features and one row of weights per category (features, length, one
     weight per category for its log-odds, intercept). ``labels`` has NaN where
     unknown."""
-    read = Reader(None)
-    found, sizes = zip(*map(read, texts), strict=True)
-    features = telling(list(found), labels)
-    index = {f: i for i, f in enumerate(features)}
-    rows = Rows([np.array(sorted(index[f] for f in fs if f in index), np.int64) for fs in found], len(features))
+    features, found, sizes = telling(texts, labels)
+    rows = Rows(found, len(features))
     fold = np.array([xxhash.xxh64_intdigest((t or "").encode()) % folds for t in texts])
     known = ~np.isnan(labels)
     n, k = labels.shape
-    extra, out = np.array(sizes).reshape(n, 1), []
+    extra, out = sizes.reshape(n, 1), []
 
     def scores(w):
         return rows.dot(w[: rows.width]) + extra @ w[rows.width : -1] + w[-1]
@@ -212,8 +237,11 @@ def trained(docs: DataFrame, labels: DataFrame, categories: list[str], sample: i
     rows = labels.select(F.col("doc_id").cast("long").alias("label_id"), *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories)])
     rows = rows.filter("label_id is not null").orderBy(F.xxhash64("label_id"), *rows.columns).limit(sample)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", *[f"y{i}" for i in range(len(categories))])
-    rows = scratch_table(rows, "sample")  # at most `sample` rows, apart from repeated doc_ids
+    ys = [f"y{i}" for i in range(len(categories))]
+    rows = docs.join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text", *ys).alias("row"))
+    rows = scratch_table(rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*"), "sample")  # at most `sample` rows
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).filter(F.coalesce("bytes", F.lit(0)) <= SAMPLE_BYTES).select("doc_id", "text", *ys)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
