@@ -1,24 +1,24 @@
 """F8 hunt: every rule over every log row -> enriched, de-duplicated findings.
 
-Two physical forms with equal results; the caller may choose:
+Three physical forms with equal results:
 
-* ``table`` (default) - the rules are data (``operators.ruletable``): each log
-  row looks its own values, prefixes, suffixes and character grams up in a table
-  of literals with one hash join, which gives the few (row, rule) pairs that can
-  match, and the whole rule, joined by its number, confirms them. The plan is
-  the same for ten rules and for thousands.
 * ``compiled`` - each rule becomes one boolean Column; in a single scan each
   row gets rule-hit bitmasks (inside a one-row ``stack`` generator, so every
   predicate is evaluated once), matched rows are de-duplicated, and a second
   ``stack`` expands the set bits into findings whose metadata comes from a
   literal array. No join; planning cost grows with the rules.
-
-The compiled form de-duplicates matched log rows (at most one shuffled row
-per matching event); the table form de-duplicates (log row, rule) pairs.
-Both then take a size-checked broadcast join with the technique table (whose
-columns are functions of the rule), the risk score and the 16-column
-projection. The rule table is small (one row per rule file) and is collected
-on the driver; log data never leaves the executors.
+* ``index`` - the rules are compiled on the executors, and the log rows pass
+  one automaton over all their literals (``operators.ruleindex``). The plan is
+  the same for a hundred rules and for hundreds of thousands, and no rule is
+  collected but those of more than ``MAX_SELECTIONS`` selections.
+* ``table`` - the rules are data, found by hash joins of literals and grams
+  (``operators.ruletable``), without Python on the workers.
+
+The default, ``auto``, is ``compiled`` for up to ``COMPILED_RULES`` rules and
+``index`` beyond; only so many rules are read to find out. Log data never
+leaves the executors. All forms then take a size-checked broadcast join with
+the technique table (whose columns are functions of the rule), the risk score
+and the 16-column projection.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from ravenhunt.functions.matching import KNOWN_OPS, item_predicate
 from ravenhunt.operators.conditions import UnsupportedCondition, condition_column
 from ravenhunt.operators.joins import sized_broadcast
-from ravenhunt.schemas import FINDING_COLUMNS, LOG_COLUMNS, RULE_VISIBLE_COLUMNS
+from ravenhunt.schemas import FINDING_COLUMNS, LOG_COLUMNS, RULE_SCHEMA, RULE_VISIBLE_COLUMNS
 
 # --- fixed values (must equal the reference's behaviour) -------------------
 # Rule field aliases (compared ignoring case); other fields must name a log
@@ -310,6 +310,29 @@ def _raw_compiled(prepared: DataFrame, rules: list[CompiledRule]) -> DataFrame:
 RULES_PER_SCAN = 4 * MASK_BITS
 
 
+COMPILED_RULES = 2 * MASK_BITS  # as many rules as two masks hold
+
+
+def _raw_index(prepared: DataFrame, rules: DataFrame, field_map: dict[str, str] | None, dedupe: bool) -> DataFrame:
+    from ravenhunt.operators import ruleindex
+
+    fmap = {k.lower(): v for k, v in (field_map or DEFAULT_FIELD_MAP).items()}
+
+    def resolve(name: str) -> str | None:
+        return _resolve_field(name, fmap)
+
+    table = ruleindex.compiled(with_rule_attributes(rules), resolve)
+    raw = ruleindex.matches(prepared, table, _lc, dedupe)
+    if not table.filter(F.col("kind") == ruleindex.WIDE).isEmpty():  # rules of very many selections: one Column each
+        wide = collect_rules(rules.filter(F.size("selections") > ruleindex.MAX_SELECTIONS))
+        wide = [d for d in wide if (ruleindex.compile_rule(d, resolve) or [None])[0] == ruleindex.WIDE]
+        for i in range(0, len(wide), RULES_PER_SCAN):
+            rest = merge_same_meta(compile_rules(wide[i : i + RULES_PER_SCAN], field_map)) if dedupe else compile_rules(wide[i : i + RULES_PER_SCAN], field_map)
+            raw = raw.unionByName((_raw_compiled_dedup if dedupe else _raw_compiled)(prepared, rest).select(*raw.columns))
+        raw = raw.distinct() if dedupe else raw
+    return raw
+
+
 def _raw_table(prepared: DataFrame, rule_rows: list[dict], field_map: dict[str, str] | None) -> DataFrame:
     from ravenhunt.operators import ruletable
 
@@ -351,14 +374,23 @@ def hunt(
     logs: DataFrame,
     rules: DataFrame | list,
     techniques: DataFrame | None = None,
-    strategy: str = "table",
+    strategy: str = "auto",
     compat_nulls: bool = False,
     field_map: dict[str, str] | None = None,
     dedupe: bool = True,
 ) -> DataFrame:
     """Findings (FINDING_SCHEMA) of all rules over all log rows."""
-    rule_rows = collect_rules(rules) if isinstance(rules, DataFrame) else rules
+    if strategy == "auto":
+        known = collect_rules(rules.limit(COMPILED_RULES + 1)) if isinstance(rules, DataFrame) else rules
+        strategy = "compiled" if len(known) <= COMPILED_RULES else "index"
+        rules = known if strategy == "compiled" else rules
     prepared = prepare_logs(logs, compat_nulls)
+    if strategy == "index":
+        frame = rules if isinstance(rules, DataFrame) else logs.sparkSession.createDataFrame([{f: r.get(f) for f in RULE_SCHEMA.names} for r in rules], RULE_SCHEMA)
+        raw = _raw_index(prepared, frame, field_map, dedupe)
+        dedupe = False
+    else:
+        rule_rows = collect_rules(rules) if isinstance(rules, DataFrame) else rules
     if strategy == "table":
         raw = _raw_table(prepared, rule_rows, field_map)
     elif strategy == "compiled" and dedupe:
@@ -366,7 +398,7 @@ def hunt(
         dedupe = False
     elif strategy == "compiled":
         raw = _raw_compiled(prepared, compile_rules(rule_rows, field_map))
-    else:
+    elif strategy != "index":
         raise ValueError(f"unknown strategy {strategy!r}")
     if dedupe:
         # Technique name/url/score are functions of the rule columns, so

@@ -59,7 +59,7 @@ def parse(rule_rows: list[dict], resolve: Callable[[str], str | None]) -> Parsed
             tree = parse_condition(d.get("condition"))
         except UnsupportedCondition:
             continue
-        known = {s["name"].lower(): _items(s["items"], resolve) for s in d.get("selections") or []}
+        known = {s["name"].lower(): items_of(s["items"], resolve) for s in d.get("selections") or []}
         names = sorted({n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} & known.keys())
         cover = _cover(tree, known)
         if cover is None or len(names) > MAX_SELECTIONS:
@@ -72,7 +72,7 @@ def parse(rule_rows: list[dict], resolve: Callable[[str], str | None]) -> Parsed
     return out
 
 
-def _items(items: list[dict], resolve: Callable[[str], str | None]) -> list[Item] | None:
+def items_of(items: list[dict], resolve: Callable[[str], str | None]) -> list[Item] | None:
     """A selection's items, lower-cased; None where one of them can never hold."""
     out = []
     for it in items:

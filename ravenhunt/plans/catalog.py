@@ -46,7 +46,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def findings(spark: SparkSession, sf_dir: str, strategy: str = "table", dedupe: bool = True) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, strategy: str = "auto", dedupe: bool = True) -> DataFrame:
     return hunt(
         log_view(spark, sf_dir), rule_table(spark), technique_table(spark), strategy=strategy, dedupe=dedupe
     )

@@ -21,7 +21,7 @@ def _triples(df):
     return {(r.timestamp.strftime("%Y-%m-%d %H:%M:%S"), r.hostname, r.hunting_rule_title) for r in df.collect()}
 
 
-@pytest.mark.parametrize("strategy", ["compiled", "table"])
+@pytest.mark.parametrize("strategy", ["auto", "compiled", "table", "index"])
 @pytest.mark.parametrize(
     "text,expected",
     [
@@ -78,12 +78,13 @@ def test_duplicate_rows_deduplicated(spark, tmp_dir):
     assert f.count() == 4
 
 
-def test_catalog_rules_equal_between_strategies(spark):
+@pytest.mark.parametrize("strategy", ["table", "index"])
+def test_catalog_rules_equal_between_strategies(spark, strategy):
     from ravenhunt.plans.views import log_view
 
     lv = log_view(spark, "/root/testdata/sf0.001")
     a = hunt(lv, rule_table(spark), technique_table(spark), strategy="compiled")
-    b = hunt(lv, rule_table(spark), technique_table(spark), strategy="table")
+    b = hunt(lv, rule_table(spark), technique_table(spark), strategy=strategy)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
@@ -106,14 +107,15 @@ def _many_rules(n):
     return out
 
 
-def test_hundreds_of_rules_equal_the_compiled_form(spark):
+@pytest.mark.parametrize("strategy", ["table", "index"])
+def test_hundreds_of_rules_equal_the_compiled_form(spark, strategy):
     from ravenhunt.plans.views import log_view
 
     lv = log_view(spark, "/root/testdata/sf0.001")
     rules = rule_table(spark, _many_rules(300))
     for dedupe in (True, False):
         a = hunt(lv, rules, technique_table(spark), strategy="compiled", dedupe=dedupe)
-        b = hunt(lv, rules, technique_table(spark), dedupe=dedupe)
+        b = hunt(lv, rules, technique_table(spark), dedupe=dedupe, strategy=strategy)
         assert a.count() == b.count() > 300
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
