@@ -3,9 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ravenhunt.operators import profile
+from ravenhunt.operators import bursts
 from ravenhunt.operators.bursts import burst_flags, burst_flags_python
 from ravenhunt.session import scratch_path
 from ravenhunt.streaming import jobs
@@ -27,6 +30,59 @@ def test_burst_flags_equal_loop(spark):
     assert got == want_by_id and 0 < sum(want) < len(want)
 
 
+def _hot(seed, pauses, n=4000):
+    """Half of the events belong to one key that never stops for a window; ``pauses``: it slows down at times."""
+    rng, t, rows = random.Random(seed), 0, []
+    for i in range(n):
+        t += rng.randrange(0, 3) if not pauses or (i // 400) % 3 else rng.randrange(20, 90)
+        rows.append((i, 7, datetime(2024, 1, 1) + timedelta(seconds=t)))
+        rows.append((n + i, rng.randrange(100, 140), datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(4 * n))))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 16, 40])
+@pytest.mark.parametrize("pauses", [True, False])
+@pytest.mark.parametrize("rounds", [0, 2, bursts.ROUNDS])
+def test_a_key_that_never_pauses(spark, monkeypatch, limit, pauses, rounds):
+    """One session over many partitions, folded in rounds, one after another, or both, equals the plain loop."""
+    monkeypatch.setattr(bursts, "ROUNDS", rounds)
+    asked = []
+    find = bursts._start_states
+    monkeypatch.setattr(bursts, "_start_states", lambda *a: asked.append(find(*a)) or asked[-1])
+    rows = _hot(limit + 2 * pauses, pauses)
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    ordered = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    want = {r[0]: w for r, w in zip(ordered, burst_flags_python([(r[1], r[2].timestamp()) for r in ordered], limit, 100))}
+    got = {r.event_id: r.admitted for r in burst_flags(df, "user_id", "ts", limit, 100, partitions=12).collect()}
+    assert got == want
+    starts, used = asked[0]
+    assert len(starts) >= 5  # the hot session is folded by several tasks
+    if pauses and rounds == bursts.ROUNDS and limit:
+        assert used < len(starts)  # slower spells end what a start can change
+
+
+def test_admit_equals_the_loop():
+    rng = random.Random(4)
+    for limit in (1, 2, 15, 16, 17, 50):
+        t = np.cumsum([rng.choice([0, 0, 1, 2, 30]) for _ in range(700)]).astype(np.int64)
+        want = burst_flags_python([("k", x) for x in t.tolist()], limit, 60)
+        cut, state, got = sorted(rng.sample(range(700), 5)), np.empty(0, np.int64), []
+        for a, b in zip([0, *cut], [*cut, 700]):
+            flags, state = bursts.admit(t[a:b], state, limit, 60)
+            got += flags.tolist()
+        assert got == want and len(state) <= limit
+
+
+def test_burst_flags_odd_rows(spark):
+    rows = [(1, None, datetime(2024, 1, 1)), (2, 3, None), (3, 3, datetime(2024, 1, 1)), (3, 3, datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").selectExpr("*", "'x' as __key", "1 as __row", "array(1) as __t", "2 as __pid")
+    got = burst_flags(df, "user_id", "ts", 1, 60)
+    assert got.columns == [*df.columns, "admitted"]
+    assert sorted((r.event_id, str(r.admitted)) for r in got.collect()) == [(1, "None"), (2, "None"), (3, "False"), (3, "True")]
+    assert burst_flags(df.filter("false"), "user_id", "ts").collect() == []
+
+
 def test_burst_stream_equals_batch(spark):
     rows, df = _events(spark, seed=5)
     src = scratch_path(spark, "t-burst")
