@@ -18,6 +18,7 @@ from ravenhunt.plans.catalog import findings, register
 from ravenhunt.plans.oracle_hunt import HUNT_WITH
 from ravenhunt.plans.ruleset import rule_table, technique_table
 from ravenhunt.plans.views import LOG_VIEW_SQL, log_view
+from ravenhunt.schemas import LOG_COLUMNS, LOG_SCHEMA
 from ravenhunt.session import read_table, scratch_path
 from ravenhunt.sinks import exports
 from ravenhunt.sources import intel as src_intel
@@ -809,8 +810,8 @@ def q_stream_hunt(spark, sf_dir):
     src = _log_files(spark, sf_dir, "st-hunt")
     out, ckpt = scratch_path(spark, "st-hunt-out"), scratch_path(spark, "st-hunt-ckpt")
     stream = src_logs.read_log_stream(spark, src, "csv", max_files_per_trigger=2)
-    _run(jobs.start_hunt(stream, rule_table(spark), technique_table(spark), out, ckpt, watermark="3650 days"))
-    return spark.read.parquet(out)
+    _run(jobs.start_hunt(stream, rule_table(spark), technique_table(spark), out, ckpt, watermark="3650 days", untimed_path=out + "-untimed"))
+    return jobs.read_epochs(spark, out).unionByName(jobs.read_untimed(spark, out + "-untimed"))
 
 
 @register(
@@ -822,24 +823,34 @@ def q_stream_hunt(spark, sf_dir):
 def q_stream_hourly(spark, sf_dir):
     """ST3: finding counts per one-hour event-time window on a stream."""
     src = _log_files(spark, sf_dir, "st-hour")
+    # the row that ends the stream: its time lets the watermark pass every hour before
+    last = log_view(spark, sf_dir).agg((F.max("timestamp") + F.expr("INTERVAL 3700 DAYS")).alias("timestamp"))
+    last = last.select(*[F.col(c) if c == "timestamp" else F.lit(None).cast(LOG_SCHEMA[c].dataType).alias(c) for c in LOG_COLUMNS])
+    _as_source(last, src_logs.CSV_COLUMN_MAP).write.options(**CSV_WRITE).mode("append").csv(src)
     out, ckpt = scratch_path(spark, "st-hour-out"), scratch_path(spark, "st-hour-ckpt")
     stream = src_logs.read_log_stream(spark, src, "csv", max_files_per_trigger=2)
     findings_stream = jobs.hunt_stream(stream, rule_table(spark), technique_table(spark), watermark="3650 days")
     _run(jobs.start_hourly(findings_stream, out, ckpt, watermark=None))
-    return spark.read.parquet(out)
+    return jobs.read_epochs(spark, out)
 
 
 @register("stream_burst", BURST_SQL)
 def q_stream_burst(spark, sf_dir):
     """ST4: burst flags with per-user state on an event stream: four micro-batches
-    in time order, a watermark, and states that expire."""
+    out of time order, held until a watermark has passed them."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     src = scratch_path(spark, "st-burst")
-    for k in range(4):  # a file, and so a micro-batch, per quarter of the ids, which are in time order
-        quarter = ev.where(F.pmod(F.floor(F.col("event_id") / (ev.agg(F.max("event_id")).first()[0] / 4 + 1)), F.lit(4)) == k)
-        quarter.coalesce(1).write.mode("append").parquet(src)
+    low, high, top = ev.agg(F.unix_timestamp(F.min("ts")), F.unix_timestamp(F.max("ts")), F.max("event_id")).first()
+    size = top // 4 + 1
+    late = F.pmod(F.xxhash64("event_id"), F.lit(size))  # an event comes up to a quarter of the table late
+    for k in range(5):  # a file, and so a micro-batch, each
+        ev.where(F.floor((F.col("event_id") + late) / size) == k).coalesce(1).write.mode("append").parquet(src)
+    delay = high - low
+    last = spark.range(1).select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast(ev.schema["user_id"].dataType).alias("user_id"),
+                                 F.timestamp_seconds(F.lit(high + delay + 2 * BURST_WINDOW_S)).alias("ts"))
+    last.write.mode("append").parquet(src)  # ends the stream
     out, ckpt = scratch_path(spark, "st-burst-out"), scratch_path(spark, "st-burst-ckpt")
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    _run(jobs.start_burst(stream, "user_id", "ts", BURST_MAX, BURST_WINDOW_S, out, ckpt, watermark="1 hour"))
-    return spark.read.parquet(out).select("event_id", "user_id", "admitted")
+    _run(jobs.start_burst(stream, "user_id", "ts", BURST_MAX, BURST_WINDOW_S, out, ckpt, watermark=f"{delay} seconds"))
+    return spark.read.parquet(out).filter("event_id is not null").select("event_id", "user_id", "admitted")
 
