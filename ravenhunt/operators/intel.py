@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ravenhunt.functions import text as tx
+from ravenhunt.functions.documents import readable
 from ravenhunt.functions.validate import valid_ioc
 from ravenhunt.operators.joins import sized_broadcast
 
@@ -155,7 +156,7 @@ def log_ioc_match(logs: DataFrame, iocs: DataFrame) -> DataFrame:
 def feed_documents(documents: DataFrame, feed_col: str = "feed", text_col: str = "value", time_col: str = "modificationTime") -> DataFrame:
     """Per feed: its fetched JSON documents, how many cannot be read, and the
     last update (``documents``: one row per fetched file, with its whole text)."""
-    bad = F.try_parse_json(F.col(text_col)).isNull()
+    bad = ~F.coalesce(readable(F.col(text_col)), F.lit(False))
     return documents.groupBy(F.col(feed_col).alias("__feed")).agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("unreadable"), F.max(time_col).alias("last_updated"))
 

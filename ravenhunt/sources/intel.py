@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravenhunt.functions.documents import large_unparsed
 from ravenhunt.functions.validate import valid_ioc
 from ravenhunt.operators.intel import extract_ioc
 from ravenhunt.schemas import FEED_SCHEMA, IOC_SCHEMA, TECHNIQUE_SCHEMA
@@ -85,6 +86,19 @@ def json_feed_items(docs: DataFrame, doc_col: str) -> DataFrame:
     return docs.select(F.explode_outer(items).alias("item"))
 
 
+def text_items(docs: DataFrame, doc_col: str) -> DataFrame:
+    """``json_feed_items`` on JSON text, for documents beyond a variant's size:
+    each level is unwrapped to the text of its member, and the list to the
+    texts of its items (``item``)."""
+    v = F.col(doc_col)
+    first = F.substr(F.ltrim(v, F.lit(" \t\r\n")), F.lit(1), F.lit(1))
+    while docs.agg(F.max(first == "{")).first()[0]:
+        m = F.from_json(v, "map<string,string>")
+        inner = F.when(F.map_contains_key(m, F.lit("data")), m["data"]).otherwise(m["iocs"])
+        docs = docs.withColumn(doc_col, F.when(first == "[", v).when(first == "{", inner))
+    return docs.select(F.explode_outer(F.when(first == "[", F.from_json(v, "array<string>"))).alias("item"))
+
+
 def read_json_feed(spark: SparkSession, path: str, feed: str, feed_type: str, now: str,
                    lines: bool = False) -> DataFrame:
     """JSON feed -> IOC rows. ``lines=True`` reads one object per line
@@ -95,6 +109,9 @@ def read_json_feed(spark: SparkSession, path: str, feed: str, feed_type: str, no
         docs = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
         items = json_feed_items(docs.select(F.try_parse_json("value").alias("doc")), "doc")
         objs = items.where(_is_kind(F.col("item"), "OBJECT")).select(F.to_json("item").alias("obj"))
+        large = docs.filter(large_unparsed(F.col("value")))
+        if not large.isEmpty():
+            objs = objs.unionByName(text_items(large, "value").where(F.ltrim("item").startswith("{")).select(F.col("item").alias("obj")))
     m = F.from_json(F.col("obj"), "map<string,string>")
     out = objs.select(extract_ioc(m, F.lit(feed_type), now).alias("ioc")).where(F.col("ioc").isNotNull())
     return out.select("ioc.*", F.lit(feed).alias("feed"))

@@ -147,3 +147,26 @@ def test_feeds_stale(spark):
         .select("feed", F.to_timestamp("t").alias("modificationTime"))
     got = {r.feed: r.stale for r in intel.feeds_stale(feeds, man, NOW).collect()}
     assert got == {"a": False, "b": True}
+
+
+@pytest.mark.parametrize("doc", [
+    '[{"ioc": "a.example", "type": "domain"}, 3, "x", null, [1], {"tags": ["a"], "n": {"m": 1.50}}]', '{"data": [{"ioc": "1.2.3.4"}], "iocs": [{"ioc": "5.6.7.8"}]}',
+    '{"data": {"iocs": {"data": [{"a": 1}, {"b": null}]}}}', '{"data": null, "iocs": [{"a": 1}]}', '{"iocs": [{"a": 1}]}', '{"x": 1}', " \n [ ]", "{}", '"text"', "7", '{"data": "text"}'])
+def test_items_of_documents_beyond_a_variant(spark, doc):
+    """The text form, which takes over where a variant is too small, gives the same objects."""
+    from ravenhunt.sources import intel as src
+
+    one = spark.createDataFrame([(doc,)], "value string")
+    by_variant = src.json_feed_items(one.select(F.parse_json("value").alias("doc")), "doc")
+    want = by_variant.where(src._is_kind(F.col("item"), "OBJECT")).select(F.to_json("item").alias("obj"))
+    got = src.text_items(one, "value").where(F.ltrim("item").startswith("{")).select(F.col("item").alias("obj"))
+    as_map = F.from_json("obj", "map<string,string>").alias("m")
+    assert [r.m for r in got.select(as_map).collect()] == [r.m for r in want.select(as_map).collect()]
+
+
+def test_documents_that_cannot_be_read(spark):
+    from ravenhunt.functions import documents
+
+    df = spark.createDataFrame([('{"a": 1}',), ("[1]",), ("{bad",), ("{bad" * (5 << 20),), ("[" + "7, " * (6 << 20) + "7]",), (None,)], "value string")
+    got = df.select(F.octet_length("value").alias("n"), documents.readable(F.col("value")).alias("ok")).collect()
+    assert [bool(r.ok) for r in got] == [True, True, False, False, True, False]
