@@ -14,13 +14,16 @@ with some of its own rarer words, so a passage without enough of those is done
 
 A hit counts if the item's question and its answer are both in the passage: of
 each, at least ``OVERLAP`` of its n-grams. An item has one text; its last third
-of words counts as the answer.
+of words counts as the answer. Grams have ``NGRAM`` words, fewer in parts so
+short that one changed word would break more than the overlap leaves over.
 
 Items are broadcast in shards of at most ``SHARD`` items; each shard sees all
-documents, which are never shuffled. Only hits leave the tasks.
+documents, which are never shuffled. Only hits leave the tasks. Numbers of
+items, of items with a word, the average and the greatest length are counted over all
+shards, so what is a hit does not depend on how items are dealt.
 
-Defined results: null and empty items and texts match nothing; items of equal
-id and text count once; a repeated document gives its hits again; an empty
+Defined results: null and empty items and texts match nothing; an item with a
+null id and a text is searched like any other; items of equal id and text count once; a repeated document gives its hits again; an empty
 table gives an empty result; only the ids and the texts are read.
 """
 
@@ -48,13 +51,14 @@ words_of = re.compile(r"\w+").findall
 class Index:
     """BM25 index of (item_id, words) with block maxima."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], threshold: float):
+    def __init__(self, items: list[tuple[int, list[str]]], threshold: float, stats: tuple[int, float, int, dict[str, int]] | None = None):
+        """``stats``: number of items, their average and greatest length and the
+        words' item counts over all shards (none: these items are all)."""
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
         self.threshold = threshold
-        self.longest = max((len(w) for w in self.words), default=0)
-        n, average = len(items), sum(map(len, self.words)) / max(1, len(items))
-        df = Counter(w for ws in self.words for w in set(ws))
+        sizes = [len(w) for w in self.words]
+        n, average, self.longest, df = stats or (len(items), sum(sizes) / max(1, len(items)), max(sizes, default=0), Counter(w for ws in self.words for w in set(ws)))
         self.postings: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, ws in enumerate(self.words):
@@ -170,9 +174,9 @@ class Index:
         cut = len(words) - max(1, len(words) // 3)
 
         def share(part: list[str]) -> float:
-            n = min(NGRAM, len(part))
-            if not n:
+            if not part:
                 return 1.0
+            n = max(1, min(NGRAM, 2 * (len(part) + 1) // 7))  # one changed word breaks at most n of len(part) + 1 - n
             grams = {tuple(part[k : k + n]) for k in range(len(part) - n + 1)}
             return len(grams & {tuple(passage[k : k + n]) for k in range(len(passage) - n + 1)}) / len(grams)
 
@@ -218,16 +222,37 @@ def _indexes(items: DataFrame, threshold: float, shard: int) -> list:
     """Broadcast indexes of at most ``shard`` items each."""
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.filter("item_id is not null and text is not null").distinct()
+    items = items.filter("text is not null").distinct()
     items = scratch_table(with_rank(items, [], ["item_id", "text"], "rank"), "items")
+    counts = scratch_table(_word_counts(items), "item-words")
+    whole = counts.filter("word is null").first()
+    n, average, longest = (whole["items"], whole["words"] / whole["items"], whole["longest"]) if whole and whole["items"] else (0, 1.0, 0)
     out = []
     for s in range(max(1, -(-items.count() // shard))):
         rows = items.filter((F.col("rank") >= s * shard) & (F.col("rank") < (s + 1) * shard)).orderBy("item_id", "text").collect()  # at most `shard`
         words = [(r["item_id"], words_of(r["text"].lower())) for r in rows]
-        out.append(spark.sparkContext.broadcast(Index([(i, w) for i, w in words if w], threshold)))
+        here = spark.createDataFrame([(w,) for w in sorted({w for _, ws in words for w in ws})], "word string")
+        df = {r["word"]: r["items"] for r in counts.join(F.broadcast(here), "word").collect()}  # a shard's words
+        out.append(spark.sparkContext.broadcast(Index([(i, w) for i, w in words if w], threshold, (n, average, longest, df))))
     return out
 
 
+def _word_counts(items: DataFrame) -> DataFrame:
+    """(word, items, words, longest): number of items with each word; for the null
+    word the number of all items that have words, of their words, and of the longest's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [w for w in (words_of(t.as_py().lower()) for t in batch.column("text")) if w]
+            df: dict = dict(Counter(w for ws in held for w in set(ws)))
+            df[None] = len(held)
+            total, longest = ([f(map(len, held)) if w is None and held else 0 for w in df] for f in (sum, max))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((list(df), pa.string()), (list(df.values()), pa.int64()), (total, pa.int64()), (longest, pa.int64()))], names=["word", "items", "words", "longest"])
+
+    found = items.select("text").mapInArrow(run, "word string, items long, words long, longest long")
+    return found.groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
 def _searcher(shared, overlap: float):
     names = [x.split()[0] for x in HITS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]

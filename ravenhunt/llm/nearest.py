@@ -89,7 +89,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists(v, lambda x: x != 0)
     rows = vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & fine & some)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim")).distinct()
+    # very large or small ones by a power of two, which changes no cosine, so that no square leaves a double's range
+    top = F.array_max(F.transform(v, F.abs))
+    power = F.pow(F.lit(2.0), -F.floor(F.least(F.greatest(F.log2(top), F.lit(-1000.0)), F.lit(1000.0))))
+    safe = F.when(top.between(1e-100, 1e100), v).otherwise(F.transform(v, lambda x: x * power))
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), safe.alias("v"), F.size(v).alias("dim")).distinct()
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -29,9 +29,10 @@ are replaced once and a text's key is never larger than its copies (which
 adaptive execution splits). The entity table is deduplicated before it is
 joined; an entity in a third of all documents is one row of it.
 
-Defined results: null texts stay null, empty ones empty; repeated rows are
-replaced alike; all columns of the table are kept as they are, apart from the
-text; an empty table gives an empty result.
+Defined results: null texts stay null, empty ones empty; entities may be of any
+length; repeated rows are replaced alike; all columns of the table are kept as
+they are, whatever their names, apart from the text and one that has the name
+of the count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: type -> pattern, in the order in which they are tried at a place
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}+\p{L}{2,24}+",
-    "secret": _EDGE + r"(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,128}+" + _END,
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}+\.){1,8}+\p{L}{2,24}+",
+    "secret": _EDGE + r"(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}+" + _END,
     "iban": _EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": _EDGE + r"(?<![.+-])\d(?:[ -]?\d){12,18}" + _END,
     "ip": r"(?<![\p{L}\p{N}.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?![\p{L}\p{N}]|\.\d)",
@@ -249,18 +250,21 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     return named.select("kind", "entity", rendered(F.col("kind"), F.col("entity"), F.col("new")).alias("surrogate"))
 
 
-def anonymised(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the entities in ``text`` replaced, and ``n_entities``."""
-    columns = docs.columns
+def anonymised(docs: DataFrame, key: str, count: str = "n_entities") -> DataFrame:
+    """``docs`` with the entities in ``text`` replaced, and their number as
+    ``count`` (a column of that name gives way to it; all others stay)."""
     found = F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0))
-    docs = docs.withColumn("__found", F.when(may_hold(F.col("text")), found).otherwise(F.array().cast("array<string>")))
-    with_some = docs.filter(F.size("__found") > 0).withColumn("__text", F.sha2(F.col("text").cast("binary"), 256))
-    mentions = scratch_table(with_some.select("__text", F.explode(F.array_distinct("__found")).alias("entity")).distinct(), "entities")
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"),
+                       F.when(may_hold(F.col("text")), found).otherwise(none).alias("_found"))
+    with_some = rows.filter(F.size("_found") > 0).withColumn("_key", F.sha2(F.col("_text").cast("binary"), 256))
+    mentions = scratch_table(with_some.select("_key", F.explode(F.array_distinct("_found")).alias("entity")).distinct(), "entities")
     table = surrogate_table(mentions.select("entity").distinct(), key)
-    by_text = mentions.join(table, "entity").groupBy("__text").agg(
-        F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__map"))
-    gaps = F.split(F.col("text"), ENTITY, -1)
-    new = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(F.col("__map"), F.get(F.col("__found"), i)), F.get(F.col("__found"), i), F.lit("")))), "")
-    replaced = with_some.join(by_text, "__text", "left").withColumn("text", new).withColumn("n_entities", F.size("__found"))
-    untouched = docs.filter(F.size(F.coalesce("__found", F.array().cast("array<string>"))) <= 0).withColumn("n_entities", F.lit(0))
-    return reduce(DataFrame.unionByName, [x.select(*columns, "n_entities") for x in (untouched, replaced)])
+    by_text = mentions.join(table, "entity").groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"))
+    gaps = F.split(F.col("_text"), ENTITY, -1)
+    new = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at(F.col("_map"), F.get(F.col("_found"), i)), F.get(F.col("_found"), i), F.lit("")))), "")
+    replaced = with_some.join(by_text, "_key", "left").withColumn("_new", new).withColumn("_n", F.size("_found"))
+    untouched = rows.filter(F.size(F.coalesce("_found", none)) <= 0).withColumn("_new", F.col("_text")).withColumn("_n", F.lit(0))
+    columns = [F.col("_new").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c != count]
+    return reduce(DataFrame.unionByName, [x.select(*columns, F.col("_n").alias(count)) for x in (untouched, replaced)])

@@ -113,7 +113,8 @@ def test_contaminated(spark):
     bench = spark.createDataFrame(items + items[:2], "item_id long, text string").withColumn("doc_id", F.lit(7)).withColumn("rank", F.lit(1))
     for shard in (7, 20_000):
         got = decontamination.contaminated(docs, bench, shard=shard).collect()
-        assert sorted((r.doc_id, r.item_id) for r in got) == [(2000 + i, i) for i in range(0, 30, 3)]
+        # document 8 begins with the words of the item without an id
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(8, None)] + [(2000 + i, i) for i in range(0, 30, 3)]
     assert decontamination.contaminated(docs, bench.filter("1 = 0")).count() == 0
     assert decontamination.contaminated(docs.filter("1 = 0"), bench).count() == 0
 
@@ -204,3 +205,54 @@ def test_short_formats_widen_until_surrogates_are_distinct(spark):
 
 def test_surrogates_of_an_empty_table(spark):
     assert surrogates.anonymised(frame(spark, [(1, "x")]).filter("doc_id > 1"), "k").count() == 0
+
+
+def test_every_one_word_edit_of_an_item_is_found():
+    rnd = random.Random(5)
+    items = [(i, [f"w{rnd.randrange(400)}" for _ in range(n)]) for i, n in enumerate([15, 16, 18, 21, 27, 38, 51, 60])]
+    index = decontamination.Index(items, decontamination.THRESHOLD)
+    for i, ws in items:
+        for k in range(len(ws)):
+            for edited in (ws[:k] + ["other"] + ws[k + 1 :], ws[:k] + ws[k + 1 :], ws[:k] + ["more"] + ws[k:]):
+                text = " ".join([f"v{rnd.randrange(400)}" for _ in range(40)] + edited + [f"v{rnd.randrange(400)}" for _ in range(40)])
+                assert i in {h[0] for h in index.hits(text, decontamination.OVERLAP)}, (i, k)
+
+
+def test_hits_do_not_depend_on_shards(spark):
+    """Scores are those of all items, however many shards they are dealt into; items without an id count."""
+    items = [(i, prose(900 + i, 12 + i % 9)) for i in range(40)] + [(None, prose(999, 30))]
+    docs = spark.createDataFrame([(i, prose(i, 60) + " " + items[i][1] + " " + prose(i + 90, 60)) for i in range(41)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [sorted(map(repr, decontamination.contaminated(docs, bench, shard=shard).collect())) for shard in (5, 17, 1000)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) >= 41
+    assert decontamination.clean(docs, bench, shard=9).count() == 0
+
+
+def test_long_entities_and_clashing_names(spark):
+    secret, mail = "a1" * 300, "x" * 200 + "@host.example.com"
+    docs = spark.createDataFrame([(1, f"see {secret} and {mail}."), (2, "none"), (3, None)], "doc_id long, text string")
+    docs = docs.selectExpr("*", "9 as n_entities", "'f' as __found", "'t' as __text", "'m' as _map", "'k' as _key", "'r' as _row", "5 as _entities")
+    got = {r.doc_id: r for r in surrogates.anonymised(docs, "k").collect()}
+    assert secret not in got[1].text and mail not in got[1].text and len(got[1].text) == len(f"see {secret} and {mail}.")
+    assert [got[i].n_entities for i in (1, 2, 3)] == [2, 0, 0] and got[3].text is None and got[2]._map == "m"
+    from corpus_pipeline import private
+
+    kept = private(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.n_entities, r._entities) for r in kept.collect()) == [(1, 9, 5), (2, 9, 5), (3, 9, 5)]
+
+
+def test_nearest_of_very_large_and_small_vectors(spark):
+    from ravenhunt.llm.nearest import nearest
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 8))
+    scale = 10.0 ** rng.choice([-300, -200, 0, 150, 200, 300], size=60)
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, scale))]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=3).collect()
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    for q in range(0, 60, 10):
+        want = [i for i in np.argsort(-(unit @ unit[q]), kind="stable").tolist() if i != q][:3]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in mine] == want
+        assert np.allclose([r.score for r in mine], [unit[q] @ unit[i] for i in want])
