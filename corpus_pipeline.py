@@ -40,9 +40,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by surrogates; ``n_chars`` follows the text."""
     columns = docs.columns
-    rows = surrogates.anonymised(docs, SURROGATE_KEY)
+    count = "_entities"
+    while count in columns:
+        count += "_"
+    rows = surrogates.anonymised(docs, SURROGATE_KEY, count)
     if "n_chars" in columns:
-        size = F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        size = F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         rows = rows.withColumn("n_chars", F.coalesce(size, "n_chars"))
     return rows.select(*columns)
 
