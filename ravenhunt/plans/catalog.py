@@ -25,7 +25,8 @@ from ravenhunt.operators.hunt import (
 from ravenhunt.plans.oracle_hunt import HUNT_WITH
 from ravenhunt.plans.ruleset import rule_table, technique_table
 from ravenhunt.plans.views import LOG_VIEW_SQL, log_view
-from ravenhunt.session import ensure_on_workers, read_table
+from ravenhunt.session import ensure_on_workers, read_table, scratch_path, scratch_table
+from ravenhunt.sinks import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -423,6 +424,47 @@ def q_host_risk(spark, sf_dir):
     return report.host_risk(_h(spark, sf_dir))
 
 
+_RANK_COLS = "count(*) AS finding_count, round(avg(CAST(risk_score AS DOUBLE)), 6) AS avg_risk FROM hunt"
+
+
+@register(
+    "finding_rankings",
+    HUNT_WITH
+    + f"""SELECT 'technique' AS ranking, mitre_technique_name AS name, {_RANK_COLS} WHERE mitre_technique_name IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'tactic', coalesce(m.tactic, 'Unknown'), {_RANK_COLS} LEFT JOIN (VALUES ('T1059', 'Execution'), ('T1003', 'Credential Access'),
+  ('T1049', 'Discovery'), ('T1047', 'Execution'), ('T1083', 'Discovery'), ('T1082', 'Discovery')) m(base, tactic)
+  ON split_part(coalesce(mitre_technique_id, 'None'), '.', 1) = m.base GROUP BY 2
+UNION ALL SELECT 'level', rule_level, {_RANK_COLS} GROUP BY 2
+UNION ALL SELECT 'hour', CAST(hour(timestamp) AS VARCHAR), {_RANK_COLS} WHERE timestamp IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'host', hostname, {_RANK_COLS} WHERE hostname IS NOT NULL GROUP BY 2""",
+)
+def q_finding_rankings(spark, sf_dir):
+    """A6, A7, A9, A11, A12 from one pass over the findings."""
+    return report.rankings(_h(spark, sf_dir))
+
+
+@register(
+    "sketched_counts",
+    HUNT_WITH
+    + """, m AS (SELECT unnest(['techniques', 'hosts', 'users']) AS counted),
+e AS (SELECT strftime(timestamp, '%Y-%m') AS month, count(*) AS finding_count, count(DISTINCT mitre_technique_id) AS t, count(DISTINCT hostname) AS h,
+      count(DISTINCT username) AS u FROM hunt WHERE timestamp IS NOT NULL GROUP BY 1)
+SELECT month, counted, finding_count, CASE counted WHEN 'techniques' THEN t WHEN 'hosts' THEN h ELSE u END AS exact, TRUE AS within_5_pct FROM e, m""",
+)
+def q_sketched_counts(spark, sf_dir):
+    """A2 / A5: distinct techniques, hosts and users per month, rolled up from daily
+    sketches without the findings, beside the exact counts."""
+    f = _h(spark, sf_dir).where("timestamp is not null")
+    daily = scratch_table(report.daily_sketches(f), "sketches")
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    sketched = report.roll_up(daily, month)
+    exact = f.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(*[F.count_distinct(c).alias(f"exact_{n}") for n, c in report.COUNTED.items()])
+    both = sketched.join(exact, "month")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("counted"), F.col(n).alias("about"), F.col(f"exact_{n}").alias("exact")) for n in report.COUNTED])).alias("c")
+    rows = both.select("month", "finding_count", each)
+    return rows.select("month", "c.counted", "finding_count", "c.exact", (F.abs(F.col("c.about") - F.col("c.exact")) <= 0.05 * F.col("c.exact")).alias("within_5_pct"))
+
+
 @register(
     "extracted_iocs",
     HUNT_WITH
@@ -772,10 +814,16 @@ def q_ioc_bulk_lookup(spark, sf_dir):
 FROM (SELECT DISTINCT value FROM ({_LOOKUP_VALUES_SQL})) l JOIN iv ON l.value = iv.value""",
 )
 def q_ioc_store_lookup(spark, sf_dir):
-    """Case-sensitive lookup against the IOC store."""
-    pairs = intel.ioc_lookup(
-        _lookup_values(spark, sf_dir).distinct(), iv.ioc_view(spark, sf_dir), case_sensitive=True
-    )
+    """Case-sensitive lookup in the IOC store: written as a bucketed table in
+    two appends, declared again over its folder, and joined without moving it."""
+    iocs = iv.ioc_view(spark, sf_dir).select("value", "type", "feed")
+    path = scratch_path(spark, "ioc-store")
+    name = "ioc_store_" + path.rsplit("-", 1)[1]
+    ip = F.coalesce(F.col("type") == "ip", F.lit(False))
+    store.append_store(iocs.where(ip), name, path)
+    store.append_store(iocs.where(~ip), name, path)
+    opened = store.open_store(spark, f"{name}_again", path)
+    pairs = store.lookup(_lookup_values(spark, sf_dir).distinct(), opened)
     return pairs.select("indicator", "type", "feed")
 
 
