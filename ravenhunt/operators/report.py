@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravenhunt.plans.ruleset import TACTICS, UNKNOWN_TACTIC
+from ravenhunt.operators.joins import sized_broadcast
 
 # --- fixed values (must equal the reference's behaviour) -------------------
 HIGH_RISK = 80
@@ -35,6 +35,15 @@ DEFAULT_RECOMMENDATIONS = [
     "Validate findings through additional log analysis",
 ]
 EMPTY_IOC_VALUES = ["nan", "none", ""]
+TACTICS = {
+    "T1059": "Execution",
+    "T1003": "Credential Access",
+    "T1049": "Discovery",
+    "T1047": "Execution",
+    "T1083": "Discovery",
+    "T1082": "Discovery",
+}
+UNKNOWN_TACTIC = "Unknown"
 TOP_TECHNIQUES = 5
 TOP_SHARE = 8
 TOP_PER_SCENARIO = 3
@@ -197,11 +206,20 @@ def tactic_of(tid: Column, tactic_map: dict[str, str] | None = None) -> Column:
     return F.coalesce(F.try_element_at(m, base_technique(tid)), F.lit(UNKNOWN_TACTIC))
 
 
-def attack_stages(findings: DataFrame, tactic_map: dict[str, str] | None = None) -> DataFrame:
+def with_tactic(findings: DataFrame, tactic_map: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """``findings`` with ``_tactic``. The map may be a table (technique_id,
+    tactic): then it is joined, broadcast only after its size is checked; of
+    several tactics of a technique the first in order counts."""
+    if not isinstance(tactic_map, DataFrame):
+        return findings.withColumn("_tactic", tactic_of(F.col("mitre_technique_id"), tactic_map))
+    table = tactic_map.groupBy(F.col("technique_id").alias("_base")).agg(F.min("tactic").alias("_mapped"))
+    joined = findings.join(sized_broadcast(table), base_technique(F.col("mitre_technique_id")) == F.col("_base"), "left")
+    return joined.withColumn("_tactic", F.coalesce("_mapped", F.lit(UNKNOWN_TACTIC))).drop("_base", "_mapped")
+
+
+def attack_stages(findings: DataFrame, tactic_map: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Findings per ATT&CK tactic (unknown ids -> 'Unknown')."""
-    return findings.groupBy(tactic_of(F.col("mitre_technique_id"), tactic_map).alias("tactic")).agg(
-        F.count(F.lit(1)).alias("finding_count")
-    )
+    return with_tactic(findings, tactic_map).groupBy(F.col("_tactic").alias("tactic")).agg(F.count(F.lit(1)).alias("finding_count"))
 
 
 def timeline(findings: DataFrame) -> DataFrame:
@@ -246,16 +264,16 @@ def host_risk(findings: DataFrame) -> DataFrame:
     )
 
 
-def rankings(findings: DataFrame, tactic_map: dict[str, str] | None = None) -> DataFrame:
+def rankings(findings: DataFrame, tactic_map: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """A6, A7, A9, A11 and A12 in one pass: (ranking, name, finding_count,
     avg_risk) by technique, tactic, level, hour and host.
 
     Grouping sets expand each finding into five narrow rows, which are
     aggregated on the spot, so the findings are read once and one shuffle
     carries the partial counts of all five."""
-    keys = {"technique": F.col("mitre_technique_name"), "tactic": tactic_of(F.col("mitre_technique_id"), tactic_map), "level": F.col("rule_level"),
+    keys = {"technique": F.col("mitre_technique_name"), "tactic": F.col("_tactic"), "level": F.col("rule_level"),
             "hour": F.hour("timestamp").cast("string"), "host": F.col("hostname")}
-    narrow = findings.select(*[k.alias(f"_{n}") for n, k in keys.items()], _risk().alias("_risk"))
+    narrow = with_tactic(findings, tactic_map).select(*[k.alias(f"_{n}") for n, k in keys.items()], _risk().alias("_risk"))
     cols = [f"_{n}" for n in keys]
     sets = narrow.groupingSets([[c] for c in cols], *cols).agg(
         F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("finding_count"), F.round(F.avg("_risk"), 6).alias("avg_risk"))

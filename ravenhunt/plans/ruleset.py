@@ -66,15 +66,6 @@ TECHNIQUES = [
     ("T1082", "System Information Discovery", "Adversaries may gather system information."),
 ]
 TECHNIQUE_URL_PREFIX = "https://attack.mitre.org/techniques/"
-TACTICS = {
-    "T1059": "Execution",
-    "T1003": "Credential Access",
-    "T1049": "Discovery",
-    "T1047": "Execution",
-    "T1083": "Discovery",
-    "T1082": "Discovery",
-}
-UNKNOWN_TACTIC = "Unknown"
 # ----------------------------------------------------------------------------
 
 EXTRA_RULES = [

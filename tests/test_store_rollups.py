@@ -94,3 +94,11 @@ def test_rankings_equal_their_own_queries(found):
 def test_rankings_are_one_pass(spark):
     plan = _plan(report.rankings(findings(spark, SF)))
     assert plan.count("Expand") == 1 and plan.count("FileScan parquet") <= 2  # the events, and no more than one side table
+
+
+def test_tactics_from_a_table(spark, found):
+    table = spark.createDataFrame([*report.TACTICS.items(), ("T1003", "Zzz")], "technique_id string, tactic string")
+    assert sorted(report.attack_stages(found, table).collect()) == sorted(report.attack_stages(found).collect())
+    ranked = [sorted(map(repr, report.rankings(found, m).collect())) for m in (None, table)]
+    assert ranked[0] == ranked[1]
+    assert {r.tactic for r in report.attack_stages(found, {"T1003": "X"}).collect()} == {"X", "Unknown"}
