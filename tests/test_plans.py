@@ -26,7 +26,17 @@ def test_compiled_hunt_plan(spark):
 
 
 def test_table_hunt_plan(spark):
-    plan = _plan(findings(spark, SF))
+    plan = _plan(findings(spark, SF, strategy="table"))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert plan.count("BroadcastHashJoin") >= 3  # keys, rules, techniques
     assert "events.parquet" in plan.split("BroadcastExchange")[0]
+
+
+def test_index_hunt_plan(spark):
+    """One scan of the log, one shuffle of matched log rows, and joins with the rules' metadata and the techniques only."""
+    plan = _plan(findings(spark, SF, strategy="index"))
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert plan.count("MapInArrow") == 1 and plan.count("events.parquet") == 1
+    log_side = plan.split("BroadcastExchange")[0]
+    assert log_side.count("Exchange hashpartitioning") == 1 and log_side.count("HashAggregate") == 2
+    assert plan.count("BroadcastHashJoin") == 2
