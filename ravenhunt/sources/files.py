@@ -5,11 +5,13 @@ bytes in the task that hashes it. With a size limit, the content of larger
 files is not even read (the reader applies the filter on length before it
 opens a file); a file beyond Spark's 2 GiB for one value needs such a limit.
 Works on a single file or a whole directory tree.
+
+``json_documents`` reads files that are one JSON document each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values (must equal the reference's behaviour) -------------------
@@ -17,6 +19,24 @@ MAX_FILE_BYTES = 100 * 1024 * 1024  # the ``size_ok`` flag
 ALLOWED_EXTENSIONS = [".csv", ".json", ".jsonl", ".log", ".txt"]
 # ----------------------------------------------------------------------------
 
+# Control characters, which no JSON text holds unescaped: no document is broken.
+NO_BREAK = "\x01\x02\x03\x04"
+ONE_RECORD = 1 << 30  # bytes; a record of the line reader ends at 2 GiB
+
+
+def json_documents(reader: DataFrameReader, path: str | list[str]) -> DataFrame:
+    """Files read as one JSON document each, by a reader with a schema.
+
+    ``multiLine`` opens the file again for every number that is read as text (to
+    take it as it is written), so a document is read as one record of the line
+    reader, which holds its bytes. Only files too large for that take ``multiLine``."""
+    docs = reader.option("lineSep", NO_BREAK).json(path)
+    size = F.col("_metadata.file_size")
+    if docs.where(size > ONE_RECORD).isEmpty():  # no file is read to find out: the listing says it
+        return docs
+    large = reader.option("multiLine", True).json(path)
+    return docs.where(size <= ONE_RECORD).unionByName(large.where(size > ONE_RECORD))
+
 
 def file_manifest(
     spark: SparkSession,

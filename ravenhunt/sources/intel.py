@@ -16,6 +16,7 @@ from ravenhunt.functions.documents import large_unparsed
 from ravenhunt.functions.validate import valid_ioc
 from ravenhunt.operators.intel import extract_ioc
 from ravenhunt.schemas import FEED_SCHEMA, IOC_SCHEMA, TECHNIQUE_SCHEMA
+from ravenhunt.sources.files import json_documents
 
 # --- fixed values (must equal the reference's behaviour) -------------------
 TEXT_FEED_COMMENTS = ["#", "//"]
@@ -131,7 +132,7 @@ def read_ioc_cache(spark: SparkSession, path: str, feed: str | None = None) -> D
     count, iocs:[...]}``; a missing path gives an empty table."""
     empty = spark.createDataFrame([], IOC_SCHEMA)
     try:
-        env = spark.read.schema(_ENVELOPE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+        env = json_documents(spark.read.schema(_ENVELOPE).option("recursiveFileLookup", True), path)
         out = env.select(F.explode("iocs").alias("i")).select("i.*", F.lit(feed).cast("string").alias("feed"))
         out.schema  # noqa: B018 - resolve now so a missing path is caught here
         return out
@@ -188,12 +189,8 @@ def read_attack_bundle(spark: SparkSession, path: str, lines: bool = False) -> D
             F.monotonically_increasing_id().alias("pos"),
         )
     else:
-        bundle = (
-            spark.read.schema(T.StructType([T.StructField("objects", T.ArrayType(_OBJECT))]))
-            .option("multiLine", True)
-            .option("recursiveFileLookup", True)
-            .json(path)
-        )
+        reader = spark.read.schema(T.StructType([T.StructField("objects", T.ArrayType(_OBJECT))]))
+        bundle = json_documents(reader.option("recursiveFileLookup", True), path)
         objs = bundle.select(F.input_file_name().alias("path"), F.posexplode("objects").alias("pos", "obj"))
     return techniques_from_objects(objs)
 
@@ -229,7 +226,7 @@ def read_feed_config(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return default
     try:
-        cfg = spark.read.schema(_CONFIG).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+        cfg = json_documents(spark.read.schema(_CONFIG).option("recursiveFileLookup", True), path)
         feeds = cfg.select(F.explode("ioc_feeds").alias("f")).select("f.*")
         feeds.schema  # noqa: B018
     except Exception as exc:  # noqa: BLE001

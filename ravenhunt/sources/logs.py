@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ravenhunt.schemas import LOG_SCHEMA
+from ravenhunt.sources.files import json_documents
 
 # --- fixed values (must equal the reference's behaviour) -------------------
 CSV_COLUMN_MAP = {
@@ -194,7 +195,7 @@ def read_json_logs(
     one task; prefer JSON Lines for large logs.
     """
     cmap = JSON_COLUMN_MAP if column_map is None else column_map
-    raw = spark.read.schema(_json_source_schema(cmap)).option("recursiveFileLookup", True).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    raw = json_documents(spark.read.schema(_json_source_schema(cmap)).option("recursiveFileLookup", True).option("mode", "DROPMALFORMED"), path)
     out = normalize(raw, cmap)
     return out.limit(max_rows) if max_rows else out
 
@@ -260,8 +261,9 @@ def _read_glob(spark, path, ext, kind, column_map=None, na_values=PANDAS_NA_VALU
         groups = _file_groups(_first_lines(spark, path, ext).withColumn("document", ~whole & F.col("line").isNotNull()), "document")
     out = None
     for document, paths in groups:
-        r = _reader(spark, ext).schema(schema).option("mode", "DROPMALFORMED").option("multiLine", bool(document))
-        part = normalize(r.json(path if len(groups) == 1 else paths), cmap)
+        r = _reader(spark, ext).schema(schema).option("mode", "DROPMALFORMED")
+        where = path if len(groups) == 1 else paths
+        part = normalize(json_documents(r, where) if document else r.json(where), cmap)
         out = part if out is None else out.unionByName(part)
     return out.limit(max_rows) if max_rows else out
 

@@ -146,3 +146,23 @@ def test_file_manifest(spark, tmp_dir):
     small = {os.path.basename(r.path): r for r in file_manifest(spark, tmp_dir, max_bytes=3).collect()}
     assert small["f.csv"].sha256 is None and small["g.exe"].sha256 is not None and small["f.csv"].size_ok
     del p
+
+
+def test_numbers_of_a_json_document_do_not_open_it_again(spark, tmp_dir):
+    rows = [{"host": f"H{i}", "event_id": i, "message": 1.5} for i in range(5000)]
+    p = _write(tmp_dir, "n.json", json.dumps(rows, indent=1).replace("1.5", "1.50"))
+
+    def read_bytes():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = read_bytes()
+    found = L.read_json_logs(spark, p).collect()
+    assert read_bytes() - before < 3 * os.path.getsize(p)
+    assert sorted((r.event_id, r.hostname, r.message) for r in found) == [(i, f"H{i}", "1.50") for i in range(5000)]
+
+
+def test_json_documents_beyond_one_record(spark, tmp_dir, monkeypatch):
+    _write(tmp_dir, "s.json", '{"host": "S"}')
+    _write(tmp_dir, "l.json", json.dumps([{"host": "L", "event_id": 7}, {"host": "M"}], indent=2))
+    monkeypatch.setattr("ravenhunt.sources.files.ONE_RECORD", 20)
+    assert sorted((r.hostname, r.event_id or 0) for r in L.read_json_logs(spark, tmp_dir).collect()) == [("L", 7), ("M", 0), ("S", 0)]
