@@ -132,6 +132,27 @@ def test_rule_files(spark, tmp_dir):
     assert len(rows) == 3
 
 
+def test_rule_file_is_not_held_as_objects(spark, tmp_dir, monkeypatch):
+    import tracemalloc
+
+    from ravenhunt.sources import rules
+
+    monkeypatch.setattr(rules, "DECODED_AT_ONCE", 50)
+    one = "title: T%d\nid: r%d\nlogsource: {product: w}\ndetection:\n  s: {Image|contains: [a, b], action: x}\n  condition: s\n"
+    text = "---\n".join(one % (i, i) for i in range(1500))
+    tracemalloc.start()
+    held = rules._decoded_file(text, "p")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text) and sum(b.num_rows for b in held) == 1500
+    assert held[1].num_rows == 50 and held[-1].num_rows == 0
+    bad = rules._decoded_file(text + "---\ntitle: [open\n", "p")
+    assert [r["error"] for b in bad for r in b.to_pylist()] == ["yaml: ParserError"]
+    path = _write(tmp_dir, "many.yml", text)
+    rows = read_rules(spark, path).collect()
+    assert sorted(r.id for r in rows) == sorted(f"r{i}" for i in range(1500)) and rows[0].logsource == {"product": "w"}
+
+
 def test_decode_rule_list_of_maps_left_undefined():
     r = decode_rule({"id": "x", "detection": {"sel": [{"a": 1}, {"b": 2}], "condition": "sel"}})
     assert r["selections"] == [] and r["error"] is None
