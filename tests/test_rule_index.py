@@ -109,3 +109,19 @@ def test_covers():
     assert options("a or never", known) == [["a"]] and options("a and never", known) == [[], ["a"]]
     assert options("a or always", known) == [] and options("a and always", known) == [["a"]]
     assert options("a and (a or b)", known) == [["a"], ["a", "b"]]
+
+
+def test_rules_that_fire_alike_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(ruleindex, "PIECE", 40)
+    item = lambda f, v: [{"field": f, "op": "contains", "values": [v]}]
+    rules = [{"id": f"r{k}", "title": "t", "level": "low", "tags": ["attack.t1049"], "condition": "a and not b",
+              "selections": [{"name": "a", "items": item("Image", "a")}, {"name": "b", "items": item("action", "cmd" if k % 2 else "exe")}]} for k in range(200)]
+    rules.append(rules[0] | {"condition": "a"})  # the metadata of r0, in other rows
+    rules = spark.createDataFrame([{f: r.get(f) for f in RULE_SCHEMA.names} for r in rules], RULE_SCHEMA)
+    table = ruleindex.compiled(H.with_rule_attributes(rules), lambda name: H._resolve_field(name, H.DEFAULT_FIELD_MAP | {"image": "process_name"}))
+    index, pieces = ruleindex.rule_classes(table, True, lambda df: df)
+    assert index.select("number").distinct().count() == 3 and index.count() == 4
+    assert sorted(r.n for r in index.groupBy("number").agg({"pieces": "max"}).toDF("number", "n").collect()) == [1, 3, 3]
+    assert pieces.selectExpr("sum(size(rules))").first()[0] == 200
+    logs = odd_logs(spark)
+    assert same(H.hunt(logs, rules, technique_table(spark), strategy="compiled"), H.hunt(logs, rules, technique_table(spark), strategy="index")) > 500
