@@ -8,6 +8,12 @@ back through the library's readers, so the whole scan path runs.
 
 from __future__ import annotations
 
+import itertools
+import os
+import uuid
+from urllib.parse import unquote, urlparse
+
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +52,30 @@ def _write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
 
 
+def _write_files(rows: DataFrame, path: str, suffix: str) -> bool:
+    """One file of lines per name of ``rows`` (name, value; rows of a name are
+    neighbours in one partition), in a folder per partition. Spark's writer
+    needs some tens of milliseconds a file; here tasks open the files. False,
+    with nothing written: the shared folder is no mounted one."""
+    where = urlparse(path)
+    if where.scheme not in ("", "file"):
+        return False
+    root = unquote(where.path)
+
+    def write(part) -> None:
+        folder = f"{root}/{TaskContext.get().partitionId()}"
+        os.makedirs(folder, exist_ok=True)
+        for name, lines in itertools.groupby(part, key=lambda r: r[0]):
+            made = f"{folder}/.{uuid.uuid4().hex}"  # hidden until it is whole; a task that runs again writes the same files
+            with open(made, "w", encoding="utf-8", newline="") as f:
+                f.writelines((r[1] or "") + "\n" for r in lines)
+            os.replace(made, f"{folder}/{name}{suffix}")
+
+    os.makedirs(root, exist_ok=True)
+    rows.select("name", "value").foreachPartition(write)
+    return True
+
+
 DOC_ITEMS = 100_000
 
 
@@ -260,7 +290,10 @@ def q_read_logs_mixed(spark, sf_dir):
         path + "/json"
     )
     docs = _as_source(log_view(spark, sf_dir), src_logs.JSON_COLUMN_MAP).where("event_id % 200 = 0")
-    docs.write.mode("append").options(**JSON_WRITE).option("pretty", True).option("maxRecordsPerFile", 1).json(path + "/documents")
+    pretty = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), JSON_WRITE | {"pretty": "true"})
+    texts = docs.select(F.monotonically_increasing_id().cast("string").alias("name"), pretty.alias("value"))
+    if not _write_files(texts, path + "/documents", ".json"):
+        docs.write.mode("append").options(**JSON_WRITE).option("pretty", True).option("maxRecordsPerFile", 1).json(path + "/documents")
     return src_logs.read_logs(spark, path)
 
 
@@ -450,10 +483,14 @@ def q_file_manifest(spark, sf_dir):
     from ravenhunt.sources.files import file_manifest
 
     path = scratch_path(spark, "manifest")
-    read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("value")).repartition("s_suppkey") \
-        .write.partitionBy("s_suppkey").text(path)
+    # a number of tasks of its own: the few bytes of the table would be put together into one
+    tasks = spark.sparkContext.defaultParallelism * 4
+    rows = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("value")).repartition(tasks, "s_suppkey")
+    name = F.concat(F.lit("s_suppkey="), F.coalesce(F.col("s_suppkey").cast("string"), F.lit("none")))
+    if not _write_files(rows.sortWithinPartitions("s_suppkey").select(name.alias("name"), "value"), path, ".txt"):
+        rows.write.partitionBy("s_suppkey").text(path)
     return file_manifest(spark, path, glob="*.txt").select(
-        F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long").alias("file_key"), "length", "extension",
+        F.regexp_extract("path", r"s_suppkey=(\d+)[/.]", 1).cast("long").alias("file_key"), "length", "extension",
         "extension_allowed", "size_ok", "sha256",
     )
 
