@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import csv
 import os
+import re
 import warnings
 from urllib.parse import unquote
 
@@ -118,10 +119,26 @@ def _first_lines(spark: SparkSession, path: str, ext: str | None) -> DataFrame:
     ).groupBy("file").agg(F.first("line", ignorenulls=True).alias("line"), F.sum("odd").alias("odd"))
 
 
-def _file_groups(files: DataFrame, *by: str) -> list[tuple]:
-    """(*by, paths): the files of each kind (only names reach the driver)."""
+def _file_groups(files: DataFrame, path: str, *by: str) -> list[tuple]:
+    """(*by, paths): the files of each kind (only names reach the driver), or the
+    topmost folders below which all are of it: Spark looks each path up that it
+    is given. A pattern may leave files of a folder out, so it gives files."""
     groups = files.groupBy(*by).agg(F.collect_list("file").alias("files")).collect()
-    return [(*[g[c] for c in by], sorted(unquote(f) for f in g["files"])) for g in groups]
+    kinds: dict[str, set[int]] = {}  # folder -> kinds of the files below it
+    for i, g in enumerate([] if re.search(r"[*?{}\[\]]", path) else groups):
+        for folder in {f.rpartition("/")[0] for f in g["files"]}:
+            while folder and i not in kinds.setdefault(folder, set()):
+                kinds[folder].add(i)
+                folder = folder.rpartition("/")[0]
+    return [(*[g[c] for c in by], sorted(unquote(x) for x in {_topmost(f, kinds) for f in g["files"]})) for g in groups]
+
+
+def _topmost(file: str, kinds: dict[str, set[int]]) -> str:
+    """The highest folder with files of one kind that holds the file; else the file."""
+    out, folder = file, file.rpartition("/")[0]
+    while len(kinds.get(folder, ())) == 1:
+        out, folder = folder, folder.rpartition("/")[0]
+    return out
 
 
 def _header_names(line: str) -> list[str]:
@@ -149,7 +166,7 @@ def read_csv_logs(
     odd number of quotes, and a warning names how many do."""
     files = _first_lines(spark, path, ext).where("line is not null")
     broken = F.lit(multi_line) if multi_line is not None else F.col("odd") > 0
-    groups = _file_groups(files.withColumn("broken", broken), "line", "broken")
+    groups = _file_groups(files.withColumn("broken", broken), path, "line", "broken")
     if multi_line is None and any(g[1] for g in groups):
         warnings.warn(f"{sum(len(g[2]) for g in groups if g[1])} CSV files below {path} have quoted line breaks", stacklevel=2)
     out = None
@@ -258,7 +275,7 @@ def _read_glob(spark, path, ext, kind, column_map=None, na_values=PANDAS_NA_VALU
     groups = [(False, [])]
     if kind == "json":
         whole = F.try_parse_json("line").isNotNull()
-        groups = _file_groups(_first_lines(spark, path, ext).withColumn("document", ~whole & F.col("line").isNotNull()), "document")
+        groups = _file_groups(_first_lines(spark, path, ext).withColumn("document", ~whole & F.col("line").isNotNull()), path, "document")
     out = None
     for document, paths in groups:
         r = _reader(spark, ext).schema(schema).option("mode", "DROPMALFORMED")

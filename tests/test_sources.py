@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from ravenhunt.sources import logs as L
 from ravenhunt.sources.files import file_manifest
@@ -187,3 +188,27 @@ def test_json_documents_beyond_one_record(spark, tmp_dir, monkeypatch):
     _write(tmp_dir, "l.json", json.dumps([{"host": "L", "event_id": 7}, {"host": "M"}], indent=2))
     monkeypatch.setattr("ravenhunt.sources.files.ONE_RECORD", 20)
     assert sorted((r.hostname, r.event_id or 0) for r in L.read_json_logs(spark, tmp_dir).collect()) == [("L", 7), ("M", 0), ("S", 0)]
+
+
+def test_kinds_of_files_are_given_as_folders(spark, tmp_dir):
+    for name in ("p/x/1.json", "p/x/y/2.json", "p/l/3.json", "p/m/4.json", "p/m/5.json"):
+        os.makedirs(os.path.dirname(os.path.join(tmp_dir, name)), exist_ok=True)
+        host = os.path.basename(name)[0]
+        _write(tmp_dir, name, json.dumps({"host": host}, indent=2 if host in "125" else None))
+    lines = L._first_lines(spark, tmp_dir, ".json").withColumn("document", F.col("line") == "{")
+    found = {k: {p.split(os.path.basename(tmp_dir) + "/")[1] for p in paths} for k, paths in L._file_groups(lines, tmp_dir, "document")}
+    assert found == {True: {"p/x", "p/m/5.json"}, False: {"p/l", "p/m/4.json"}}
+    assert sorted(r.hostname for r in L.read_logs(spark, tmp_dir).collect()) == list("12345")
+    pattern = {p.rsplit("/")[-1] for _, paths in L._file_groups(lines, tmp_dir + "/*", "document") for p in paths}
+    assert pattern == {f"{i}.json" for i in range(1, 6)}
+
+
+def test_many_small_files_are_written_by_the_tasks(spark, tmp_dir):
+    from ravenhunt.plans.catalog_io import _write_files
+
+    rows = spark.createDataFrame([("k=1", "a"), ("k=2", None), ("k=2", "\u00e9"), ("k=3", "c")], "name string, value string")
+    rows = rows.repartition(2, "name").sortWithinPartitions("name")
+    assert _write_files(rows, "file:" + os.path.join(tmp_dir, "w x").replace(" ", "%20"), ".txt")
+    found = {os.path.basename(r.path): r.content for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(tmp_dir).collect()}
+    assert found["k=1.txt"] == b"a\n" and found["k=3.txt"] == b"c\n" and sorted(found["k=2.txt"].decode().split("\n")) == ["", "", "\u00e9"]
+    assert len(found) == 3 and not _write_files(rows, "hdfs://x/y", ".txt")
