@@ -24,6 +24,7 @@ and the 16-column projection.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -238,7 +239,7 @@ def merge_same_meta(rules: list[CompiledRule]) -> list[CompiledRule]:
 MASK_BITS = 62
 
 
-def _raw_compiled_dedup(prepared: DataFrame, groups: list[CompiledRule]) -> DataFrame:
+def _raw_compiled_dedup(prepared: DataFrame, groups: list[CompiledRule], distinct: Callable[[DataFrame], DataFrame] = DataFrame.distinct) -> DataFrame:
     """Compiled hunt with the de-duplication on *matched log rows*.
 
     Duplicate findings can only come from identical log rows (rules with
@@ -264,11 +265,7 @@ def _raw_compiled_dedup(prepared: DataFrame, groups: list[CompiledRule]) -> Data
     any_bit = F.lit(False)
     for n in names:
         any_bit = any_bit | (F.col(n) != 0)
-    matched = (
-        prepared.select(*LOG_COLUMNS, F.stack(F.lit(1), *masks).alias(*names))
-        .where(any_bit)
-        .distinct()
-    )
+    matched = distinct(prepared.select(*LOG_COLUMNS, F.stack(F.lit(1), *masks).alias(*names)).where(any_bit))
     args = []
     for i, chunk in enumerate(chunks):
         for j, _ in enumerate(chunk):
@@ -384,8 +381,13 @@ def hunt(
     compat_nulls: bool = False,
     field_map: dict[str, str] | None = None,
     dedupe: bool = True,
+    distinct: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Findings (FINDING_SCHEMA) of all rules over all log rows."""
+    """Findings (FINDING_SCHEMA) of all rules over all log rows. ``distinct``
+    drops equal matched log rows in place of ``DataFrame.distinct`` (streams;
+    ``compiled`` only)."""
+    if distinct is not None and (strategy != "compiled" or not dedupe):
+        raise ValueError("distinct needs strategy='compiled' and dedupe")
     if strategy == "auto":
         known = collect_rules(rules.limit(COMPILED_RULES + 1)) if isinstance(rules, DataFrame) else rules
         strategy = "compiled" if len(known) <= COMPILED_RULES else "index"
@@ -399,7 +401,7 @@ def hunt(
     if strategy == "table":
         raw = _raw_table(prepared, rule_rows, field_map)
     elif strategy == "compiled" and dedupe:
-        raw = _raw_compiled_dedup(prepared, merge_same_meta(compile_rules(rule_rows, field_map)))
+        raw = _raw_compiled_dedup(prepared, merge_same_meta(compile_rules(rule_rows, field_map)), distinct or DataFrame.distinct)
         dedupe = False
     elif strategy == "compiled":
         raw = _raw_compiled(prepared, compile_rules(rule_rows, field_map))

@@ -14,7 +14,7 @@ import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ravenhunt.operators import intel, profile
@@ -820,9 +820,15 @@ def q_burst_flags(spark, sf_dir):
 
 # ------------------------------------------------------------- stream group
 def _log_files(spark, sf_dir, name):
-    path = scratch_path(spark, name)
-    _as_source(log_view(spark, sf_dir), src_logs.CSV_COLUMN_MAP).write.options(**CSV_WRITE).csv(path)
-    return path
+    """(folder, how to read it): the log view as CSV files of one header, no more
+    of them than cores, as each is split on reading and a micro-batch goes over
+    all state; whether texts hold line breaks is seen as they are written."""
+    path, seen = scratch_path(spark, name), Observation()
+    logs = log_view(spark, sf_dir)
+    text = F.concat_ws("", *[c for c, t in logs.dtypes if t == "string"])
+    logs = logs.observe(seen, F.bool_or(text.rlike("[\r\n]")).alias("breaks")).coalesce(spark.sparkContext.defaultParallelism)
+    _as_source(logs, src_logs.CSV_COLUMN_MAP).write.options(**CSV_WRITE).csv(path)
+    return path, {"header": list(src_logs.CSV_COLUMN_MAP), "multi_line": bool(seen.get["breaks"])}
 
 
 def _run(query) -> None:
@@ -844,9 +850,9 @@ def q_stream_ingest(spark, sf_dir):
 @register("stream_hunt", HUNT_WITH + "SELECT * FROM hunt")
 def q_stream_hunt(spark, sf_dir):
     """ST2: the hunt on a log stream, de-duplicated within the watermark."""
-    src = _log_files(spark, sf_dir, "st-hunt")
+    src, kind = _log_files(spark, sf_dir, "st-hunt")
     out, ckpt = scratch_path(spark, "st-hunt-out"), scratch_path(spark, "st-hunt-ckpt")
-    stream = src_logs.read_log_stream(spark, src, "csv", max_files_per_trigger=2)
+    stream = src_logs.read_log_stream(spark, src, "csv", max_files_per_trigger=2, **kind)
     _run(jobs.start_hunt(stream, rule_table(spark), technique_table(spark), out, ckpt, watermark="3650 days", untimed_path=out + "-untimed"))
     return jobs.read_epochs(spark, out).unionByName(jobs.read_untimed(spark, out + "-untimed"))
 
@@ -859,13 +865,13 @@ def q_stream_hunt(spark, sf_dir):
 )
 def q_stream_hourly(spark, sf_dir):
     """ST3: finding counts per one-hour event-time window on a stream."""
-    src = _log_files(spark, sf_dir, "st-hour")
+    src, kind = _log_files(spark, sf_dir, "st-hour")
     # the row that ends the stream: its time lets the watermark pass every hour before
     last = log_view(spark, sf_dir).agg((F.max("timestamp") + F.expr("INTERVAL 3700 DAYS")).alias("timestamp"))
     last = last.select(*[F.col(c) if c == "timestamp" else F.lit(None).cast(LOG_SCHEMA[c].dataType).alias(c) for c in LOG_COLUMNS])
     _as_source(last, src_logs.CSV_COLUMN_MAP).write.options(**CSV_WRITE).mode("append").csv(src)
     out, ckpt = scratch_path(spark, "st-hour-out"), scratch_path(spark, "st-hour-ckpt")
-    stream = src_logs.read_log_stream(spark, src, "csv", max_files_per_trigger=2)
+    stream = src_logs.read_log_stream(spark, src, "csv", max_files_per_trigger=2, **kind)
     findings_stream = jobs.hunt_stream(stream, rule_table(spark), technique_table(spark), watermark="3650 days")
     _run(jobs.start_hourly(findings_stream, out, ckpt, watermark=None))
     return jobs.read_epochs(spark, out)

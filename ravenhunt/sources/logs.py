@@ -310,12 +310,14 @@ def csv_rows(texts: DataFrame, names: list[str], text_col: str = "value") -> Dat
 
 
 def read_log_stream(spark: SparkSession, path: str, fmt: str = "csv", max_files_per_trigger: int | None = None,
-                    column_map: dict[str, str] | None = None, header: list[str] | None = None) -> DataFrame:
+                    column_map: dict[str, str] | None = None, header: list[str] | None = None,
+                    multi_line: bool = False) -> DataFrame:
     """S5 / ST1: the same scan as a file stream (micro-batches of files).
 
     CSV columns go by each file's own header; for that a file is one row of a
     task. Where all files are known to have one header, pass it as ``header``:
-    then large files are split (and quoted line breaks are not read)."""
+    then large files are split. Quoted line breaks need ``multi_line`` there: a
+    file is read by one task, record by record."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -325,7 +327,8 @@ def read_log_stream(spark: SparkSession, path: str, fmt: str = "csv", max_files_
             texts = reader.text(path, wholetext=True)
             return normalize(csv_rows(texts, list(cmap)), cmap, PANDAS_NA_VALUES)
         schema = T.StructType([T.StructField(k, T.StringType()) for k in [*header, CORRUPT]])
-        raw = reader.schema(schema).option("header", True).option("escape", '"').option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+        raw = reader.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line)
+        raw = raw.option("columnNameOfCorruptRecord", CORRUPT).csv(path)
         return normalize(_keep_lines(raw, header), cmap, PANDAS_NA_VALUES)
     cmap = JSON_COLUMN_MAP if column_map is None else column_map
     raw = reader.schema(_json_source_schema(cmap)).option("mode", "DROPMALFORMED").json(path)

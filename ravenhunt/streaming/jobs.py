@@ -17,6 +17,7 @@ shared checkpoint folder, so a restarted driver resumes where it stopped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,19 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ravenhunt.operators.bursts import admit
 from ravenhunt.operators.hunt import hunt
-from ravenhunt.schemas import FINDING_COLUMNS, FINDING_SCHEMA
+from ravenhunt.schemas import FINDING_SCHEMA
 from ravenhunt.session import ensure_on_workers
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State that grows with the stream lies on the executors' disks, within a fixed
+#: memory, and a micro-batch writes only what it has changed.
+STATE_ON_DISK = {
+    PROVIDER: ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+}
+
 
 def _sink(df: DataFrame, out_path: str, checkpoint: str, output_mode: str = "append", available_now: bool = True):
     w = df.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
@@ -69,24 +80,25 @@ def read_epochs(spark: SparkSession, path: str, schema: T.StructType | None = No
     return reader.parquet(path).drop("epoch")
 
 
-def _findings(logs_stream: DataFrame, rules, techniques: DataFrame | None, watermark: str) -> DataFrame:
-    return hunt(logs_stream.withWatermark("timestamp", watermark), rules, techniques, strategy="compiled", dedupe=False)
+def _timed_once(matched: DataFrame) -> DataFrame:
+    return matched.filter("timestamp is not null").dropDuplicatesWithinWatermark()
 
 
 def hunt_stream(logs_stream: DataFrame, rules, techniques: DataFrame | None, watermark: str = "1 day") -> DataFrame:
-    """ST2: findings of a log stream. Duplicates (equal findings, so of one
-    time) are dropped with a state that is kept for the watermark's delay only;
-    findings without a time have no place in it and are left to
-    ``untimed_findings``. The watermark follows the log rows, found or not."""
-    found = _findings(logs_stream, rules, techniques, watermark)
-    return found.filter("timestamp is not null").dropDuplicatesWithinWatermark(FINDING_COLUMNS)
+    """ST2: findings of a log stream. Duplicates (equal findings, so of equal
+    log rows) are dropped as matched log rows, before these unfold to findings,
+    with a state that is kept for the watermark's delay only; findings without
+    a time have no place in it and are left to ``untimed_findings``. The
+    watermark follows the log rows, found or not."""
+    return hunt(logs_stream.withWatermark("timestamp", watermark), rules, techniques, strategy="compiled", distinct=_timed_once)
 
 
 def untimed_findings(logs_stream: DataFrame, rules, techniques: DataFrame | None, watermark: str = "1 day") -> DataFrame:
     """ST2's dead letters: findings of log rows without a time, as they come.
     No state could ever forget one, so duplicates are dropped on reading
     (``read_untimed``)."""
-    return _findings(logs_stream, rules, techniques, watermark).filter("timestamp is null")
+    logs = logs_stream.withWatermark("timestamp", watermark)
+    return hunt(logs, rules, techniques, strategy="compiled", dedupe=False).filter("timestamp is null")
 
 
 def read_untimed(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +112,8 @@ def start_hunt(logs_stream: DataFrame, rules, techniques, out_path: str, checkpo
     timed = hunt_stream(logs_stream, rules, techniques, watermark).withColumn("__to", F.lit("timed"))
     untimed = untimed_findings(logs_stream, rules, techniques, watermark).withColumn("__to", F.lit("untimed"))
     write = epoch_writer(timed=out_path, untimed=untimed_path or f"{out_path.rstrip('/')}-untimed")
-    return _start(timed.unionByName(untimed).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write), available_now)
+    with _set(logs_stream.sparkSession, STATE_ON_DISK):
+        return _start(timed.unionByName(untimed).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write), available_now)
 
 
 def hourly_counts(findings_stream: DataFrame, watermark: str | None = "1 day") -> DataFrame:
@@ -123,13 +136,27 @@ def start_hourly(findings_stream: DataFrame, out_path: str, checkpoint: str, wat
     watermark has not passed is not there yet: a stream that ends is closed by
     a log row of a late time."""
     counts = hourly_counts(findings_stream, watermark).withColumn("__to", F.lit("hours"))
-    return _start(counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(epoch_writer(hours=out_path)), available_now)
+    with _set(findings_stream.sparkSession, STATE_ON_DISK):
+        return _start(counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(epoch_writer(hours=out_path)), available_now)
 
 
 def _start(writer, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+@contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]):
+    """Settings that a query reads when it starts; other queries keep theirs."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 HELD_AT_ONCE = 4096  # rows of a key that go to the state store at once
 _BURST_STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
 
@@ -282,18 +309,10 @@ def burst_stream(events_stream: DataFrame, key_col: str, ts_col: str, max_reques
     return both.withColumns({c: F.timestamp_micros(c) for c in times}) if times else both
 
 
-#: ``transformWithState`` keeps several states of a key, which only this store can.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def start_burst(events_stream: DataFrame, key_col: str, ts_col: str, max_requests: int, window_seconds: int,
                 out_path: str, checkpoint: str, available_now: bool = True, watermark: str | None = None) -> StreamingQuery:
-    conf, name = events_stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    if watermark is not None:
-        conf.set(name, ROCKSDB)  # read when the query starts; other queries keep theirs
-    try:
+    # ``transformWithState`` keeps several states of a key, which only this store can
+    with _set(events_stream.sparkSession, {} if watermark is None else {PROVIDER: ROCKSDB}):
         return _sink(burst_stream(events_stream, key_col, ts_col, max_requests, window_seconds, watermark), out_path, checkpoint,
                      available_now=available_now)
-    finally:
-        conf.set(name, before)

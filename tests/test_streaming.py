@@ -3,13 +3,17 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from ravenhunt.operators.bursts import burst_flags
 from ravenhunt.operators.hunt import hunt
+from ravenhunt.plans import catalog, catalog_io
 from ravenhunt.plans.ruleset import rule_table, technique_table
+from ravenhunt.plans.views import log_view
 from ravenhunt.schemas import LOG_SCHEMA
 from ravenhunt.session import scratch_path
+from ravenhunt.sources.logs import read_log_stream
 from ravenhunt.streaming import jobs
 
 BASE = datetime(2024, 1, 1)
@@ -70,6 +74,56 @@ def test_stream_hunt_drops_duplicates_and_keeps_rows_without_time_apart(spark):
     assert max(rows) >= 2 and rows[-1] < max(rows)  # the watermark lets the state go
 
 
+def test_stream_hunt_state_holds_matched_rows_on_disk(spark):
+    rules = rule_table(spark, [RULE, {**RULE, "id": "r2", "title": "t2"}, {**RULE, "id": "r3", "title": "t3"}])
+    rows = [_log(BASE + timedelta(minutes=i % 40), f"h{i % 40}") for i in range(60)] + [_log(BASE, "quiet", "x", "x")]
+    out = scratch_path(spark, "t-hunt")
+    q = jobs.start_hunt(_source(spark, LOG_SCHEMA, [rows[:30], rows[30:]]), rules, technique_table(spark), out, scratch_path(spark, "t-ckpt"))
+    q.awaitTermination()
+    want = hunt(spark.createDataFrame(rows, LOG_SCHEMA), rules, technique_table(spark)).collect()
+    assert sorted(map(repr, jobs.read_epochs(spark, out).collect())) == sorted(map(repr, want)) and len(want) == 120
+    state = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert max(s["numRowsTotal"] for s in state) == 40  # a log row that three rules find is one row of state
+    assert all(any(k.startswith("rocksdb") for k in s["customMetrics"]) for s in state)
+    assert spark.conf.get(jobs.PROVIDER) != jobs.ROCKSDB
+    assert not any(spark.conf.get(k, None) for k in jobs.STATE_ON_DISK if k != jobs.PROVIDER)
+
+
+def _events(spark, tmp_path, props):
+    rows = [(i, None if i % 10 == 1 else BASE + timedelta(minutes=i), i % 7, "error" if i % 3 else "view", 1.0, props(i)) for i in range(400)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(40).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("odd", [None, "x\r\ny", 'a,"b"\nc', "p\rq"])
+def test_log_files_are_split_unless_texts_hold_line_breaks(spark, tmp_path, odd):
+    sf_dir = _events(spark, tmp_path, lambda i: odd if odd and i % 5 == 0 else f'{{"k": {i}}}')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path, kind = catalog_io._log_files(spark, sf_dir, "t-logs")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).count()
+    assert files <= spark.sparkContext.defaultParallelism  # not as many as the table has parts
+    out = scratch_path(spark, "t-parts")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        stream = read_log_stream(spark, path, "csv", **kind).withColumns({"__part": F.spark_partition_id(), "__file": F.input_file_name()})
+        jobs.start_ingest(stream, out, scratch_path(spark, "t-ckpt")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    got = spark.read.parquet(out)
+    parts = got.select("__part", "__file").distinct().count()
+    assert (parts > files) == (odd is None)
+    assert sorted(map(repr, got.drop("__part", "__file").collect())) == sorted(map(repr, log_view(spark, sf_dir).collect()))
+
+
+@pytest.mark.parametrize("end", ["", "\r\n\n end"])
+def test_stream_hunt_query_keeps_line_breaks_and_rows_without_time(spark, tmp_path, end):
+    sf_dir = _events(spark, tmp_path, lambda i: f'"{i}",{end}')
+    want = catalog.QUERIES["hunt"](spark, sf_dir).collect()
+    assert len(want) > 400 and any(r.timestamp is None for r in want)
+    assert sorted(map(repr, catalog.QUERIES["stream_hunt"](spark, sf_dir).collect())) == sorted(map(repr, want))
+
+
 def test_hours_are_written_once(spark):
     rules, techniques = rule_table(spark, [RULE]), technique_table(spark)
     rng, hour = random.Random(2), timedelta(hours=1)
