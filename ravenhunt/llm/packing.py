@@ -35,15 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravenhunt.llm.common import Memo, with_rank
-from ravenhunt.llm.tokens import _LOADED, tokenizer
-from ravenhunt.session import scratch_table
+from ravenhunt.llm.common import Memo, tidied, with_rank
+from ravenhunt.llm.tokens import tokenizer
+from ravenhunt.session import scratch_table, settings
 
-WORDS_HELD, PARTS_HELD = 32 << 20, 64 << 20  # bytes of the memories of a worker
+WORDS_HELD, PARTS_HELD = 32 << 20, 64 << 20  # bytes of the memories of a task
 BROADCAST_RUNS = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _pack = [Struct(f"<{n}I").pack for n in range(16)]
 STEP = 4 << 20
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(STEP)}  # 64 MB else, held by Spark and by the worker
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
@@ -53,7 +54,7 @@ class WordIds:
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words (runs without ASCII white space) one after another.
     Words are encoded by the library and kept as little-endian bytes, as far as
-    the worker's bounded memories reach; words of plain letters share their
+    the task's bounded memories reach; words of plain letters share their
     parts' ids. That the words' and parts' ids make up the library's is checked
     on the tokenizer's own vocabulary when it is loaded (``alike``); with a
     tokenizer where they do not, whole texts go to the library."""
@@ -62,8 +63,7 @@ class WordIds:
         import regex
 
         self.tok = tokenizer(path)
-        self.odd: Memo = Memo(WORDS_HELD)  # words of more than letters
-        self.parts: Memo = Memo(PARTS_HELD)
+        self.forget()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.easy = re.compile("[!-~¡-¬®-ɏ]*").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -71,6 +71,10 @@ class WordIds:
         self.bytes = {b: b for b in printable} | {b: 256 + n for n, b in enumerate(rest)}  # byte-level alphabet
         self.alike = self.probe()
 
+    def forget(self) -> None:
+        self.odd: Memo = Memo(WORDS_HELD)  # words of more than letters
+        self.parts: Memo = Memo(PARTS_HELD)
+
     def part(self, s: bytes) -> bytes:
         """Ids of a lower-cased part (letters, a number or signs)."""
         tokens = self.tok.model.tokenize(s.decode() if s.isalnum() else s.decode("latin-1").translate(self.bytes))
@@ -141,11 +145,23 @@ class WordIds:
             lo = hi
 
 
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """Loaded once per worker. (A function that is sent to the workers has
+    copies of the module's own names, so it can't look them up itself.)"""
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
+
+
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """The token pieces of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _LOADED.get((path, "words")) or _LOADED.setdefault((path, "words"), WordIds(path))
+        ids_of = word_ids(path)
+        ids_of.forget()
         end, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
@@ -158,9 +174,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             cols = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        ids_of.forget()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, PIECE)
+    return docs.mapInArrow(tidied(run), PIECE)
 
 
 class Tightest:
@@ -240,7 +257,8 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pieces of ``docs`` with sequence_id and offset."""
     spark = docs.sparkSession
-    cut = scratch_table(pieces(docs, path, capacity, end_id), "pieces")
+    with settings(spark, BATCH):
+        cut = scratch_table(pieces(docs, path, capacity, end_id), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = best_fit_plan(counts, capacity)
     ranked = with_rank(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank")

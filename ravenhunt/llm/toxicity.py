@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravenhunt.llm.common import Memo, with_computed
+from ravenhunt.llm.common import Memo, tidied, with_computed
 from ravenhunt.session import scratch_table
 
 SAMPLE, FEATURES, MIN_DOCS, RATIO, FOLDS, RIDGE = 8_000, 20_000, 4, 30.0, 5, 0.3
@@ -254,7 +254,7 @@ def trained(docs: DataFrame, labels: DataFrame, categories: list[str], sample: i
         features, weights = fit_chain(t.column("text").to_pylist(), y)
         yield pa.RecordBatch.from_arrays([pa.array([features], pa.list_(pa.string())), pa.array([weights.ravel().tolist()])], names=["features", "weights"])
 
-    model = rows.repartition(1).mapInArrow(train, "features array<string>, weights array<double>").collect()
+    model = rows.repartition(1).mapInArrow(tidied(train), "features array<string>, weights array<double>").collect()
     if not model:
         return [], np.c_[np.zeros((len(categories), 1 + len(categories))), np.full(len(categories), -20.0)]
     return model[0]["features"], np.array(model[0]["weights"]).reshape(len(categories), -1)

@@ -17,7 +17,6 @@ shared checkpoint folder, so a restarted driver resumes where it stopped.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ravenhunt.operators.bursts import admit
 from ravenhunt.operators.hunt import hunt
 from ravenhunt.schemas import FINDING_SCHEMA
-from ravenhunt.session import ensure_on_workers
+from ravenhunt.session import ensure_on_workers, settings
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -112,7 +111,7 @@ def start_hunt(logs_stream: DataFrame, rules, techniques, out_path: str, checkpo
     timed = hunt_stream(logs_stream, rules, techniques, watermark).withColumn("__to", F.lit("timed"))
     untimed = untimed_findings(logs_stream, rules, techniques, watermark).withColumn("__to", F.lit("untimed"))
     write = epoch_writer(timed=out_path, untimed=untimed_path or f"{out_path.rstrip('/')}-untimed")
-    with _set(logs_stream.sparkSession, STATE_ON_DISK):
+    with settings(logs_stream.sparkSession, STATE_ON_DISK):
         return _start(timed.unionByName(untimed).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write), available_now)
 
 
@@ -136,7 +135,7 @@ def start_hourly(findings_stream: DataFrame, out_path: str, checkpoint: str, wat
     watermark has not passed is not there yet: a stream that ends is closed by
     a log row of a late time."""
     counts = hourly_counts(findings_stream, watermark).withColumn("__to", F.lit("hours"))
-    with _set(findings_stream.sparkSession, STATE_ON_DISK):
+    with settings(findings_stream.sparkSession, STATE_ON_DISK):
         return _start(counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(epoch_writer(hours=out_path)), available_now)
 
 
@@ -144,19 +143,6 @@ def _start(writer, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-@contextmanager
-def _set(spark: SparkSession, conf: dict[str, str]):
-    """Settings that a query reads when it starts; other queries keep theirs."""
-    before = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 HELD_AT_ONCE = 4096  # rows of a key that go to the state store at once
 _BURST_STATE = T.StructType([T.StructField("admitted", T.ArrayType(T.LongType()))])
 
@@ -313,6 +299,6 @@ def burst_stream(events_stream: DataFrame, key_col: str, ts_col: str, max_reques
 def start_burst(events_stream: DataFrame, key_col: str, ts_col: str, max_requests: int, window_seconds: int,
                 out_path: str, checkpoint: str, available_now: bool = True, watermark: str | None = None) -> StreamingQuery:
     # ``transformWithState`` keeps several states of a key, which only this store can
-    with _set(events_stream.sparkSession, {} if watermark is None else {PROVIDER: ROCKSDB}):
+    with settings(events_stream.sparkSession, {} if watermark is None else {PROVIDER: ROCKSDB}):
         return _sink(burst_stream(events_stream, key_col, ts_col, max_requests, window_seconds, watermark), out_path, checkpoint,
                      available_now=available_now)

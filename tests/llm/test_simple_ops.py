@@ -1,16 +1,20 @@
 """Token counts, packing, sharding, SimHash and nearest neighbours against brute force."""
 
 import collections
+import gc
+import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from ravenhunt.llm import nearest, packing, sharding, simhash, tokens
+from ravenhunt.llm import common, nearest, packing, sharding, simhash, tokens
 
 from .cases import awkward, frame, prose
 
@@ -217,3 +221,51 @@ def test_long_prose_is_chunked(spark):
     assert len(text) > 2 * tokens.CHUNK
     want = len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
     assert tokens.token_counts(frame(spark, [(1, text)]), path).first().n_tokens == want
+
+
+def test_packing_workers_stay_small(spark):
+    """After its tasks a worker keeps one loaded tokenizer at most, and none of the words it met."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, prose(i, 200)) for i in range(64)], "doc_id long, text string").repartition(24)
+    assert packing.pieces(docs, path, 4096, 1).count() == 64
+
+    def alive(batches):
+        found = [o for o in gc.get_objects() if type(o).__name__ == "WordIds"]
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([len(found)]), pa.array([sum(len(o.odd) + len(o.parts) for o in found)])], names=["loaded", "words"])
+
+    rows = spark.range(0, 64, 1, 24).mapInArrow(alive, "loaded long, words long").collect()
+    assert max(r.loaded for r in rows) <= 1 and sum(r.words for r in rows) == 0
+
+
+def test_packing_takes_small_batches(spark, monkeypatch):
+    """Texts come to the workers some 4 MB at once (by default 64 MB), and only there."""
+
+    def sizes(docs, path, capacity, end_id):
+        def run(batches):
+            for batch in batches:
+                n = batch.column("text").nbytes >> 20
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((n, pa.int64()), (0, pa.int32()), (0, pa.int64()), (1, pa.int64()), (0, pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        return docs.mapInArrow(run, packing.PIECE)
+
+    monkeypatch.setattr(packing, "pieces", sizes)
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('word ', 200000) as text")
+    got = [r.doc_id for r in packing.pack(docs, "").collect()]
+    assert sum(got) >= 20 and max(got) <= 6
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
+
+
+def test_freed_memory_goes_back():
+    """Arrow's pool and the C library keep what is freed, unless told."""
+
+    def held() -> int:
+        return int(re.search(r"Private_Dirty:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    common.give_back()
+    before = held()
+    small = [pa.array([str(i) * 50]) for i in range(200_000)]
+    most = held()
+    kept, small = small[::1000], None
+    common.give_back()
+    assert most - before > 60 and held() - before < (most - before) / 2 and len(kept) == 200
